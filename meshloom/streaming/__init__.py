@@ -1,0 +1 @@
+"""No streaming operators: mesh construction is a batch computation and the engine offers no stateful stream."""
