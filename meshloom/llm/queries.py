@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshloom.llm.bpe import round_trip_digests
 from meshloom.llm.common import fresh_dir, table
+from meshloom.llm.html_text import visible_texts
+from meshloom.llm.jaccard import jaccard_components
+from meshloom.llm.minhash import edited_fingerprints
 from meshloom.llm.packing import packed
+from meshloom.llm.quality import quality_verdicts
 from meshloom.llm.token_counts import token_counts
 from meshloom.llm.token_file import token_index, write_tokens
+from meshloom.llm.toxicity import toxicity_scores
+from meshloom.llm.warc import read_archives, write_archives
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +28,28 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0)
 
@@ -30,10 +59,53 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, folder, write_tokens(table(spark, sf_dir, "documents"), WORD_BPE, folder, end_id=1))
 
 
+def op9_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visible_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op7_best_fit_packing, op8_token_files, op10_token_counts)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_bpe_round_trip, op2_warc_archives, op3_quality_ledger, op4_jaccard_components, op5_fingerprints, op6_toxicity, op7_best_fit_packing, op8_token_files, op9_visible_text, op10_token_counts)
+}
+
+#: Payloads, digests and which record stands for equal ones.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
+#: Measurements, rules and the two policies, word by word.
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, sum(least(8, i - coalesce(before, i - 8))) AS n_repeat_words
+      FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters,
+             coalesce(c.n_repeat_words, 0) AS n_repeat_words
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
+              + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_upper > 6 * n_letters THEN 32 ELSE 0 END) AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits
+FROM b
+"""
+
+#: The other queries need a tokenizer, a trained model, hashes that SQL lacks or a search too slow for it on whole tables.
+ORACLES: dict[str, str] = {"op2_warc_archives": WARC_SQL, "op3_quality_ledger": QUALITY_SQL}
