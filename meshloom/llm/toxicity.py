@@ -91,15 +91,12 @@ class Restorer:
     """Reads disguised words under a character language model."""
 
     counts: np.ndarray
-    cache: dict = field(default_factory=dict, repr=False)
 
+    REPEATED = re.compile(r"(\w)\1\1")
     SUSPECT = re.compile(r"[a-zà-öø-ÿ].*[0-9@$!|+€(<£.\-_*~/\\].*[a-zà-öø-ÿ]|[0-9@$!|+€(<£]+[a-zà-öø-ÿ]|(\w)\1\1")
     EDGES = re.compile(r"^[^\w@$€£|]+|[^\w$@€£|]+$")
     PARTS = re.compile(r"\w+")
 
-    def __getstate__(self) -> dict:
-        return {"counts": self.counts, "cache": {}}
-
     @cached_property
     def costs(self) -> np.ndarray:
         """Negative log probabilities of a class after two others, mixed with those after one and after none."""
@@ -110,17 +107,12 @@ class Restorer:
 
     def words(self, word: str) -> tuple[str, ...]:
         """The words that a run of characters other than white space, in lower case, is read as."""
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            bare = self.EDGES.sub("", word)
-            if self.SUSPECT.search(bare):
-                found = tuple(w for i in range(0, len(bare), LATTICE_CHARS) for w in self.PARTS.findall(self.decode(bare[i : i + LATTICE_CHARS])))
-            else:
-                found = tuple(self.PARTS.findall(bare))
-            self.cache[word] = found
-        return found
+        if word.isalpha() and not self.REPEATED.search(word):
+            return (word,)
+        bare = self.EDGES.sub("", word)
+        if self.SUSPECT.search(bare):
+            return tuple(w for i in range(0, len(bare), LATTICE_CHARS) for w in self.PARTS.findall(self.decode(bare[i : i + LATTICE_CHARS])))
+        return tuple(self.PARTS.findall(bare))
 
     def spelled(self, letters: list[str]) -> tuple[str, ...]:
         """The words that letters written one by one are read as."""
@@ -181,9 +173,9 @@ class Reader:
         for part in segments(utf8):
             words = part.decode().lower().split()
             numbers.append(self.seen.of(words))
-            fresh = np.fromiter((len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE) for w in self.seen.new), bool, len(self.seen.new))
-            known = len(self.seen) - len(self.seen.new)
-            self.single = np.concatenate([self.single[:known], fresh])
+            fresh = self.seen.new[len(self.seen.new) - (len(self.seen) - len(self.single)) :]
+            if fresh:
+                self.single = np.concatenate([self.single, np.fromiter((len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE) for w in fresh), bool, len(fresh))])
             one = self.single[numbers[-1]]
             if one.any():
                 edge = np.diff(np.concatenate([[0], one.astype(np.int8), [0]]))
@@ -303,6 +295,7 @@ class Scorer:
     def __init__(self, restorer: Restorer, model: Model) -> None:
         self.restorer, self.model = restorer, model
         self.at = {u: k for k, u in enumerate(model.units)}
+        self.leads = {u.removesuffix("$")[:3] for u in model.units}
         self.reset()
 
     def reset(self) -> None:
@@ -310,7 +303,7 @@ class Scorer:
         self.n_words, self.hit, self.hits = np.zeros(0, np.int64), np.zeros(0, bool), {}
 
     def units(self, words: tuple[str, ...]) -> list[int]:
-        return [self.at[u] for w in words for u in units_of(w) if u in self.at]
+        return [self.at[u] for w in words if w[:3] in self.leads for u in units_of(w) if u in self.at]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if len(self.reader.seen) > self.reader.limit:
