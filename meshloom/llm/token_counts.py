@@ -17,53 +17,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from meshloom.llm.common import binary_table
-from meshloom.llm.units import ByteUnits, Seen, blocks, kept, segments, sums
+from meshloom.llm.units import ByteUnits, Sizes, blocks, kept
 
 
 class PieceCounts(ByteUnits):
-    """How many pieces each distinct unit has; the library counts unseen pre-tokens and their ids are not kept."""
+    """How many pieces each distinct pre-token has; ids of texts are never laid out."""
 
-    def reset(self) -> None:
-        super().reset()
-        self.pieces_of, self.unit_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def tokenize(self, units: list) -> tuple[np.ndarray, np.ndarray]:
-        raise NotImplementedError("pieces are counted, not listed")
+    RUNS = Sizes
 
     def count(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.seen) > self.limit:
-            self.reset()
-        rows, numbers = [], []
-        for i, utf8 in enumerate(texts):
-            for part in map(self.cut, segments(utf8)):
-                numbers.append(self.seen.of(part))
-                rows.append(np.full(len(part), i))
-        self.learn(self.seen.take_new())
-        if not numbers:
-            return np.zeros(len(texts), np.int64)
-        row, number = np.concatenate(rows), np.concatenate(numbers).astype(np.int64)
-        # frequencies of the distinct units of each document, then the join by number and the sum by document
-        pair, frequency = np.unique(row * len(self.seen) + number, return_counts=True)
-        return np.bincount(pair // len(self.seen), self.unit_size[pair % len(self.seen)] * frequency, len(texts)).astype(np.int64)
-
-    def learn(self, units: list) -> None:
-        """Piece counts of unseen units: the pre-tokens of each, counted once for each distinct one."""
-        if not units:
-            return
-        if len(self.pieces) > self.pieces_limit:
-            self.pieces, self.pieces_of = Seen(), np.zeros(0, np.int64)
-        flat: list = []
-        counts = np.zeros(len(units), np.int64)
-        for i, unit in enumerate(units):
-            found = [unit] if isinstance(unit, tuple) else self.pre_tokens(" " + unit if isinstance(unit, str) else unit.decode())
-            counts[i] = len(found)
-            flat += found
-        which = self.pieces.of(flat)
-        new = self.pieces.take_new()
-        if new:
-            _, sizes = self.merge(new)
-            self.pieces_of = np.concatenate([self.pieces_of, sizes])
-        self.unit_size = np.concatenate([self.unit_size, sums(self.pieces_of[which], counts)])
+        """Number of tokens of each text: the piece counts of its distinct units, times their frequencies in it."""
+        which, counts = self.numbers(texts)
+        row = np.repeat(np.arange(len(texts)), counts)
+        width = max(1, len(self.units.seen))
+        pair, frequency = np.unique(row * width + which, return_counts=True)
+        return np.bincount(pair // width, self.units.runs.sizes(pair % width) * frequency, len(texts)).astype(np.int64)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Texts are cut at places where the tokenizer's own pre-tokenization always cuts, so that
 the ids of a text are those of its units end to end. Each worker keeps a bounded table of
-the units it has met; only unseen ones are tokenized. The table is emptied when it is full,
-which costs time and changes nothing.
+the units it has met; only unseen ones are tokenized. When the table is full, units met only
+once are forgotten, which costs time and changes nothing.
 """
 
 from __future__ import annotations
@@ -78,6 +78,46 @@ class Runs:
         return self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(ends[-1])]
 
 
+class Sizes(Runs):
+    """How long the runs are, without their ids."""
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.size = np.concatenate([self.size, sizes])
+
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        return np.zeros(0, np.int32)
+
+
+class Table:
+    """Keys met so far with their runs of ids. When full, keys met only once are forgotten."""
+
+    def __init__(self, limit: int, runs: type[Runs]) -> None:
+        self.limit, self.kind = limit, runs
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen, self.runs, self.hits = Seen(), self.kind(), np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        """If full: keep the keys met twice or more, the most frequent ones up to half of the limit."""
+        if len(self.seen) <= self.limit:
+            return
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
+        keys, runs, hits = list(self.seen), self.runs, self.hits
+        self.clear()
+        self.seen.update((keys[i], k) for k, i in enumerate(keep.tolist()))
+        self.runs.add(runs.gather(keep), runs.sizes(keep))
+        self.hits = hits[keep] // 2
+
+    def note(self, which: np.ndarray) -> None:
+        """Count what was met."""
+        met = np.bincount(which, minlength=len(self.seen))
+        met[: len(self.hits)] += self.hits
+        self.hits = met
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of each of the consecutive groups that ``counts`` sizes; 0 for empty ones."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
@@ -88,12 +128,13 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Units:
     """Shared part: texts to numbers of units, and units to runs of ids."""
 
-    def __init__(self, limit: int = 300_000) -> None:
-        self.limit = limit
-        self.reset()
+    #: What is kept of a run.
+    RUNS: type[Runs] = Runs
+    #: Pieces that are merged in one call.
+    BLOCK = 20_000
 
-    def reset(self) -> None:
-        self.seen, self.runs = Seen(), Runs()
+    def __init__(self, limit: int, pieces_limit: int) -> None:
+        self.units, self.pieces = Table(limit, self.RUNS), Table(pieces_limit, self.RUNS)
 
     def cut(self, utf8: bytes) -> list:
         raise NotImplementedError
@@ -103,29 +144,38 @@ class Units:
 
     def numbers(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the units of all texts, how many each text has); every unit then has its run."""
-        if len(self.seen) > self.limit:
-            self.reset()
+        self.units.make_room()
         found, counts = [], []
         for utf8 in texts:
             n = 0
             for part in segments(utf8):
-                found.append(self.seen.of(self.cut(part)))
+                found.append(self.units.seen.of(self.cut(part)))
                 n += len(found[-1])
             counts.append(n)
-        new = self.seen.take_new()
+        new = self.units.seen.take_new()
         if new:
-            self.runs.add(*self.tokenize(new))
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.array(counts, np.int64)
+            self.units.runs.add(*self.tokenize(new))
+        which = np.concatenate(found) if found else np.zeros(0, np.int32)
+        self.units.note(which)
+        return which, np.array(counts, np.int64)
+
+    def of_pieces(self, pieces: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive groups of pieces, of which only unseen ones are merged."""
+        self.pieces.make_room()
+        which = self.pieces.seen.of(pieces)
+        new = self.pieces.seen.take_new()
+        for i in range(0, len(new), self.BLOCK):
+            self.pieces.runs.add(*self.merge(new[i : i + self.BLOCK]))
+        self.pieces.note(which)
+        return self.pieces.runs.gather(which), sums(self.pieces.runs.sizes(which), counts)
+
+    def merge(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text)."""
         which, counts = self.numbers(texts)
-        return self.runs.gather(which), sums(self.runs.sizes(which), counts)
-
-    def count(self, texts: list[bytes]) -> np.ndarray:
-        """Number of ids of each text; no id of a text is laid out."""
-        which, counts = self.numbers(texts)
-        return sums(self.runs.sizes(which), counts)
+        return self.units.runs.gather(which), sums(self.units.runs.sizes(which), counts)
 
 
 def segments(utf8: bytes) -> Iterator[bytes]:
@@ -150,6 +200,7 @@ class ByteUnits(Units):
     space before a space, or with characters whose class may differ between Unicode versions take slower, exact paths.
     """
 
+    BLOCK = 200_000
     EXACT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
     UNSAFE = re.compile(r"[\s\x85\xa0] ")
 
@@ -161,12 +212,7 @@ class ByteUnits(Units):
         self.pattern = regex.compile(BYTE_PATTERN)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.table.special)) + ")")
         self.bytes_of = {s: b for b, s in enumerate(byte_symbols())}
-        self.pieces_limit = pieces_limit
-        super().__init__(limit)
-
-    def reset(self) -> None:
-        super().reset()
-        self.pieces, self.piece_runs = Seen(), Runs()
+        super().__init__(limit, pieces_limit)
 
     def cut(self, utf8: bytes) -> list:
         text = utf8.decode()
@@ -191,19 +237,13 @@ class ByteUnits(Units):
         return [bytes(byte[c] for c in p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def tokenize(self, units: list) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > self.pieces_limit:
-            self.pieces, self.piece_runs = Seen(), Runs()
         flat: list = []
         counts = np.zeros(len(units), np.int64)
         for i, unit in enumerate(units):
             found = [unit] if isinstance(unit, tuple) else self.pre_tokens(" " + unit if isinstance(unit, str) else unit.decode())
             counts[i] = len(found)
             flat += found
-        which = self.pieces.of(flat)
-        new = self.pieces.take_new()
-        if new:
-            self.piece_runs.add(*self.merge(new))
-        return self.piece_runs.gather(which), sums(self.piece_runs.sizes(which), counts)
+        return self.of_pieces(flat, counts)
 
     def merge(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces through the pair occurrence index; a special string is its own id."""
@@ -225,7 +265,7 @@ class WordUnits(Units):
     their case.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, pieces_limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000, pieces_limit: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -240,42 +280,34 @@ class WordUnits(Units):
         self.model = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.pattern = regex.compile(WORD_PATTERN)
-        self.pieces_limit = pieces_limit
-        super().__init__(limit)
-
-    def reset(self) -> None:
-        super().reset()
-        self.pieces, self.piece_runs = Seen(), Runs()
+        super().__init__(limit, pieces_limit)
 
     def cut(self, utf8: bytes) -> list:
         return utf8.split() if b"<|" in utf8 else utf8.lower().split()
 
     def tokenize(self, units: list) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > self.pieces_limit:
-            self.pieces, self.piece_runs = Seen(), Runs()
         flat: list = []
         counts = np.zeros(len(units), np.int64)
         find = self.pattern.findall
         for i, unit in enumerate(units):
             text = unit.decode()
-            if "<|" in text or not text.isascii() and (ord(max(text)) >= STABLE or "İ" in text):
+            if unit.isalpha() and unit.islower():  # ASCII letters alone
+                counts[i] = 1
+                flat.append(text)
+            elif "<|" in text or not text.isascii() and (ord(max(text)) >= STABLE or "İ" in text):
                 counts[i] = 1
                 flat.append(unit)  # whole: the library normalizes and cuts it
             else:
                 found = find(text.lower())
                 counts[i] = len(found)
                 flat += found
-        which = self.pieces.of(flat)
-        new = self.pieces.take_new()
-        for i in range(0, len(new), 10_000):
-            self.piece_runs.add(*self.ask(new[i : i + 10_000]))
-        return self.piece_runs.gather(which), sums(self.piece_runs.sizes(which), counts)
+        return self.of_pieces(flat, counts)
 
-    def ask(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of unseen pieces from the library: words in one call, told apart by their last ids; whole units one by one."""
         sizes = np.zeros(len(pieces), np.int64)
         words = [i for i, p in enumerate(pieces) if isinstance(p, str)]
-        spelled = ["".join([self.symbols[b] for b in pieces[i].encode()]) for i in words]
+        spelled = [p if (p := pieces[i]).isascii() and p.isprintable() else "".join([self.symbols[b] for b in p.encode()]) for i in words]  # printable ASCII stands for itself
         ids = np.array(self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False).ids if spelled else [], np.int32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):

@@ -58,8 +58,13 @@ def test_long_text_in_segments(monkeypatch):
 def test_small_tables_change_nothing():
     texts = [f"word{i} other{i % 7} é{i}" for i in range(200)]
     small = ByteUnits(BYTE, limit=5, pieces_limit=3)
-    got = [small.encode([t.encode()])[0].tolist() for t in texts]
-    assert got == [BYTE_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [BYTE_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [small.encode([t.encode()])[0].tolist() for t in texts] == want
+    assert [PieceCounts(BYTE, limit=5, pieces_limit=3).count([t.encode()])[0] for t in texts[:9]] == [len(w) for w in want[:9]]
+    small = PieceCounts(BYTE, limit=5, pieces_limit=3)
+    assert [small.count([t.encode()])[0] for t in texts] == list(map(len, want))
+    small = WordUnits(WORD, limit=5, pieces_limit=3)
+    assert [small.encode([t.encode()])[0].tolist() for t in texts] == [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_merge_block_is_plain_merging():
