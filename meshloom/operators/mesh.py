@@ -45,13 +45,13 @@ def tags(table: str, columns: Sequence[str], df: DataFrame) -> None:
 
 @dataclass(frozen=True)
 class Mesh:
-    """``raw_cells``: (orig_gid, v0..v3); ``raw_vertices``: (vid, x, y, z); ``assignment``: (orig_gid, part), else all in part 0."""
+    """``raw_cells``: (orig_gid, v0..v3); ``raw_vertices``: (vid, x, y, z); ``assignment``: (orig_gid, part) or an expression, else all in part 0."""
 
     raw_cells: DataFrame
     raw_vertices: DataFrame
     topology: Topology = TETRAHEDRON
     attributes: tuple[Attribute, ...] = field(default=())
-    assignment: DataFrame | None = None
+    assignment: DataFrame | Column | None = None
     parts: int = 1
     cell_count: int | None = None
 
@@ -101,8 +101,8 @@ class Mesh:
         return replace(self, assignment=assignment.select("orig_gid", F.col("part").cast("int").alias("part")), parts=parts)
 
     def partition_by(self, part: Column, parts: int) -> Mesh:
-        """As ``partition``, by an expression over the raw cells."""
-        return self.partition(self.raw_cells.select("orig_gid", part.alias("part")), parts)
+        """As ``partition``, by an expression over the raw cells: no join is needed."""
+        return replace(self, assignment=part.cast("int"), parts=parts)
 
     @cached_property
     def distributed(self) -> DataFrame:
@@ -110,7 +110,7 @@ class Mesh:
         cells = self.raw_cells.select("orig_gid", *self.slots)
         if self.assignment is None:
             return cells.withColumn("part", F.lit(0))
-        joined = cells.join(self.assignment, "orig_gid", "left")
+        joined = cells.withColumn("part", self.assignment) if isinstance(self.assignment, Column) else cells.join(self.assignment, "orig_gid", "left")
         good = F.col("part").between(0, self.parts - 1)
         return joined.withColumn("part", F.when(good, F.col("part")).otherwise(F.raise_error(F.lit("a cell has no part in range"))))
 
