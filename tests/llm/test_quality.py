@@ -23,7 +23,7 @@ def plain(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     n, chars, symbols, dup = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
     upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
-    bits = [n < 20, 100 * len(covered) > 30 * n, 10 * symbols > 3 * n, 10 * dup > 3 * len(lines), chars < 2 * n or chars > 15 * n, 10 * upper > 6 * letters]
+    bits = [n < 20, 100 * len(covered) > 30 * n, 10 * symbols > 3 * n, 2 * dup > len(lines), chars < 2 * n or chars > 15 * n, 10 * upper > 6 * letters]
     return (n, chars, symbols, dup, len(covered), bits[0] or bits[1], not any(bits), sum(1 << k for k, b in enumerate(bits) if b))
 
 
