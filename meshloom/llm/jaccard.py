@@ -6,7 +6,8 @@ hashes in ascending order. Two sets link when 100 * intersection >= 75 * union.
 with equal sets are one node; links are sought between nodes.
 
 1.  Two linked sets share a token among the first n - ceil(0.75 n) + 1 of each, under any
-    one order of all tokens. Nodes send these tokens; those that only one node has go.
+    one order of all tokens. Tokens that a task meets often come last in it, so that common
+    passages join nobody. Nodes send their first tokens; those that only one node has go.
 2.  Each node is compared with the one node that shares most of its tokens among the least
     nodes of its tokens. What links is partitioned into groups of similar nodes: blocks of
     about GROUP nodes of one component. Within a component nothing more needs to be found.
@@ -25,24 +26,29 @@ No step lists the pairs within a group of copies or near copies, and none drops
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import written
-from meshloom.llm.units import Seen, blocks, segments
+from meshloom.llm.units import blocks
 
 #: Words in a token.
 SHINGLE = 5
 #: Nodes of a group: a union holds the tokens of about so many sets.
 GROUP = 64
+#: Sets of a task, counted in stretches of about COUNTED tokens, that a token occurs in before its occurrences are summed up over all tasks.
+OFTEN, COUNTED = 4, 8_000_000
 #: Components that a token may join before it counts as hot, and the most rounds for hot tokens.
 HOT, ROUNDS = 24, 4
 #: The most hot tokens that are sent to every task; the limit of components doubles until no more are hot.
 HOT_TOKENS = 1_000_000
+#: The most ids that are sent to every task.
+SENT_IDS = 1_000_000
 #: Bits of the filter (fixed size) through which the texts are read for the second time.
 FILTER_BITS = 1 << 24
 
@@ -56,35 +62,73 @@ def first_tokens(n: int) -> int:
     return n - needed(n) + 1
 
 
-class Shingler:
-    """Texts to sorted arrays of distinct 64-bit hashes."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        self.limit = limit
-        self.seen, self.hashes = Seen(), np.zeros(0, np.uint64)
-
-    def words(self, utf8: bytes) -> np.ndarray:
-        found = [self.seen.of(part.lower().split()) for part in segments(utf8)]
-        new = self.seen.take_new()
-        if new:
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
-        return self.hashes[np.concatenate(found)]
-
-    def of(self, utf8: bytes) -> np.ndarray:
-        if len(self.seen) > self.limit:
-            self.seen, self.hashes = Seen(), np.zeros(0, np.uint64)
-        words = self.words(utf8)
-        if not len(words):
-            return words
-        size = min(SHINGLE, len(words))
-        n = len(words) - size + 1
-        out = np.full(n, size, np.uint64)
-        for k in range(size):
-            out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-            out ^= out >> np.uint64(32)
-        return np.unique(out)
+#: Random numbers that stand for bytes, and the odd number whose powers stand for places: words hash as sums of products.
+BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+PLACE = 0xD1342543DE82EF95
+CHUNK = 1 << 20
+IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of PLACE and of its inverse, from 0 to n - 1."""
+    out = []
+    for base in (PLACE, pow(PLACE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of a text in lower case, where they begin)."""
+    octets = np.frombuffer(raw, np.uint8)
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(octets):
+        end = at + CHUNK
+        if end < len(octets):  # cut at white space
+            white = np.flatnonzero(IS_WHITE[octets[at:end]])
+            while not len(white) and end < len(octets):
+                end += CHUNK
+                white = np.flatnonzero(IS_WHITE[octets[at:end]])
+            if len(white) and end < len(octets):
+                end = at + int(white[-1]) + 1
+        part = octets[at:end]
+        inside = np.concatenate([[False], ~IS_WHITE[part], [False]])
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+        up, down = powers(CHUNK) if len(part) <= CHUNK else powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * up[: len(part)], out=sums[1:])
+        hashes.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        places.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def token_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct 64-bit tokens of each text."""
+    words, places = word_hashes(b"\n".join(texts).lower())
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    n_words = np.diff(np.searchsorted(places, begins))
+    tokens = np.full(max(0, len(words) - SHINGLE + 1), SHINGLE, np.uint64)
+    for k in range(SHINGLE if len(tokens) else 0):
+        tokens = mixed((tokens ^ words[k : k + len(tokens)]) * np.uint64(0x9E3779B97F4A7C15))
+    out, at = [], 0
+    for n in n_words.tolist():
+        if n >= SHINGLE:
+            out.append(np.unique(tokens[at : at + n - SHINGLE + 1]))
+        else:
+            one = np.full(min(n, 1), n, np.uint64)
+            for k in range(n):
+                one = mixed((one ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15))
+            out.append(one)
+        at += n
+    return out
 
 
 def short(tokens: np.ndarray) -> bytes:
@@ -92,6 +136,11 @@ def short(tokens: np.ndarray) -> bytes:
     return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """48-bit integers as ``short`` has them."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def long(raw: bytes) -> np.ndarray:
     """The 48-bit tokens of ``short`` as integers."""
     wide = np.zeros((len(raw) // 6, 8), np.uint8)
@@ -103,18 +152,57 @@ def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("utf8"))
 
 
-def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n, sig, first): set size, hash of the set, and its first tokens in hash order."""
+def frequent_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
+    """Tokens that many sets have, ascending: candidates for the end of the order. It may miss some, and need not be exact."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(list(held.values())) >> np.uint64(16), return_counts=True)
+            many = n >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(tokens[many].astype(np.int64)), pa.array(n[many])], names=["tok", "n"])
+
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for part in blocks(batches):
+            for tokens in token_sets(part.column("utf8").to_pylist()):
+                if len(tokens) and held.setdefault(xxhash.xxh64_intdigest(tokens.tobytes()), tokens) is tokens:
+                    size += len(tokens)
+            if size > COUNTED:
+                yield often()
+                held, size = {}, 0
+        if held:
+            yield often()
+
+    counts = texts_of(docs, key, text).select("utf8").mapInArrow(work, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("n") > HOT), "frequent")
+    least = HOT
+    while counts.where(F.col("n") > least).count() > HOT_TOKENS:
+        least *= 2
+    return np.sort(counts.where(F.col("n") > least).select("tok").toPandas()["tok"].to_numpy(np.int64))
+
+
+def within(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of the tokens are hot ones (ascending)."""
+    if not len(hot):
+        return np.zeros(len(tokens), bool)
+    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+
+
+def in_order(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first tokens of a set (48 bits, ascending) in the order that puts hot tokens last."""
+    return tokens[np.argsort(within(tokens, hot), kind="stable")][: first_tokens(len(tokens))]
+
+
+def shingled(docs: DataFrame, key: str, text: str, hot: np.ndarray) -> DataFrame:
+    """(doc_id, n, sig, first): set size, hash of the set, and its first tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for part in blocks(batches):
             sizes, sigs, firsts = [], [], []
-            for utf8 in part.column("utf8").to_pylist():
-                tokens = shingler.of(utf8)
+            for tokens in token_sets(part.column("utf8").to_pylist()):
                 sizes.append(len(tokens))
                 sigs.append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63))
-                firsts.append(short(tokens[: first_tokens(len(tokens))]) if len(tokens) else b"")
+                firsts.append(packed(in_order((tokens >> np.uint64(16)).astype(np.int64), hot)) if len(tokens) else b"")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(firsts, pa.binary())], names=["doc_id", "n", "sig", "first"])
 
     return texts_of(docs, key, text).mapInArrow(work, "doc_id long, n long, sig long, first binary")
@@ -150,14 +238,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, column: str, key: str, text: str) -
     probes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"p{k}") for k in range(2)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             passes = np.ones(batch.num_rows, bool)
             for k in range(2):
                 bit = batch.column(f"p{k}").to_numpy(zero_copy_only=False)
                 passes &= (words[bit >> 6] >> (bit & 63) & 1).astype(bool)
             for part in blocks([batch.filter(pa.array(passes))]):
-                tokens = [shingler.of(utf8) for utf8 in part.column("utf8").to_pylist()]
+                tokens = token_sets(part.column("utf8").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, tokens)), pa.int64()), pa.array(list(map(short, tokens)), pa.binary())], names=["id", "n", "tokens"])
 
     rows = texts_of(docs, key, text).where("doc_id is not null").select("*", *probes)
@@ -172,6 +259,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def of_ids(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of these distinct ids. Up to SENT_IDS of them are sent to every task, so that no other set is moved; more are joined."""
+    ids = written(ids, "ids")
+    few = ids.count() <= SENT_IDS
+    return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets link, each compared exactly."""
 
@@ -183,8 +277,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * ((len(ra) + len(rb)) // 6 - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    left, right = (of_ids(sets, pairs.select(F.col(c).alias("id")).distinct()).select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,10 +354,10 @@ def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets:
         tokens = np.zeros(0, np.int64)
         for batch in groups:
             tokens = np.unique(np.concatenate([tokens, *(long(raw) for raw in batch.column("tokens").to_pylist())]))
-        raw = tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([raw], pa.binary())], names=["gcomp", "block", "tu"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([packed(tokens)], pa.binary())], names=["gcomp", "block", "tu"])
 
-    unions = own.join(sets.select(F.col("id").alias("rep"), "tokens"), "rep").select("gcomp", "block", "tokens").groupBy("gcomp", "block").applyInArrow(union, "gcomp long, block long, tu binary")
+    of = lambda ids: of_ids(sets, ids.select(F.col("rep").alias("id")).distinct()).select(F.col("id").alias("rep"), "tokens")
+    unions = own.join(of(own), "rep").select("gcomp", "block", "tokens").groupBy("gcomp", "block").applyInArrow(union, "gcomp long, block long, tu binary")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +367,7 @@ def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets:
                 keep.append(overlap(long(raw), long(whole)) >= max(needed(n), -(-3 * (n + low) // 7)))
             yield batch.select(["rep", "n", "gcomp", "block"]).filter(pa.array(keep, pa.bool_()))
 
-    queries = met.join(sets.select(F.col("id").alias("rep"), "tokens"), "rep").join(unions, ["gcomp", "block"]).select("rep", "n", "gcomp", "block", "low", "tokens", "tu")
+    queries = met.join(of(met), "rep").join(unions, ["gcomp", "block"]).select("rep", "n", "gcomp", "block", "low", "tokens", "tu")
     opened = queries.mapInArrow(bound, "rep long, n long, gcomp long, block long").join(own.select("gcomp", "block", F.col("rep").alias("b"), F.col("n").alias("m")), ["gcomp", "block"])
     return linked(opened.where(size_fits(F.col("n"), F.col("m"), F.col("m"))).select(F.col("rep").alias("a"), "b").distinct(), sets)
 
@@ -283,8 +378,7 @@ def reordered(sets: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, n, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens")), strict=True):
-                tokens = long(raw)
-                tokens = tokens[np.argsort(np.isin(tokens, hot), kind="stable")][: first_tokens(n)]
+                tokens = in_order(long(raw), hot)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), rep)), pa.array(np.full(len(tokens), n))], names=["tok", "rep", "n"])
 
     rows = sets.select(F.col("id").alias("rep"), "n", "tokens").join(nodes.select("rep").distinct(), "rep", "left_semi")
@@ -298,14 +392,13 @@ def of_two_or_more(rows: DataFrame, node: str) -> DataFrame:
     return dealt.join(several, "tok").dropDuplicates(["tok", node])
 
 
-def links(docs: DataFrame, table: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame | None:
+def links(docs: DataFrame, table: DataFrame, reps: DataFrame, hot: np.ndarray, key: str, text: str) -> DataFrame | None:
     """(a, b): enough links between nodes that their components are those of all links; None if there is none."""
     shared = written(of_two_or_more(first_rows(table), "sig").join(reps, "sig").select("tok", "rep", "n"), "shared")
     if shared.isEmpty():
         return None
     sets = written(sets_of(docs, shared.select("rep").distinct(), "rep", key, text), "sets")
     found: DataFrame | None = None
-    hot = np.zeros(0, np.int64)
     for k in range(ROUNDS):
         stars = linked(star_pairs(shared), sets)
         found = written(stars if found is None else found.unionByName(stars), "links")
@@ -313,16 +406,19 @@ def links(docs: DataFrame, table: DataFrame, reps: DataFrame, key: str, text: st
         placed = written(with_components(shared, comps), "placed")
         degrees = written(placed.select("tok", "comp").distinct().groupBy("tok").agg(F.count("*").alias("k")).where("k > 1"), "degrees")
         limit = None if k == ROUNDS - 1 else HOT
-        n_hot = 0 if limit is None else degrees.where(F.col("k") > limit).count()
+        above = lambda: degrees.where(F.col("k") > limit).select("tok")
+        n_hot = 0 if limit is None else above().count()
         while n_hot > HOT_TOKENS:
             limit *= 2
-            n_hot = degrees.where(F.col("k") > limit).count()
-        found = written(found.unionByName(cross_links(placed, degrees, limit if n_hot else None, sets, comps)), "links")
+            n_hot = above().count()
+        new = above().toPandas()["tok"].to_numpy(np.int64) if n_hot else np.zeros(0, np.int64)
+        if within(new, hot).all():  # putting them last again would change nothing
+            n_hot, limit = 0, None
+        found = written(found.unionByName(cross_links(placed, degrees, limit, sets, comps)), "links")
         if not n_hot:
             break
-        new = degrees.where(F.col("k") > limit).select("tok").toPandas()["tok"].to_numpy(np.int64)
-        hot = np.unique(np.concatenate([hot, new]))
-        affected = placed.join(degrees.where(F.col("k") > limit).select("tok"), "tok", "left_semi").select("rep").distinct()
+        hot = np.union1d(hot, new)
+        affected = placed.join(above(), "tok", "left_semi").select("rep").distinct()
         shared = written(of_two_or_more(reordered(sets, affected, hot), "rep").select("tok", "rep", "n"), "shared")
         if shared.isEmpty():
             break
@@ -336,13 +432,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     their texts. A row without a key makes no link; it gets the component of the documents with an equal set, else null.
     An empty table gives no rows.
     """
-    table = written(shingled(docs, key, text), "shingles")
+    hot = frequent_tokens(docs, key, text)
+    table = written(shingled(docs, key, text, hot), "shingles")
     reps = written(table.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "nodes")
     rows = table.select("doc_id", "n", "sig").join(reps.select("sig", "n", "rep"), ["sig", "n"], "left")
     # rows that repeat a key with other texts: all their sets belong together
     extra = table.where("n > 0 and doc_id is not null").join(reps, ["sig", "n"]).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c"))
     repeats = extra.where("b <> c").select(F.col("b"), F.col("c").alias("a"))
-    found = links(docs, table, reps, key, text)
+    found = links(docs, table, reps, hot, key, text)
     edges = repeats if found is None else found.unionByName(repeats.select("a", "b"))
     comps = written(components(edges.select("a", "b")), "components")
     rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
