@@ -5,13 +5,13 @@ one byte. Each rank takes one to four bytes; two bits of a control byte hold the
 each of four ranks. Control bytes and data bytes lie apart, so numpy decodes a file with one
 table lookup for the lengths and one gather for the values.
 
-A file (little-endian): magic, then as unsigned 64-bit integers the number of ranks it
-carries (0: they are in ``ranks`` beside it), of documents, of ids, of ids in all files
-before it, and of data bytes; the ids by rank (32 bits each), a byte for each document that
-is 1 if it has a key, the keys (64 bits), the numbers of ids (64 bits), control, data.
+A file (little-endian): magic, then as unsigned 64-bit integers the number of documents, of
+ids, of ids in all files before it, and of data bytes; a byte for each document that is 1 if
+it has a key, the keys (64 bits), the numbers of ids (64 bits), control, data. The file
+``ranks`` beside them has the ids by rank (32 bits each).
 
 Writing: texts go to ranges of the key in one shuffle, and each range is tokenized in key
-order into a draft that ranks its own ids. The ids' counts, one row for each id and range,
+order into a draft of plain ids. The ids' counts, one row for each id and range,
 are summed; the vocabulary bounds what the driver gets. Then each draft is coded again with
 the ranks of the corpus and deleted once the file stands. Every file is written under
 another name and moved, so tasks can run again at any time.
@@ -32,7 +32,8 @@ from meshloom.llm.common import binary_table, file_system, put_file, written
 from meshloom.llm.units import WordUnits, blocks, kept
 
 MAGIC = b"MLTOKENS"
-HEAD = struct.Struct("<8s5Q")
+HEAD = struct.Struct("<8s4Q")
+DRAFT = struct.Struct("<3Q")
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -62,39 +63,57 @@ def ranked(counts: np.ndarray) -> np.ndarray:
     return order[: int((counts > 0).sum())].astype(np.uint32)
 
 
-def file_parts(keys: list, sizes: np.ndarray, ids: np.ndarray, first: int, by_rank: np.ndarray, carried: bool) -> Iterator[bytes]:
-    rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    control, data = pack(rank[ids] if len(ids) else np.zeros(0, np.uint32))
-    yield HEAD.pack(MAGIC, len(by_rank) * carried, len(keys), len(ids), first, len(data))
-    if carried:
-        yield by_rank.astype("<u4").tobytes()
+def documents_part(keys: list, sizes: np.ndarray) -> Iterator[bytes]:
     yield bytes(k is not None for k in keys)
     yield np.array([0 if k is None else k for k in keys], "<i8").tobytes()
     yield sizes.astype("<i8").tobytes()
+
+
+def read_documents(raw: bytes, n: int, at: int) -> tuple[list, np.ndarray, int]:
+    """(keys, numbers of ids, where what follows begins)"""
+    known, keys, sizes = np.frombuffer(raw, np.uint8, n, at), np.frombuffer(raw, "<i8", n, at + n), np.frombuffer(raw, "<i8", n, at + 9 * n)
+    return [k if there else None for k, there in zip(keys.tolist(), known.tolist(), strict=True)], sizes, at + 17 * n
+
+
+def file_parts(keys: list, sizes: np.ndarray, ids: np.ndarray, first: int, by_rank: np.ndarray) -> Iterator[bytes]:
+    rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    control, data = pack(rank[ids] if len(ids) else np.zeros(0, np.uint32))
+    yield HEAD.pack(MAGIC, len(keys), len(ids), first, len(data))
+    yield from documents_part(keys, sizes)
     yield control
     yield data
 
 
-def read_file(url: str, by_rank: np.ndarray | None = None) -> tuple[list, np.ndarray, np.ndarray, int]:
-    """(keys, numbers of ids, ids, ids in all files before) of a file; ``by_rank`` if it carries no ranks."""
-    system, path = file_system(url)
-    with system.open_input_file(path) as f:
-        raw = f.read()
-    magic, n_ranks, n_docs, n_ids, first, n_data = HEAD.unpack_from(raw)
+def read_file(url: str, by_rank: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """(keys, numbers of ids, ids, ids in all files before) of a file."""
+    raw = whole_file(url)
+    magic, n_docs, n_ids, first, n_data = HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError(f"{url} is no token file")
-    at = HEAD.size
-    if n_ranks:
-        by_rank = np.frombuffer(raw, "<u4", n_ranks, at)
-        at += 4 * n_ranks
-    known = np.frombuffer(raw, np.uint8, n_docs, at)
-    keys = np.frombuffer(raw, "<i8", n_docs, at + n_docs)
-    sizes = np.frombuffer(raw, "<i8", n_docs, at + 9 * n_docs)
-    at += 17 * n_docs
+    keys, sizes, at = read_documents(raw, n_docs, HEAD.size)
     n_control = -(-n_ids // 4)
-    ids = by_rank[unpack(raw[at : at + n_control], raw[at + n_control : at + n_control + n_data], n_ids)]
-    return [k if there else None for k, there in zip(keys.tolist(), known.tolist(), strict=True)], sizes, ids, first
+    return keys, sizes, by_rank[unpack(raw[at : at + n_control], raw[at + n_control : at + n_control + n_data], n_ids)], first
+
+
+def draft_parts(keys: list, sizes: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
+    """Plain ids, as wide as their type."""
+    yield DRAFT.pack(len(keys), len(ids), ids.itemsize)
+    yield from documents_part(keys, sizes)
+    yield ids.tobytes()
+
+
+def read_draft(url: str) -> tuple[list, np.ndarray, np.ndarray]:
+    raw = whole_file(url)
+    n_docs, n_ids, width = DRAFT.unpack_from(raw)
+    keys, sizes, at = read_documents(raw, n_docs, DRAFT.size)
+    return keys, sizes, np.frombuffer(raw, f"<u{width}", n_ids, at)
+
+
+def whole_file(url: str) -> bytes:
+    system, path = file_system(url)
+    with system.open_input_file(path) as f:
+        return f.read()
 
 
 def range_part(column: Column, bounds: list[int]) -> Column:
@@ -133,7 +152,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int, par
         def close() -> pa.RecordBatch:
             flat, n = np.concatenate(ids), np.concatenate(sizes)
             counts = np.bincount(flat)
-            put_file(f"{folder}/draft-{part:08d}", file_parts(keys, n, flat, 0, ranked(counts), True))
+            put_file(f"{folder}/draft-{part:08d}", draft_parts(keys, n, flat))
             seen = np.flatnonzero(counts)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), part, np.int32)), pa.array(seen), pa.array(counts[seen])], names=["part", "id", "n"])
 
@@ -171,8 +190,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int, par
             for k, part, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, old = file_system(f"{folder}/draft-{part:08d}")
                 if system.get_file_info(old).type != fs.FileType.NotFound:  # else the file stands since an earlier attempt
-                    keys, sizes, ids, _ = read_file(f"{folder}/draft-{part:08d}")
-                    put_file(f"{folder}/tokens-{k:08d}", file_parts(keys, sizes, ids, start, by_rank, False))
+                    keys, sizes, ids = read_draft(f"{folder}/draft-{part:08d}")
+                    put_file(f"{folder}/tokens-{k:08d}", file_parts(keys, sizes, ids, start, by_rank))
                     system.delete_file(old)
             yield batch
 
@@ -192,9 +211,7 @@ def read_tokens(spark: SparkSession, folder: str, files: int, key: str = "doc_id
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                system, path = file_system(f"{folder}/ranks")
-                with system.open_input_file(path) as f:
-                    by_rank = np.frombuffer(f.read(), "<u4")
+                by_rank = np.frombuffer(whole_file(f"{folder}/ranks"), "<u4")
                 keys, sizes, ids, first = read_file(f"{folder}/tokens-{k:08d}", by_rank)
                 ends = np.cumsum(sizes)
                 for i in range(0, len(keys), 2_000):
