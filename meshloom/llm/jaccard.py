@@ -6,10 +6,10 @@ hashes in ascending order. Two sets link when 100 * intersection >= 75 * union.
 with equal sets are one node; links are sought between nodes.
 
 1.  Two linked sets share a token among the first n - ceil(0.75 n) + 1 of each, under any
-    one order of all tokens. Tokens that a task meets often come last in it, so that common
-    passages join nobody. Nodes send their first tokens; those that only one node has go.
-2.  Each node is compared with the one node that shares most of its tokens among the least
-    nodes of its tokens. What links is partitioned into groups of similar nodes: blocks of
+    one order of all tokens. Frequent tokens come last in it, so that common passages join
+    nobody. Nodes send their first tokens; those that only one node has go.
+2.  Each token proposes a few of its nodes as stars, and each node is compared with the
+    stars that share most of its tokens, one of each kind. What links is partitioned into groups of similar nodes: blocks of
     about GROUP nodes of one component. Within a component nothing more needs to be found.
 3.  The token-group matrix has an entry for each token and group. A query node meets the
     groups of other components through the tokens they share. Sizes and the number of
@@ -25,7 +25,7 @@ No step lists the pairs within a group of copies or near copies, and none drops
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -41,14 +41,18 @@ from meshloom.llm.units import blocks
 SHINGLE = 5
 #: Nodes of a group: a union holds the tokens of about so many sets.
 GROUP = 64
-#: Sets of a task, counted in stretches of about COUNTED tokens, that a token occurs in before its occurrences are summed up over all tasks.
-OFTEN, COUNTED = 4, 8_000_000
+#: The share of a set's tokens, in hash order, among which frequent ones are counted: more than its first tokens.
+COUNTED = 0.35
+#: Tokens that a task counts at once, and buckets of counts for each input partition.
+STRETCH, BUCKETS = 1_000_000, 8
+#: Rows of a batch between Spark and Python, while the join runs: texts and sets are long.
+BATCH_ROWS = 1_000
+#: Nodes that each token proposes as stars.
+STARS = 3
 #: Components that a token may join before it counts as hot, and the most rounds for hot tokens.
-HOT, ROUNDS = 24, 4
+HOT, ROUNDS = 24, 2
 #: The most hot tokens that are sent to every task; the limit of components doubles until no more are hot.
 HOT_TOKENS = 1_000_000
-#: The most ids that are sent to every task.
-SENT_IDS = 1_000_000
 #: Bits of the filter (fixed size) through which the texts are read for the second time.
 FILTER_BITS = 1 << 24
 
@@ -153,28 +157,44 @@ def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def frequent_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
-    """Tokens that many sets have, ascending: candidates for the end of the order. It may miss some, and need not be exact."""
+    """The first 40 bits of tokens that more than HOT sets have among their first COUNTED ones, ascending.
+
+    They go last in the order; any choice gives right results. Each stretch of a task sends its tokens in byte strings, one
+    for each bucket of the hash; there are BUCKETS buckets for each input partition, so what a bucket gets doesn't grow.
+    """
+    texts = texts_of(docs, key, text).select("utf8")
+    bits = min(38, max(8, (BUCKETS * texts.rdd.getNumPartitions()).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def often() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(list(held.values())) >> np.uint64(16), return_counts=True)
-            many = n >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(tokens[many].astype(np.int64)), pa.array(n[many])], names=["tok", "n"])
+        def strings() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(list(held.values())))
+            buckets = (tokens >> np.uint64(40 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(buckets)) + 1
+            parts = np.split(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], cuts)
+            return pa.RecordBatch.from_arrays([pa.array(buckets[np.append(0, cuts)]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "raw"])
 
         held: dict[int, np.ndarray] = {}
         size = 0
         for part in blocks(batches):
             for tokens in token_sets(part.column("utf8").to_pylist()):
-                if len(tokens) and held.setdefault(xxhash.xxh64_intdigest(tokens.tobytes()), tokens) is tokens:
-                    size += len(tokens)
-            if size > COUNTED:
-                yield often()
+                first = tokens[: int(len(tokens) * COUNTED) + 1] >> np.uint64(24)
+                if len(first) and held.setdefault(xxhash.xxh64_intdigest(tokens.tobytes()), first) is first:
+                    size += len(first)
+            if size > STRETCH:
+                yield strings()
                 held, size = {}, 0
         if held:
-            yield often()
+            yield strings()
+
+    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = b"".join(r for batch in batches for r in batch.column("raw").to_pylist())
+        wide = np.zeros((len(raw) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        tokens, n = np.unique(wide.view("<u8").reshape(-1).astype(np.int64), return_counts=True)
+        many = n > HOT
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[many]), pa.array(n[many])], names=["tok", "n"])
 
-    counts = texts_of(docs, key, text).select("utf8").mapInArrow(work, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    counts = written(counts.where(F.col("n") > HOT), "frequent")
+    counts = written(texts.mapInArrow(work, "bucket long, raw binary").groupBy("bucket").applyInArrow(count, "tok long, n long"), "frequent")
     least = HOT
     while counts.where(F.col("n") > least).count() > HOT_TOKENS:
         least *= 2
@@ -182,10 +202,10 @@ def frequent_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
 
 def within(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which of the tokens are hot ones (ascending)."""
+    """Which of the tokens (48 bits) begin as hot ones do (40 bits, ascending)."""
     if not len(hot):
         return np.zeros(len(tokens), bool)
-    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+    return hot[np.minimum(np.searchsorted(hot, tokens >> 8), len(hot) - 1)] == tokens >> 8
 
 
 def in_order(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -259,13 +279,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def of_ids(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of these distinct ids. Up to SENT_IDS of them are sent to every task, so that no other set is moved; more are joined."""
-    ids = written(ids, "ids")
-    few = ids.count() <= SENT_IDS
-    return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets link, each compared exactly."""
 
@@ -277,9 +290,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * ((len(ra) + len(rb)) // 6 - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs.select("a", "b"), "pairs")
-    left, right = (of_ids(sets, pairs.select(F.col(c).alias("id")).distinct()).select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    left, right = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,11 +320,19 @@ def size_fits(n: Column, least: Column, most: Column) -> Column:
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each node b with the node a that shares most of its tokens, among the least nodes of its tokens."""
-    least = shared.groupBy("tok").agg(F.min(F.struct("rep", "n")).alias("lead"))
-    pairs = shared.join(least, "tok").where("rep <> lead.rep").groupBy("rep", "n", "lead").agg(F.count("*").alias("c"))
-    alike = pairs.where(size_fits(F.col("n"), F.col("lead.n"), F.col("lead.n")) & (F.col("c") > F.least("n", F.col("lead.n")) / 16))
-    return alike.groupBy(F.col("rep").alias("b")).agg(F.max_by("lead.rep", F.struct(F.col("c"), -F.col("lead.rep"))).alias("a"))
+    """(a, b): each node b with up to STARS nodes a that share most of its tokens.
+
+    Of each token's nodes, the one that shares the largest part of its own tokens with any node is a star, as an original
+    among its edited copies would be, and the least ones by some hashes are others.
+    """
+    kinds = range(STARS)
+    common = shared.groupBy("rep").agg((F.count("*") / F.first("n")).alias("q"))
+    order = [F.struct("q", F.xxhash64("rep", F.lit(k))) if k == 0 else F.xxhash64("rep", F.lit(k)) for k in kinds]
+    least = shared.join(common, "rep").groupBy("tok").agg(*[F.max_by(F.struct("rep", "n"), by).alias(f"lead{k}") for k, by in enumerate(order)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"lead{k}.rep").alias("a"), F.col(f"lead{k}.n").alias("m")) for k in kinds]))
+    pairs = shared.join(least, "tok").select("rep", "n", each.alias("s")).select("rep", "n", "s.*").where("rep <> a").groupBy("rep", "n", "k", "a", "m").agg(F.count("*").alias("c"))
+    alike = pairs.where(size_fits(F.col("n"), F.col("m"), F.col("m")) & (F.col("c") > F.least("n", "m") / 16))
+    return alike.groupBy(F.col("rep").alias("b"), "k").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b").distinct()
 
 
 def with_components(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -321,10 +341,11 @@ def with_components(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     return nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets: DataFrame, comps: DataFrame | None) -> DataFrame:
+def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links between components: query nodes against groups through tokens that at most ``limit`` components share.
 
-    ``placed``: (tok, rep, n, comp). ``degrees``: (tok, k) with k components, for tokens of two or more.
+    ``placed``: (tok, rep, n, comp). ``degrees``: (tok, k) with k components, for tokens of two or more. ``sets_of``: the
+    sets (id, n, tokens) of nodes (rep); only those of candidates are asked for.
     """
     used = degrees if limit is None else degrees.where(F.col("k") <= limit)
     hot = None if limit is None else degrees.where(F.col("k") > limit)
@@ -356,8 +377,9 @@ def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets:
             tokens = np.unique(np.concatenate([tokens, *(long(raw) for raw in batch.column("tokens").to_pylist())]))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([packed(tokens)], pa.binary())], names=["gcomp", "block", "tu"])
 
-    of = lambda ids: of_ids(sets, ids.select(F.col("rep").alias("id")).distinct()).select(F.col("id").alias("rep"), "tokens")
-    unions = own.join(of(own), "rep").select("gcomp", "block", "tokens").groupBy("gcomp", "block").applyInArrow(union, "gcomp long, block long, tu binary")
+    sets = written(sets_of(met.select("rep").unionByName(own.select("rep")).distinct()), "sets")
+    of_rep = sets.select(F.col("id").alias("rep"), "tokens")
+    unions = own.join(of_rep, "rep").select("gcomp", "block", "tokens").groupBy("gcomp", "block").applyInArrow(union, "gcomp long, block long, tu binary")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,7 +389,7 @@ def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets:
                 keep.append(overlap(long(raw), long(whole)) >= max(needed(n), -(-3 * (n + low) // 7)))
             yield batch.select(["rep", "n", "gcomp", "block"]).filter(pa.array(keep, pa.bool_()))
 
-    queries = met.join(of(met), "rep").join(unions, ["gcomp", "block"]).select("rep", "n", "gcomp", "block", "low", "tokens", "tu")
+    queries = met.join(of_rep, "rep").join(unions, ["gcomp", "block"]).select("rep", "n", "gcomp", "block", "low", "tokens", "tu")
     opened = queries.mapInArrow(bound, "rep long, n long, gcomp long, block long").join(own.select("gcomp", "block", F.col("rep").alias("b"), F.col("n").alias("m")), ["gcomp", "block"])
     return linked(opened.where(size_fits(F.col("n"), F.col("m"), F.col("m"))).select(F.col("rep").alias("a"), "b").distinct(), sets)
 
@@ -397,10 +419,12 @@ def links(docs: DataFrame, table: DataFrame, reps: DataFrame, hot: np.ndarray, k
     shared = written(of_two_or_more(first_rows(table), "sig").join(reps, "sig").select("tok", "rep", "n"), "shared")
     if shared.isEmpty():
         return None
-    sets = written(sets_of(docs, shared.select("rep").distinct(), "rep", key, text), "sets")
+    of = lambda ids: sets_of(docs, ids, "rep", key, text)
     found: DataFrame | None = None
     for k in range(ROUNDS):
-        stars = linked(star_pairs(shared), sets)
+        pairs = written(star_pairs(shared), "pairs")
+        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        stars = linked(pairs, written(of(ids), "sets"))
         found = written(stars if found is None else found.unionByName(stars), "links")
         comps = written(components(found), "components")
         placed = written(with_components(shared, comps), "placed")
@@ -414,12 +438,12 @@ def links(docs: DataFrame, table: DataFrame, reps: DataFrame, hot: np.ndarray, k
         new = above().toPandas()["tok"].to_numpy(np.int64) if n_hot else np.zeros(0, np.int64)
         if within(new, hot).all():  # putting them last again would change nothing
             n_hot, limit = 0, None
-        found = written(found.unionByName(cross_links(placed, degrees, limit, sets, comps)), "links")
+        found = written(found.unionByName(cross_links(placed, degrees, limit, of)), "links")
         if not n_hot:
             break
-        hot = np.union1d(hot, new)
-        affected = placed.join(above(), "tok", "left_semi").select("rep").distinct()
-        shared = written(of_two_or_more(reordered(sets, affected, hot), "rep").select("tok", "rep", "n"), "shared")
+        hot = np.union1d(hot, new >> 8)
+        affected = written(placed.join(above(), "tok", "left_semi").select("rep").distinct(), "affected")
+        shared = written(of_two_or_more(reordered(of(affected), affected, hot), "rep").select("tok", "rep", "n"), "shared")
         if shared.isEmpty():
             break
     return found
@@ -432,6 +456,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     their texts. A row without a key makes no link; it gets the component of the documents with an equal set, else null.
     An empty table gives no rows.
     """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH_ROWS))
+    try:  # all steps that run Python end here: their results are written tables
+        return _jaccard_components(docs, key, text)
+    finally:
+        conf.set(name, before)
+
+
+def _jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     hot = frequent_tokens(docs, key, text)
     table = written(shingled(docs, key, text, hot), "shingles")
     reps = written(table.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "nodes")
