@@ -19,6 +19,7 @@ equally. Without a toxic or a clean label every score is the prevalence (0 if un
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,8 +47,8 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = " .-_*~,'/\\"
 #: Costs (negative logarithms) of the channel: a sign for a letter, a separator that means nothing, a letter written more often than meant.
 SIGN_COST, SEPARATOR_COST, REPEAT_COST = 1.5, 1.0, 1.0
-#: Longest stretch that is decoded as one lattice; longer ones are cut there.
-LATTICE_CHARS = 64
+#: Places of a lattice after which the start that all readings share is settled, so that long lattices take little memory.
+SETTLE_CHARS = 4096
 
 
 def class_table() -> np.ndarray:
@@ -111,47 +112,80 @@ class Restorer:
             return (word,)
         bare = self.EDGES.sub("", word)
         if self.SUSPECT.search(bare):
-            return tuple(w for i in range(0, len(bare), LATTICE_CHARS) for w in self.PARTS.findall(self.decode(bare[i : i + LATTICE_CHARS])))
+            return tuple(self.PARTS.findall(self.decode(bare)))
         return tuple(self.PARTS.findall(bare))
 
     def spelled(self, letters: list[str]) -> tuple[str, ...]:
         """The words that letters written one by one are read as."""
-        raw = " ".join(letters)
-        return tuple(w for i in range(0, len(raw), LATTICE_CHARS) for w in self.PARTS.findall(self.decode(raw[i : i + LATTICE_CHARS].strip())))
+        return tuple(self.PARTS.findall(self.decode(" ".join(letters))))
 
-    def arcs(self, raw: str) -> list[list[tuple[int, str, float]]]:
+    def arcs(self, raw: str) -> Iterator[list[tuple[int, str, float]]]:
         """For each place the (next place, what is read, cost) that may follow."""
-        out: list[list[tuple[int, str, float]]] = []
         for i, ch in enumerate(raw):
             here = [(i + 1, ch if ch not in SEPARATORS else " ", 0.0)]
             here += [(i + 1, letter, SIGN_COST) for letter in LOOKS_LIKE.get(ch, "")]
             if ch in SEPARATORS:
                 here.append((i + 1, "", SEPARATOR_COST))
-            end = i
-            while end < len(raw) and raw[end] == ch:
-                end += 1
-            if end - i > 2 and ch.isalpha() and (i == 0 or raw[i - 1] != ch):
-                here += [(end, ch, REPEAT_COST), (end, ch * 2, REPEAT_COST)]
-            out.append(here)
-        return out
+            if ch.isalpha() and (i == 0 or raw[i - 1] != ch):
+                end = i
+                while end < len(raw) and raw[end] == ch:
+                    end += 1
+                if end - i > 2:
+                    here += [(end, ch, REPEAT_COST), (end, ch * 2, REPEAT_COST)]
+            yield here
 
     def decode(self, raw: str) -> str:
-        """The cheapest reading."""
-        costs, arcs = self.costs, self.arcs(raw)
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(raw) + 1)]
-        best[0][BOUNDARY, BOUNDARY] = (0.0, "")
-        for i, here in enumerate(arcs):
-            for (a, b), (cost, text) in best[i].items():
+        """The cheapest reading of all of it.
+
+        A reading is a chain of steps [step before, what is read, place]. Readings that lose are freed, and what all
+        that are left share is settled from time to time.
+        """
+        costs = self.costs
+        first: list = [None, "", 0]
+        best: dict[int, dict[tuple[int, int], tuple[float, list]]] = {0: {(BOUNDARY, BOUNDARY): (0.0, first)}}
+        settled: list[str] = []
+        settle_at = SETTLE_CHARS
+        for i, here in enumerate(self.arcs(raw)):
+            if i == settle_at:
+                shared = common_step([step for states in best.values() for _, step in states.values()])
+                settled.append(reading(shared))
+                shared[:2] = None, ""
+                settle_at = i + max(SETTLE_CHARS, i - shared[2])
+            for (a, b), (cost, step) in best.pop(i).items():
                 for to, read, extra in here:
                     x, y, now = a, b, cost + extra
                     for ch in read:
                         c = int(CLASS[min(ord(ch), 0x250)])
                         now += costs[x, y, c]
                         x, y = y, c
-                    old = best[to].get((x, y))
+                    states = best.setdefault(to, {})
+                    old = states.get((x, y))
                     if old is None or now < old[0]:
-                        best[to][x, y] = (now, text + read)
-        return min(((cost + costs[a, b, BOUNDARY], text) for (a, b), (cost, text) in best[-1].items()), default=(0.0, raw))[1]
+                        states[x, y] = (now, [step, read, to])
+        _, last = min(((cost + costs[a, b, BOUNDARY], step) for (a, b), (cost, step) in best[len(raw)].items()), key=lambda found: found[0])
+        return "".join(settled) + reading(last)
+
+
+def reading(step: list | None) -> str:
+    """What a chain of steps reads."""
+    read = []
+    while step is not None:
+        read.append(step[1])
+        step = step[0]
+    return "".join(reversed(read))
+
+
+def common_step(steps: list[list]) -> list:
+    """The last step that these chains, which start with the same one, share."""
+    heads = {id(step): step for step in steps}
+    heap = [(-step[2], i) for i, step in heads.items()]
+    heapq.heapify(heap)
+    while len(heads) > 1:
+        before = heads.pop(heapq.heappop(heap)[1])[0]
+        if id(before) not in heads:
+            heads[id(before)] = before
+            heapq.heappush(heap, (-before[2], id(before)))
+    return next(iter(heads.values()))
 
 
 def units_of(word: str) -> list[str]:
@@ -166,10 +200,14 @@ class Reader:
         self.restorer, self.limit = restorer, limit
         self.seen, self.single = Seen(), np.zeros(0, bool)
 
+    def of_run(self, run: list[str]) -> list[tuple[str, ...]]:
+        return [self.restorer.spelled(run)] if len(run) >= 3 else []
+
     def read(self, utf8: bytes) -> tuple[np.ndarray, list[tuple[str, ...]]]:
         """(numbers of the words as written, the words read from runs of single letters)."""
         numbers = []
         spelled: list[tuple[str, ...]] = []
+        run: list[str] = []  # single letters up to where the next part goes on
         for part in segments(utf8):
             words = part.decode().lower().split()
             numbers.append(self.seen.of(words))
@@ -177,11 +215,17 @@ class Reader:
             if fresh:
                 self.single = np.concatenate([self.single, np.fromiter((len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE) for w in fresh), bool, len(fresh))])
             one = self.single[numbers[-1]]
+            if run and len(one) and not one[0]:
+                spelled += self.of_run(run)
+                run = []
             if one.any():
                 edge = np.diff(np.concatenate([[0], one.astype(np.int8), [0]]))
                 for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                    if b - a >= 3:
-                        spelled.append(self.restorer.spelled(words[a:b]))
+                    run += words[a:b]
+                    if b < len(words):
+                        spelled += self.of_run(run)
+                        run = []
+        spelled += self.of_run(run)
         return (np.concatenate(numbers) if numbers else np.zeros(0, np.int32)), spelled
 
 

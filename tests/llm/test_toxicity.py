@@ -34,6 +34,18 @@ def test_spelled_words(restorer):
     assert reader.read(b"you s t u p i d thing a b")[1] == [("stupid",)]
 
 
+def test_long_runs_are_read_as_a_whole(restorer, monkeypatch):
+    run = list("yourcommentsareabsolutelypatheticandnobodywantsstupidwordshere")
+    want = restorer.spelled(run)
+    assert "".join(want) == "".join(run) and {"com", "ments", "and", "body"} <= set(want)
+    assert {restorer.spelled(list("yo" * n) + run)[-8:] for n in range(40)} == {want[-8:]}  # wherever the run begins
+    assert restorer.words("-".join(run)) == want
+    monkeypatch.setattr(toxicity, "SETTLE_CHARS", 3)
+    assert restorer.spelled(run) == want and restorer.words("1d10t" * 20) == ("idiot" * 20,)
+    monkeypatch.setattr("meshloom.llm.units.SEGMENT", 20)
+    assert toxicity.Reader(restorer).read((" ".join(run) + " end a b").encode())[1] == [want]
+
+
 def test_trigram_counts_are_those_of_all_texts(docs):
     want = np.zeros(toxicity.CLASSES**3, np.int64)
     for r in docs.collect():
