@@ -94,8 +94,10 @@ class Restorer:
     counts: np.ndarray
 
     REPEATED = re.compile(r"(\w)\1\1")
-    SUSPECT = re.compile(r"[a-zà-öø-ÿ].*[0-9@$!|+€(<£.\-_*~/\\].*[a-zà-öø-ÿ]|[0-9@$!|+€(<£]+[a-zà-öø-ÿ]|(\w)\1\1")
-    EDGES = re.compile(r"^[^\w@$€£|]+|[^\w$@€£|]+$")
+    LETTER = re.compile(r"[^\W\d_]")
+    LOOKING = re.compile(f"[{re.escape(''.join(LOOKS_LIKE))}]")
+    BETWEEN = re.compile(r"[a-zà-öø-ÿ][^.\-_*~/\\]*[.\-_*~/\\]+[^a-zà-öø-ÿ]*[a-zà-öø-ÿ]")
+    EDGES = re.compile(rf"^[^\w{re.escape(''.join(LOOKS_LIKE))}]+|[^\w{re.escape(''.join(LOOKS_LIKE))}]+$")
     PARTS = re.compile(r"\w+")
 
     @cached_property
@@ -111,10 +113,14 @@ class Restorer:
         if word.isalpha() and not self.REPEATED.search(word):
             return (word,)
         bare = self.EDGES.sub("", word)
-        if self.SUSPECT.search(bare):
+        if self.suspect(bare):
             return tuple(self.PARTS.findall(self.decode(bare)))
         return tuple(self.PARTS.findall(bare))
 
+    def suspect(self, bare: str) -> bool:
+        """Whether a word may be disguised: signs that look like letters anywhere beside letters, separators between letters, repeated letters."""
+        return bool(self.LOOKING.search(bare) and self.LETTER.search(bare) or self.BETWEEN.search(bare) or self.REPEATED.search(bare))
+
     def spelled(self, letters: list[str]) -> tuple[str, ...]:
         """The words that letters written one by one are read as."""
         return tuple(self.PARTS.findall(self.decode(" ".join(letters))))
@@ -122,15 +128,17 @@ class Restorer:
     def arcs(self, raw: str) -> Iterator[list[tuple[int, str, float]]]:
         """For each place the (next place, what is read, cost) that may follow."""
         for i, ch in enumerate(raw):
-            here = [(i + 1, ch if ch not in SEPARATORS else " ", 0.0)]
-            here += [(i + 1, letter, SIGN_COST) for letter in LOOKS_LIKE.get(ch, "")]
-            if ch in SEPARATORS:
-                here.append((i + 1, "", SEPARATOR_COST))
-            if ch.isalpha() and (i == 0 or raw[i - 1] != ch):
-                end = i
-                while end < len(raw) and raw[end] == ch:
-                    end += 1
-                if end - i > 2:
+            first, end = i == 0 or raw[i - 1] != ch, i + 1
+            while first and end < len(raw) and raw[end] == ch:
+                end += 1
+            if ch in LOOKS_LIKE:  # signs that repeat stand for themselves all or not at all
+                here = [(end, raw[i:end], 0.0)] if first else []
+                here += [(i + 1, letter, SIGN_COST) for letter in LOOKS_LIKE[ch]]
+            elif ch in SEPARATORS:
+                here = [(i + 1, " ", 0.0), (i + 1, "", SEPARATOR_COST)]
+            else:
+                here = [(i + 1, ch, 0.0)]
+                if end - i > 2 and ch.isalpha():
                     here += [(end, ch, REPEAT_COST), (end, ch * 2, REPEAT_COST)]
             yield here
 

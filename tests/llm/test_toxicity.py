@@ -24,6 +24,17 @@ def test_disguised_words(restorer, written, read):
     assert restorer.words(written) == (read,)
 
 
+@pytest.mark.parametrize(("written", "read"), [("idio7", "idiot"), ("idi07", "idiot"), ("worthle55", "worthless"), ("hat3", "hate"), ("!diot", "idiot"), ("stup1d!", "stupid"), ("stupid$$$", "stupid"), ("pathetic!!", "pathetic")])
+def test_signs_at_the_ends_of_words(restorer, written, read):
+    assert restorer.words(written) == (read,)
+
+
+@pytest.mark.parametrize("word", ["a$$", "dumba$$", "scu3", "+rash", "b!"])
+def test_words_with_signs_at_the_ends_are_decoded(restorer, monkeypatch, word):
+    monkeypatch.setattr(toxicity.Restorer, "decode", lambda self, raw: "seen" + raw)
+    assert restorer.words(word)[0].startswith("seen")
+
+
 @pytest.mark.parametrize("word", ["2024", "plain", "don", "été", "1,000", "%%%"])
 def test_other_words_stay(restorer, word):
     assert "".join(restorer.words(word)) == "".join(c for c in word if c.isalnum())
