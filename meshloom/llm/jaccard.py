@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshloom.llm.common import written
 from meshloom.llm.units import blocks
@@ -456,16 +457,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     their texts. A row without a key makes no link; it gets the component of the documents with an equal set, else null.
     An empty table gives no rows.
     """
+    return components_of_sets(docs, key, text).drop("sig")
+
+
+def components_of_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_shingles, component_id, sig) of each row, with the hash of its set."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
     conf.set(name, str(BATCH_ROWS))
     try:  # all steps that run Python end here: their results are written tables
-        return _jaccard_components(docs, key, text)
+        return _components_of_sets(docs, key, text)
     finally:
         conf.set(name, before)
 
 
-def _jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _components_of_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     hot = frequent_tokens(docs, key, text)
     table = written(shingled(docs, key, text, hot), "shingles")
     reps = written(table.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "nodes")
@@ -478,7 +484,24 @@ def _jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     comps = written(components(edges.select("a", "b")), "components")
     rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
-    return rows.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "sig")
+
+
+def with_sets(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the size and the hash of each row's set."""
+    place = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place).cast(pa.binary()).fill_null(b"")], names=["i", "utf8"])
+            at = 0
+            for part in blocks([whole]):
+                sets = [(len(tokens), xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)) for tokens in token_sets(part.column("utf8").to_pylist())]
+                columns = [*batch.slice(at, part.num_rows).columns, pa.array([n for n, _ in sets], pa.int64()), pa.array([sig for _, sig in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__n", "__sig"])
+                at += part.num_rows
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__n", LongType()), StructField("__sig", LongType())]))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -486,6 +509,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows without a key stay unless a document has an equal set.
     """
-    found = jaccard_components(docs, key, text)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    found = components_of_sets(docs, key, text)
+    own = F.col(key).cast("long")
+    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
+    copied = found.where(F.col(key).isNull() & F.col("component_id").isNotNull()).select(F.col("n_shingles").alias("__n"), F.col("sig").alias("__sig")).distinct()
+    kept = docs.where(own.isNotNull()).join(gone, own == F.col("__gone"), "left_anti")
+    keyless = with_sets(docs.where(own.isNull()), text).join(copied, ["__n", "__sig"], "left_anti")
+    return kept.unionByName(keyless.select(*docs.columns))

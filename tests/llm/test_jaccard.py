@@ -75,6 +75,13 @@ def test_copies_and_odd_rows(make):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [3, 70, 71, 80, 80] and len(kept.columns) == 7
 
 
+def test_rows_without_a_key_stay_unless_copied(make):
+    copy = " ".join(f"x{i}" for i in range(50))
+    rows = [(5, copy), (None, copy), (None, copy.upper()), (None, "alone in the world without a key"), (None, copy + " end"), (None, ""), (None, None), (6, copy)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(make(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], *rows[3:7]], key=str)
+
+
 def test_tables_without_links(make):
     assert jaccard.jaccard_components(make([(1, "a b c d e f")]).where("false")).count() == 0
     assert sorted(map(tuple, jaccard.jaccard_components(make([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)])).collect())) == [(1, 2, 1), (2, 2, 2), (3, 0, 3)]
