@@ -477,8 +477,9 @@ def _components_of_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     reps = written(table.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "nodes")
     rows = table.select("doc_id", "n", "sig").join(reps.select("sig", "n", "rep"), ["sig", "n"], "left")
     # rows that repeat a key with other texts: all their sets belong together
-    extra = table.where("n > 0 and doc_id is not null").join(reps, ["sig", "n"]).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c"))
-    repeats = extra.where("b <> c").select(F.col("b"), F.col("c").alias("a"))
+    placed = rows.where("doc_id is not null and rep is not null").select("doc_id", "rep")
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c").select("doc_id", "b")
+    repeats = placed.join(several, "doc_id").where("rep <> b").select("b", F.col("rep").alias("a")).distinct()
     found = links(docs, table, reps, hot, key, text)
     edges = repeats if found is None else found.unionByName(repeats.select("a", "b"))
     comps = written(components(edges.select("a", "b")), "components")

@@ -82,6 +82,13 @@ def test_rows_without_a_key_stay_unless_copied(make):
     assert sorted(kept, key=str) == sorted([rows[0], *rows[3:7]], key=str)
 
 
+def test_repeated_keys_link_all_their_texts(make):
+    s1, s2, s3 = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqr")
+    rows = [(3, s1), (5, s1), (5, s2), (9, s2), (4, s3), (5, s3), (10, "quite another text with other words"), (10, "")]
+    got = jaccard.jaccard_components(make(rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(3, 3), (4, 3), (5, 3), (9, 3), (10, 10)}
+
+
 def test_tables_without_links(make):
     assert jaccard.jaccard_components(make([(1, "a b c d e f")]).where("false")).count() == 0
     assert sorted(map(tuple, jaccard.jaccard_components(make([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)])).collect())) == [(1, 2, 1), (2, 2, 2), (3, 0, 3)]
