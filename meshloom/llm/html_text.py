@@ -138,9 +138,16 @@ def tree(page: str) -> Node:
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         parent = stack[-1]
-        if parent.tag in TABLE_PARTS - {"caption"} and tag not in TABLE_PARTS | {"td", "th", "col"} | RAW | {"template", "input", "form"}:
-            before_table(Node(tag, attrs), tag not in VOID)
-            return
+        if parent.tag in TABLE_PARTS - {"caption"}:
+            if tag == "table":  # a table directly in a table ends it
+                close({"table"}, set())
+                parent = stack[-1]
+            elif tag == "form":  # a form in a table is empty: what follows stays in the table
+                parent.children.append(Node(tag, attrs))
+                return
+            elif tag not in TABLE_PARTS | {"td", "th", "col", "script", "style", "template"} and not (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+                before_table(Node(tag, attrs), tag not in VOID)
+                return
         node = Node(tag, attrs)
         parent.children.append(node)
         if tag not in VOID and len(stack) < DEPTH:
@@ -399,7 +406,10 @@ def render(root: Node) -> str:
         return out
 
     def cells(node: Node, visible: bool) -> Iterator[tuple[str, Node, bool]]:
-        """("caption" or "row", element, visible) in the order of display: head, bodies, foot."""
+        """("caption", "row" or "block", element, visible) in the order of display: head, bodies, foot.
+
+        A block is what belongs in no table; it stands among the rows.
+        """
         parts: dict[str, list] = {"caption": [], "thead": [], "tbody": [], "tfoot": []}
         for child in node.children:
             if not isinstance(child, Node) or hidden.undisplayed(child):
@@ -407,11 +417,13 @@ def render(root: Node) -> str:
             if child.tag in ("thead", "tbody", "tfoot"):
                 shown = VISIBILITY.search(child.attrs.get("style", ""))
                 seen = visible if not shown else shown[1].lower() == "visible"
-                parts[child.tag] += [("row", r, seen) for r in child.children if isinstance(r, Node) and r.tag == "tr" and not hidden.undisplayed(r)]
+                parts[child.tag] += [("row" if r.tag == "tr" else "block", r, seen) for r in child.children if isinstance(r, Node) and not hidden.undisplayed(r)]
             elif child.tag == "tr":
                 parts["tbody"].append(("row", child, visible))
             elif child.tag == "caption":
                 parts["caption"].append(("caption", child, visible))
+            else:
+                parts["tbody"].append(("block", child, visible))
         for part in parts.values():
             yield from part
 
@@ -429,14 +441,19 @@ def render(root: Node) -> str:
             line: dict[int, list[str]] = {}
             at = 0
             later = {c: n - 1 for c, n in taken.items() if n > 1}
-            for cell in row.children:
-                if not isinstance(cell, Node) or cell.tag not in ("td", "th") or hidden.undisplayed(cell):
+            for cell in row.children if kind == "row" else [row]:
+                if not isinstance(cell, Node) or hidden.undisplayed(cell):
                     continue
+                inner = Lines()
+                if kind == "block" or cell.tag not in ("td", "th"):
+                    into(inner, cell, False, seen)
+                    if not inner.inline and not inner.lines:
+                        continue
+                else:
+                    shown = VISIBILITY.search(cell.attrs.get("style", ""))
+                    children(inner, cell, False, seen if not shown else shown[1].lower() == "visible")
                 while at in taken:
                     at += 1
-                inner = Lines()
-                shown = VISIBILITY.search(cell.attrs.get("style", ""))
-                children(inner, cell, False, seen if not shown else shown[1].lower() == "visible")
                 span = min(max(number(cell.attrs.get("colspan"), 1), 1), 1000)
                 down = min(max(number(cell.attrs.get("rowspan"), 1), 1), 65534)
                 line[at] = inner.done()

@@ -25,6 +25,15 @@ def test_layout(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<table><form><tr><td>x</td></tr></form></table>", "x"), ("<table><tr><form><td>x</td><td>y</td></form></tr></table>", "x  y"), ("<table><tbody><form><tr><td>x<input value=v></form></table>z", "x v\n\nz"),
+    ("<table><tr><table><tr><td>x</table>y", "x\n\ny"), ("<table><table><tr><td>x</table>", "x"), ("<table><textarea>x</textarea><tr><td>y</table>", "x\n\ny"), ("<table><input value=v><tr><td>y</table>", "v\n\ny"),
+    ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a\n\nb\n\nc"),
+])
+def test_forms_and_fields_in_tables(page, want):
+    assert visible_text(page) == want
+
+
 def test_null_and_depth():
     assert visible_text(None) is None
     assert visible_text("<div>" * 20_000 + "x").strip() == "x"
