@@ -9,7 +9,7 @@ all other text: blocks on lines of their own, margins as one blank line, items w
 or numbers, preformatted text as it is, table cells in aligned columns.
 
 Rules of style sheets count only where a simple selector (a tag, a class or an id) hides
-something. A null page gives null; an empty or invisible one the empty text. Rows are
+something, on a screen of any width; of several the cascade chooses. A null page gives null; an empty or invisible one the empty text. Rows are
 independent of each other, repeated rows give equal texts; nothing is shuffled.
 """
 
@@ -51,7 +51,9 @@ DEPTH = 200
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 HIDES = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+COMMENT = re.compile(r"/\*.*?(?:\*/|$)|<!--|-->", re.S)
+MARKS = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]""")
+DISPLAY = re.compile(r"display\s*:\s*([\w-]+)\s*(!\s*important)?$", re.I)
 SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*$")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -212,19 +214,67 @@ def tree(page: str) -> Node:
     return root
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen."""
+    for query in media.lower().split(","):
+        words = query.split()
+        if words in ([], ["all"], ["screen"], ["only", "screen"], ["only", "all"]) or words[0] == "not" and len(words) == 2 and words[1] not in ("all", "screen") and "(" not in query:
+            return True
+    return False
+
+
+def style_rules(css: str) -> Iterator[tuple[str, list[str]]]:
+    """(selectors, declarations) of the rules that apply on a screen."""
+    css = COMMENT.sub(" ", css)
+    opened: list[tuple[str, bool, list[str]]] = [("@", True, [])]
+    at = 0
+
+    def inside(said: str) -> bool:
+        above, applies, _ = opened[-1]
+        if not applies or not above.startswith("@"):
+            return False
+        if not said.startswith("@"):
+            return True
+        name, _, rest = re.sub(r"^(@[\w-]+)", r"\1 ", said).lower().partition(" ")
+        return name in ("@layer", "@supports") or name == "@media" and on_screen(rest)
+
+    for mark in MARKS.finditer(css + "}" * (css.count("{") + 1)):  # the end closes all that is open
+        if mark[0] not in ("{", "}", ";"):
+            continue
+        said = css[at : mark.start()].strip()
+        at = mark.end()
+        if mark[0] == "{":
+            opened.append((said, inside(said), []))
+            continue
+        opened[-1][2].append(said)
+        if mark[0] == "}" and len(opened) > 1:
+            selectors, applies, declared = opened.pop()
+            if applies and not selectors.startswith("@"):
+                yield selectors, declared
+
+
 class Hidden:
     """What the page's own style rules and an element's attributes hide."""
 
     def __init__(self, root: Node) -> None:
-        self.selectors: set[str] = set()
+        # selector: (important, 0 to 2 for tag, class and id, order, hides)
+        self.selectors: dict[str, tuple[bool, int, int, bool]] = {}
+        order = 0
         todo = [root]
         while todo:
             node = todo.pop()
-            if node.tag == "style":
-                for selectors, body in RULE.findall("".join(c for c in node.children if isinstance(c, str))):
-                    if HIDES.search(body):
-                        self.selectors |= {s.strip().lower() for s in selectors.split(",") if SIMPLE.match(s.strip())}
-            todo += [c for c in node.children if isinstance(c, Node)]
+            if node.tag == "style" and on_screen(node.attrs.get("media", "")):
+                for selectors, declared in style_rules("".join(c for c in node.children if isinstance(c, str))):
+                    for found in filter(None, map(DISPLAY.match, declared)):
+                        order += 1
+                        for s in selectors.lower().split(","):
+                            s = s.strip()
+                            if SIMPLE.match(s):
+                                rule = (bool(found[2]), ".#".find(s[0]) + 1, order, found[1].lower() == "none")
+                                self.selectors[s] = max(rule, self.selectors.get(s, rule))
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        if not any(rule[3] for rule in self.selectors.values()):
+            self.selectors = {}
 
     def undisplayed(self, node: Node) -> bool:
         attrs = node.attrs
@@ -237,7 +287,8 @@ class Hidden:
             return True
         if self.selectors and not re.search(r"display\s*:", style, re.I):
             names = {node.tag, *("." + c.lower() for c in attrs.get("class", "").split()), "#" + attrs.get("id", "").lower()}
-            return bool(names & self.selectors)
+            rules = [self.selectors[n] for n in names if n in self.selectors]
+            return bool(rules) and max(rules)[3]
         return False
 
 

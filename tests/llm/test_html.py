@@ -34,6 +34,16 @@ def test_forms_and_fields_in_tables(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize(("css", "want"), [
+    ("@media print { .nav { display:none } }", "x"), ("@media (max-width:600px){.nav{display:none}}", "x"), ("@media screen and (max-width:9px){.nav{display:none}} p{}", "x"), ("@page{margin:0} .nav{display:none}", ""),
+    ("@media screen{.a{color:red} .nav{display:none}}", ""), ("@import 'a;b}';@media print{.a{x:y}} .nav{display:none}", ""), (".nav{display:none} .nav{display:block}", "x"), (".nav{display:block} .nav{display:none}", ""),
+    (".nav{display:none!important} .nav{display:block}", ""), ("/* .nav{display:none} */ .b{}", "x"), (".nav{display:none} #i{display:block}", "x"), ("@media not print{.nav{display:none", ""),
+])
+def test_rules_of_style_sheets(css, want):
+    assert visible_text(f"<style>{css}</style><div class=nav id=i>x</div>") == want
+    assert visible_text(f"<style media=print>{css}</style><div class=nav id=i>x</div>") == "x"
+
+
 def test_null_and_depth():
     assert visible_text(None) is None
     assert visible_text("<div>" * 20_000 + "x").strip() == "x"
