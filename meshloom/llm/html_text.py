@@ -43,6 +43,8 @@ IMPLIED_ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: What a head holds; anything else ends it.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that an end tag for something outside them does not close.
 SCOPE = {"table", "td", "th", "caption", "template", "object"}
 #: Deeper elements become children of the last one within this depth.
@@ -69,7 +71,6 @@ class Node:
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("start", tag, attributes as written) or ("end", tag, "")."""
     at, size = 0, len(page)
-    lower = page.lower() if len(page.lower()) == size else page  # some characters are longer in lower case
     unclosed: set[str] = set()  # quotation marks of which no more follow
     while at < size:
         start = page.find("<", at)
@@ -121,7 +122,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "start", tag, page[end:stop]
         at = stop + 1
         if not closing and tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|$)").search(lower, at)
+            close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I | re.A).search(page, at)
             stop = close.start() if close else size
             yield "text", page[at:stop], "raw" if tag not in ("textarea", "title") else ""
             at = stop
@@ -178,6 +179,8 @@ def tree(page: str) -> Node:
     for kind, value, rest in tokens(page):
         if kind == "text":
             text = value if rest == "raw" else html.unescape(value)
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
             if stack[-1].tag in TABLE_PARTS - {"caption"} and text.strip():
                 before_table(text)
             elif text:
@@ -197,10 +200,11 @@ def tree(page: str) -> Node:
                     pass
             if value in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 push("tr", {})
-            if stack[-1].tag == "head" and value not in UNSEEN | VOID:
+            if stack[-1].tag == "head" and value not in IN_HEAD:
                 stack.pop()
             push(value, attrs)
         elif value == "br":
+            close({"head"}, SCOPE)
             push("br", {})
         elif value == "p":
             if not close({"p"}, SCOPE | {"button"}):

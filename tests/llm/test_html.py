@@ -44,6 +44,14 @@ def test_rules_of_style_sheets(css, want):
     assert visible_text(f"<style media=print>{css}</style><div class=nav id=i>x</div>") == "x"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>t</title>Hello <p>x", "Hello\n\nx"), ("<head> <meta x><br>a", "a"), ("<head><img src=q>a<br>b", "a\nb"), ("<head><title>t</title>\n<link x>\n<style>b</style><input value=v>w", "v w"),
+    ("<head><iframe></iframe>a", "a"), ("\u0130<SCRIPT>no</SCRIPT>yes<STYLE>no</STYLE><TITLE>no</Title>end", "\u0130yesend"), ("<style>a</\u017ftyle>b</style>c", "c"),
+])
+def test_heads_end_and_raw_text_ends(page, want):
+    assert visible_text(page) == want
+
+
 def test_null_and_depth():
     assert visible_text(None) is None
     assert visible_text("<div>" * 20_000 + "x").strip() == "x"
