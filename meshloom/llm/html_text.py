@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +47,6 @@ IMPLIED_ENDS = {
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that an end tag for something outside them does not close.
 SCOPE = {"table", "td", "th", "caption", "template", "object"}
-#: Deeper elements become children of the last one within this depth.
-DEPTH = 200
 
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 HIDES = re.compile(r"display\s*:\s*none", re.I)
@@ -138,6 +136,17 @@ def attributes(written: str) -> dict[str, str]:
 def tree(page: str) -> Node:
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {"html": [0]}  # tag: places in the stack, so that a deep one needs no search
+
+    def opening(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(at: int) -> None:
+        """Close the open elements from this place on."""
+        for node in reversed(stack[at:]):
+            places[node.tag].pop()
+        del stack[at:]
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         parent = stack[-1]
@@ -153,47 +162,49 @@ def tree(page: str) -> Node:
                 return
         node = Node(tag, attrs)
         parent.children.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        if tag not in VOID:
+            opening(node)
 
     def before_table(item: Node | str, opens: bool = False) -> None:
-        at = max(i for i, n in enumerate(stack) if n.tag == "table") if any(n.tag == "table" for n in stack) else None
-        if at is None or at == 0:
+        tables = places.get("table")
+        at = tables[-1] if tables else 0
+        if at == 0:
             stack[-1].children.append(item)
         else:
             siblings = stack[at - 1].children
             siblings.insert(next((i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is stack[at]), len(siblings)), item)
-        if opens and isinstance(item, Node) and len(stack) < DEPTH:
-            stack.append(item)
+        if opens and isinstance(item, Node):
+            opening(item)
 
     def close(names: set[str], stops: set[str]) -> bool:
         """Close the innermost open element of these names, unless one of ``stops`` holds it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return True
-            if stack[i].tag in stops:
-                return False
-        return False
+        last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+        found = last(names)
+        if not found:
+            return False
+        if any(n.tag in stops for n in stack[found + 1 :]) if len(stack) - found < 50 else last(stops - names) > found:
+            return False
+        cut(found)
+        return True
 
     for kind, value, rest in tokens(page):
         if kind == "text":
             text = value if rest == "raw" else html.unescape(value)
             if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-                stack.pop()
+                cut(len(stack) - 1)
             if stack[-1].tag in TABLE_PARTS - {"caption"} and text.strip():
                 before_table(text)
             elif text:
                 stack[-1].children.append(text)
         elif kind == "start":
             attrs = attributes(rest) if rest.strip(" \t\n\r\f/") else {}
-            if value in ("html", "body") and any(n.tag == value for n in stack):
+            if value in ("html", "body") and places.get(value):
                 close({"head"}, set())
                 continue
             if value in ENDS_P:
                 close({"p"}, SCOPE | {"button"})
             if value in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
             if value in IMPLIED_ENDS:
                 names, stops = IMPLIED_ENDS[value]
                 while close(names, stops):
@@ -201,7 +212,7 @@ def tree(page: str) -> Node:
             if value in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 push("tr", {})
             if stack[-1].tag == "head" and value not in IN_HEAD:
-                stack.pop()
+                cut(len(stack) - 1)
             push(value, attrs)
         elif value == "br":
             close({"head"}, SCOPE)
@@ -367,10 +378,15 @@ def number(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else default
 
 
+#: A part of the rendering; it yields the parts that it waits for, gets their results and returns its own.
+Step = Generator["Step", list[str] | None, list[str] | None]
+
+
 def render(root: Node) -> str:
     hidden = Hidden(root)
 
-    def into(lines: Lines, node: Node, keep: bool, visible: bool) -> None:
+    # into, children, items and table are steps: they yield the steps that they wait for, so that depth takes no recursion
+    def into(lines: Lines, node: Node, keep: bool, visible: bool) -> Step:
         if hidden.undisplayed(node):
             return
         tag = node.tag
@@ -389,35 +405,35 @@ def render(root: Node) -> str:
             chosen = options(node)
             for option in chosen:
                 lines.text(" ", False)
-                children(lines, option, False, visible)
+                yield children(lines, option, False, visible)
                 lines.text(" ", False)
         elif tag == "table":
-            lines.put(table(node, visible), True)
+            lines.put((yield table(node, visible)), True)
         elif tag in ("ul", "ol", "menu", "dir"):
-            lines.put(items(node, visible), True)
+            lines.put((yield items(node, visible)), True)
         elif tag == "blockquote" or tag == "dd":
             inner = Lines()
-            children(inner, node, keep, visible)
+            yield children(inner, node, keep, visible)
             lines.put([("  " + line).rstrip() for line in inner.done()], tag == "blockquote")
         elif tag == "details" and "open" not in node.attrs:
             lines.block(False)
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "summary":
-                    into(lines, child, keep, visible)
+                    yield into(lines, child, keep, visible)
                     break
             lines.block(False)
         elif tag in BLOCK or tag in ("td", "th", "tr", "caption", "tbody", "thead", "tfoot", "xmp"):
             lines.block(tag in MARGIN)
-            children(lines, node, keep or tag in ("pre", "xmp"), visible)
+            yield children(lines, node, keep or tag in ("pre", "xmp"), visible)
             lines.block(tag in MARGIN)
         else:
-            children(lines, node, keep or tag == "textarea", visible)
+            yield children(lines, node, keep or tag == "textarea", visible)
 
-    def children(lines: Lines, node: Node, keep: bool, visible: bool) -> None:
+    def children(lines: Lines, node: Node, keep: bool, visible: bool) -> Step:
         first = node.tag in ("pre", "textarea")
         for child in node.children:
             if isinstance(child, Node):
-                into(lines, child, keep, visible)
+                yield into(lines, child, keep, visible)
             elif visible:
                 lines.text(child.removeprefix("\r").removeprefix("\n") if first else child, keep)
             first = False
@@ -433,7 +449,7 @@ def render(root: Node) -> str:
             return found
         return [n for n in found if "selected" in n.attrs][-1:] or found[:1]
 
-    def items(node: Node, visible: bool) -> list[str]:
+    def items(node: Node, visible: bool) -> Step:
         ordered = node.tag == "ol"
         own = [c for c in node.children if isinstance(c, Node) and c.tag == "li" and not hidden.undisplayed(c)]
         step = -1 if ordered and "reversed" in node.attrs else 1
@@ -448,13 +464,13 @@ def render(root: Node) -> str:
                 n += step
                 inner = Lines()
                 shown = VISIBILITY.search(child.attrs.get("style", ""))
-                children(inner, child, False, visible if not shown else shown[1].lower() == "visible")
+                yield children(inner, child, False, visible if not shown else shown[1].lower() == "visible")
                 for i, line in enumerate(inner.done()):
                     out.append(((mark if i == 0 else " " * len(mark)) + line).rstrip())
             else:
                 inner = Lines()
                 if isinstance(child, Node):
-                    into(inner, child, False, visible)
+                    yield into(inner, child, False, visible)
                 elif visible:
                     inner.text(child, False)
                 out += [("  " + line).rstrip() for line in inner.done()]
@@ -482,7 +498,7 @@ def render(root: Node) -> str:
         for part in parts.values():
             yield from part
 
-    def table(node: Node, visible: bool) -> list[str]:
+    def table(node: Node, visible: bool) -> Step:
         out: list[str] = []
         grid: list[dict[int, list[str]]] = []
         taken: dict[int, int] = {}  # column: rows that a cell above still takes
@@ -490,7 +506,7 @@ def render(root: Node) -> str:
         for kind, row, seen in cells(node, visible):
             inner = Lines()
             if kind == "caption":
-                children(inner, row, False, seen)
+                yield children(inner, row, False, seen)
                 out += inner.done()
                 continue
             line: dict[int, list[str]] = {}
@@ -501,12 +517,12 @@ def render(root: Node) -> str:
                     continue
                 inner = Lines()
                 if kind == "block" or cell.tag not in ("td", "th"):
-                    into(inner, cell, False, seen)
+                    yield into(inner, cell, False, seen)
                     if not inner.inline and not inner.lines:
                         continue
                 else:
                     shown = VISIBILITY.search(cell.attrs.get("style", ""))
-                    children(inner, cell, False, seen if not shown else shown[1].lower() == "visible")
+                    yield children(inner, cell, False, seen if not shown else shown[1].lower() == "visible")
                 while at in taken:
                     at += 1
                 span = min(max(number(cell.attrs.get("colspan"), 1), 1), 1000)
@@ -540,7 +556,14 @@ def render(root: Node) -> str:
         return trimmed(out)
 
     lines = Lines()
-    into(lines, root, False, True)
+    waiting, result = [into(lines, root, False, True)], None
+    while waiting:
+        try:
+            step, result = waiting[-1].send(result), None
+            waiting.append(step)
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
     return "\n".join(lines.done())
 
 

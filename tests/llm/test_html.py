@@ -59,6 +59,16 @@ def test_null_and_depth():
     assert visible_text("<table><tr><td>" * 1_000 + "x").strip() == "x"
 
 
+@pytest.mark.parametrize("deep", [250, 20_000])
+def test_deep_elements_are_like_others(deep):
+    up, down = "<div>" * deep, "</div>" * deep
+    for inside in ("<script>no</script>", "<style>no</style>", "<p hidden>no</p>", "<i style=display:none>no<b>no</b></i>"):
+        assert visible_text(f"{up}a {inside}b{down}c") in ("a b\nc", "a\nb\nc")
+    assert visible_text(f"{up}<ul><li>a</li><li>b</li></ul>{down}<p>c") == "- a\n- b\n\nc"
+    assert visible_text(f"<table><tr><td>x{up}y{down}z</td><td>w</table>") == "x  w\ny\nz"
+    assert visible_text("<b>" * deep + "a" + "</i>" * deep + "</b>" * deep + "b") == "ab"
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
