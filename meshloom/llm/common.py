@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set to a temporary one only where unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session without one gets a temporary one."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,9 +38,32 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_BETWEEN = threading.local()
+
+
+@contextmanager
+def tables_in_between(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``written`` inside are deleted at the end, except those to keep: what leaves must not read them."""
+    before, _BETWEEN.paths = getattr(_BETWEEN, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _BETWEEN.paths = _BETWEEN.paths, before
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own access to files."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
     path = fresh_dir(df.sparkSession, name)
+    if not keep and getattr(_BETWEEN, "paths", None) is not None:
+        _BETWEEN.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

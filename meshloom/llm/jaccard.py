@@ -1,41 +1,48 @@
-"""Exact Jaccard self-join of word 5-grams with a token-group matrix, and its connected components.
+"""Jaccard self-join of word 5-grams with a token-group matrix, and its connected components.
 
 A document's set holds the distinct runs of five words (all words as one, if fewer), words
-being runs of characters other than ASCII white space with A-Z lowered; sets are 64-bit
-hashes in ascending order. Two sets link when 100 * intersection >= 75 * union. Documents
-with equal sets are one node; links are sought between nodes.
+being runs of characters other than ASCII white space with A-Z lowered. Two sets link when
+100 * intersection >= 75 * union. Documents with equal sets are one node; links are sought
+between nodes. No pair is left out. Runs of words are compared by 48 bits of a hash: two
+sets of n and m tokens have a wrong overlap with a probability of n * m / 2**48, one in a
+million for 17,000 words each; equal sets are told by their size and a 64-bit hash.
 
 1.  Two linked sets share a token among the first n - ceil(0.75 n) + 1 of each, under any
     one order of all tokens. Frequent tokens come last in it, so that common passages join
     nobody. Nodes send their first tokens; those that only one node has go.
 2.  Each token proposes a few of its nodes as stars, and each node is compared with the
-    stars that share most of its tokens, one of each kind. What links is partitioned into groups of similar nodes: blocks of
-    about GROUP nodes of one component. Within a component nothing more needs to be found.
-3.  The token-group matrix has an entry for each token and group. A query node meets the
-    groups of other components through the tokens they share. Sizes and the number of
-    shared tokens bound the overlap first, then the node's overlap with the group's token
-    union; only groups that can still hold a linked set are opened, and every member of
-    fitting size is compared exactly.
-4.  A token in more than HOT components is not expanded. Pairs that share no other token
-    have such a token on both sides, so their nodes alone go through the steps again, in
-    an order that puts all hot tokens last. The last round expands everything.
-
-No step lists the pairs within a group of copies or near copies, and none drops a pair.
+    stars that share most of its tokens, one of each kind. Within a component of what links
+    nothing more needs to be found.
+3.  Nodes are partitioned into groups of similar ones, blocks of about GROUP nodes of a
+    component, and the token-group matrix has an entry for each token and group. A node
+    queries the groups of larger components through the tokens they share. Sizes and the
+    number of shared tokens bound the overlap first, then the node's overlap with the
+    group's token union; only groups that can still hold a linked set are opened, and every
+    member of fitting size is compared exactly. Tokens of at most HOT groups are expanded,
+    so there are at most HOT rows for each row of a node and token.
+4.  Nodes that share a token of more groups are partitioned anew, by their most frequent
+    token, into blocks of about BLOCK nodes. Blocks that share such a token meet as wholes,
+    once, whatever number of tokens they share: one row for BLOCK * BLOCK pairs of nodes.
+    There, too, the union of a block bounds a node's overlap before the block is opened. A
+    block of one component doesn't meet others of the same component.
+
+No step lists the pairs within a group of copies or near copies. Tables in between are
+deleted when the components are known.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from meshloom.llm.common import written
+from meshloom.llm.common import tables_in_between, written
 from meshloom.llm.units import blocks
 
 #: Words in a token.
@@ -46,16 +53,20 @@ GROUP = 64
 COUNTED = 0.35
 #: Tokens that a task counts at once, and buckets of counts for each input partition.
 STRETCH, BUCKETS = 1_000_000, 8
-#: Rows of a batch between Spark and Python, while the join runs: texts and sets are long.
-BATCH_ROWS = 1_000
 #: Nodes that each token proposes as stars.
 STARS = 3
-#: Components that a token may join before it counts as hot, and the most rounds for hot tokens.
-HOT, ROUNDS = 24, 2
-#: The most hot tokens that are sent to every task; the limit of components doubles until no more are hot.
+#: A token of more sets comes last in the order, if it is among the HOT_TOKENS most frequent ones; a token of more groups is not expanded.
+HOT = 24
+#: The most tokens that are put last: they are sent to every task. Any number gives the same result.
 HOT_TOKENS = 1_000_000
-#: Bits of the filter (fixed size) through which the texts are read for the second time.
-FILTER_BITS = 1 << 24
+#: Nodes and tokens of a block of nodes that share a token of many groups.
+BLOCK, BLOCK_TOKENS = 256, 100_000
+#: Parts into which the rows of a frequent token are dealt.
+SALTS = 256
+#: Counts that are held at once when two blocks are compared.
+OPENED = 4_000_000
+#: Bits for each id of the filter through which the texts are read for the second time, and the most bits that are sent to every task.
+BITS_PER_ID, FILTER_BITS = 16, 1 << 28
 
 
 def needed(n: int) -> int:
@@ -157,22 +168,38 @@ def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("utf8"))
 
 
+def short40(tokens: np.ndarray) -> np.ndarray:
+    """The five bytes of each token below 2**40, as rows."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def long40(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").reshape(-1).astype(np.int64)
+
+
 def frequent_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
     """The first 40 bits of tokens that more than HOT sets have among their first COUNTED ones, ascending.
 
-    They go last in the order; any choice gives right results. Each stretch of a task sends its tokens in byte strings, one
-    for each bucket of the hash; there are BUCKETS buckets for each input partition, so what a bucket gets doesn't grow.
+    They go last in the order; any choice gives right results, so of more than HOT_TOKENS only the most frequent are taken.
+    Each stretch of a task counts its tokens first and sends them in byte strings, one for each bucket of the hash: tokens
+    met once, and others with their counts, so a token in a third of all texts is one entry for each stretch. There are
+    BUCKETS buckets for each input partition, so what a bucket gets doesn't grow.
     """
     texts = texts_of(docs, key, text).select("utf8")
     bits = min(38, max(8, (BUCKETS * texts.rdd.getNumPartitions()).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def strings() -> pa.RecordBatch:
-            tokens = np.sort(np.concatenate(list(held.values())))
+            tokens, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
             buckets = (tokens >> np.uint64(40 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(buckets)) + 1
-            parts = np.split(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], cuts)
-            return pa.RecordBatch.from_arrays([pa.array(buckets[np.append(0, cuts)]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "raw"])
+            once, several = [], []
+            for part, counts in zip(np.split(short40(tokens), cuts), np.split(n, cuts), strict=True):
+                once.append(part[counts == 1].tobytes())
+                several.append(part[counts > 1].tobytes() + counts[counts > 1].astype("<u4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(buckets[np.append(0, cuts)]), pa.array(once, pa.binary()), pa.array(several, pa.binary())], names=["bucket", "once", "several"])
 
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -188,17 +215,26 @@ def frequent_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
             yield strings()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = b"".join(r for batch in batches for r in batch.column("raw").to_pylist())
-        wide = np.zeros((len(raw) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        tokens, n = np.unique(wide.view("<u8").reshape(-1).astype(np.int64), return_counts=True)
+        once, tokens, counts = [], [], []
+        for batch in batches:
+            once.append(b"".join(batch.column("once").to_pylist()))
+            for raw in batch.column("several").to_pylist():
+                cut = len(raw) // 9 * 5
+                tokens.append(long40(raw[:cut]))
+                counts.append(np.frombuffer(raw, "<u4", offset=cut))
+        single = long40(b"".join(once))
+        tokens, at = np.unique(np.concatenate([single, *tokens]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.ones(len(single), np.int64), *counts]), len(tokens)).astype(np.int64)
         many = n > HOT
         yield pa.RecordBatch.from_arrays([pa.array(tokens[many]), pa.array(n[many])], names=["tok", "n"])
 
-    counts = written(texts.mapInArrow(work, "bucket long, raw binary").groupBy("bucket").applyInArrow(count, "tok long, n long"), "frequent")
-    least = HOT
-    while counts.where(F.col("n") > least).count() > HOT_TOKENS:
-        least *= 2
+    counts = written(texts.mapInArrow(work, "bucket long, once binary, several binary").groupBy("bucket").applyInArrow(count, "tok long, n long"), "frequent")
+    least, found = HOT, 0
+    for size, n in sorted(map(tuple, counts.groupBy(F.floor(F.log2(F.col("n") / HOT))).agg(F.count("*")).collect()), reverse=True):
+        found += n
+        if found > HOT_TOKENS:
+            least = HOT << int(size) + 1
+            break
     return np.sort(counts.where(F.col("n") > least).select("tok").toPandas()["tok"].to_numpy(np.int64))
 
 
@@ -229,8 +265,8 @@ def shingled(docs: DataFrame, key: str, text: str, hot: np.ndarray) -> DataFrame
     return texts_of(docs, key, text).mapInArrow(work, "doc_id long, n long, sig long, first binary")
 
 
-def first_rows(table: DataFrame) -> DataFrame:
-    """(tok, sig) of all sets' first tokens, once for each set and batch."""
+def first_rows(table: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(tok, salt, sig) of all sets' first tokens, once for each set and batch; ``salt`` is null but for hot tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,38 +274,57 @@ def first_rows(table: DataFrame) -> DataFrame:
             for i in range(0, len(sets), 500):
                 some = list(sets.items())[i : i + 500]
                 tokens = [long(raw) for _, raw in some]
-                sig = np.repeat(np.array([s for s, _ in some], np.int64), list(map(len, tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(sig)], names=["tok", "sig"])
+                sig, tok = np.repeat(np.array([s for s, _ in some], np.int64), list(map(len, tokens))), np.concatenate(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array((sig % SALTS).astype(np.int32), mask=~within(tok, hot)), pa.array(sig)], names=["tok", "salt", "sig"])
+
+    return table.where("n > 0").select("sig", "first").mapInArrow(work, "tok long, salt int, sig long")
 
-    return table.where("n > 0").select("sig", "first").mapInArrow(work, "tok long, sig long")
 
+def shared_tokens(table: DataFrame, reps: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(tok, rep, n): the first tokens that more than one node has, and all hot ones, whose rows are dealt out by a salt too."""
+    rows = first_rows(table, hot)
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tok", "salt")
+    both = F.col("salt").isNotNull() | (F.col("lo") != F.col("hi"))
+    several = dealt.groupBy("tok", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(both).select("tok", F.col("salt").alias("s"))
+    found = dealt.join(several.withColumnRenamed("tok", "t"), (F.col("tok") == F.col("t")) & F.col("salt").eqNullSafe(F.col("s")), "left_semi")
+    return found.dropDuplicates(["tok", "salt", "sig"]).join(reps, "sig").select("tok", "rep", "n")
 
-def bit_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over the ids, as 64-bit words: its size doesn't depend on the ids."""
-    bits = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(FILTER_BITS)) for k in range(2)])).alias("bit")
+
+def bit_filter(ids: DataFrame, column: str, n_bits: int) -> np.ndarray:
+    """A Bloom filter over the ids, as 64-bit words."""
+    bits = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(n_bits)) for k in range(2)])).alias("bit")
     words = ids.select(bits).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(n_bits // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
     return out
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, column: str, key: str, text: str) -> DataFrame:
-    """(id, n, tokens) of the rows with these ids, and of a few more that pass the filter."""
-    words = bit_filter(ids, column)
-    probes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"p{k}") for k in range(2)]
+    """(id, n, tokens) of the rows with these ids, and perhaps of a few more.
+
+    The texts pass a filter of BITS_PER_ID bits for each id. Ids that would need more than FILTER_BITS are joined instead.
+    """
+    n_bits = 1 << max(12, (BITS_PER_ID * ids.count()).bit_length())
+    rows = texts_of(docs, key, text).where("doc_id is not null")
+    if n_bits > FILTER_BITS:
+        rows, words, probes = rows.join(ids.select(F.col(column).alias("doc_id")), "doc_id", "left_semi"), None, []
+    else:
+        words = bit_filter(ids, column, n_bits)
+        probes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(n_bits)).alias(f"p{k}") for k in range(2)]
+
+    n_probes = len(probes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passes = np.ones(batch.num_rows, bool)
-            for k in range(2):
+            for k in range(n_probes):
                 bit = batch.column(f"p{k}").to_numpy(zero_copy_only=False)
                 passes &= (words[bit >> 6] >> (bit & 63) & 1).astype(bool)
             for part in blocks([batch.filter(pa.array(passes))]):
                 tokens = token_sets(part.column("utf8").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, tokens)), pa.int64()), pa.array(list(map(short, tokens)), pa.binary())], names=["id", "n", "tokens"])
 
-    rows = texts_of(docs, key, text).where("doc_id is not null").select("*", *probes)
-    return rows.mapInArrow(work, "id long, n long, tokens binary").where("n > 0")
+    return rows.select("*", *probes).mapInArrow(work, "id long, n long, tokens binary").where("n > 0")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -300,19 +355,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, until no edge changes; each step's edges are a written table.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+
+    def step(edges: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        table = written(edges.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        return table, seen.get
+
+    edges, before = step(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        after, state = step(small)
+        if state == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        edges, before = after, state
 
 
 def size_fits(n: Column, least: Column, most: Column) -> Column:
@@ -336,41 +395,41 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return alike.groupBy(F.col("rep").alias("b"), "k").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b").distinct()
 
 
-def with_components(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return nodes.withColumn("comp", F.col("rep"))
-    return nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+def in_groups(shared: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tok, rep, n, comp, size, block) of the shared tokens, and the groups (comp, block, low, high): the sizes of their sets.
+
+    ``size`` is the number of the component's nodes. Nodes without a link are a component each.
+    """
+    nodes = shared.select("rep", "n").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("block")
+    nodes = written(nodes.join(sizes, "comp").select("rep", "n", "comp", "size", block), "groups")
+    placed = shared.drop("n").join(nodes, "rep").select("tok", "rep", "n", "comp", "size", "block")
+    return placed, nodes
 
 
-def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links between components: query nodes against groups through tokens that at most ``limit`` components share.
+def candidates(placed: DataFrame, nodes: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(rep, n, gcomp, block, low): query nodes with the groups of larger components that may hold a linked set.
 
-    ``placed``: (tok, rep, n, comp). ``degrees``: (tok, k) with k components, for tokens of two or more. ``sets_of``: the
-    sets (id, n, tokens) of nodes (rep); only those of candidates are asked for.
+    ``degrees``: (tok, k) with k groups, of two components or more. Tokens of more than HOT groups aren't expanded here.
     """
-    used = degrees if limit is None else degrees.where(F.col("k") <= limit)
-    hot = None if limit is None else degrees.where(F.col("k") > limit)
-    rows = placed.join(used.select("tok"), "tok")
-    sizes = placed.select("comp", "rep").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("block")
-    members = placed.select("comp", "rep", "n").distinct().join(sizes, "comp").select("comp", "rep", "n", block)
-    members = written(members, "groups")
-    ranges = members.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = rows.select("tok", "comp", "rep").join(members.select("rep", "block"), "rep").select("tok", F.col("comp").alias("gcomp"), "block").distinct()
-    cells = matrix.join(ranges.withColumnRenamed("comp", "gcomp"), ["gcomp", "block"])
-    met = rows.join(cells, "tok").where((F.col("comp") < F.col("gcomp")) & size_fits(F.col("n"), F.col("low"), F.col("high")))
+    used = degrees.where(F.col("k") <= HOT).select("tok")
+    rows = placed.join(used, "tok")
+    ranges = nodes.groupBy(F.col("comp").alias("gcomp"), F.col("size").alias("gsize"), "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = rows.select("tok", F.col("comp").alias("gcomp"), "block").distinct()
+    cells = matrix.join(ranges, ["gcomp", "block"])
+    larger = (F.col("size") < F.col("gsize")) | (F.col("size") == F.col("gsize")) & (F.col("comp") < F.col("gcomp"))
+    met = rows.drop("block").join(cells, "tok").where(larger & size_fits(F.col("n"), F.col("low"), F.col("high")))
     met = met.groupBy("rep", "n", "gcomp", "block", "low", "high").agg(F.count("*").alias("c"))
-    if hot is None:
-        met = met.withColumn("hot", F.lit(0))
-    else:  # tokens that were not expanded may be shared too
-        more = placed.join(hot.select("tok"), "tok").groupBy("rep").agg(F.count("*").alias("hot"))
-        met = met.join(more, "rep", "left").fillna(0, ["hot"])
     low, high = F.greatest(F.col("low"), 3 * F.col("n") / 4), F.least(F.col("high"), 4 * F.col("n") / 3)
+    # of two sets all tokens up to the end of the shorter reach are known: what is left of one of them has to do
     least = lambda m: 3 * (F.col("n") + m) / 7 - 3 * F.greatest(F.col("n"), m) / 4 - 1
-    met = written(met.where(F.col("c") + F.col("hot") >= F.least(least(low), least(high))).select("rep", "n", "gcomp", "block", "low"), "candidates")
+    return met.where(F.col("c") >= F.least(least(low), least(high))).select("rep", "n", "gcomp", "block", "low")
 
-    wanted = met.select("gcomp", "block").distinct()
-    own = members.withColumnRenamed("comp", "gcomp").join(wanted, ["gcomp", "block"])
+
+def group_links(met: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the links of candidates with the members ``own`` (rep, n, gcomp, block) of their groups."""
+    of_rep = sets.select(F.col("id").alias("rep"), "tokens")
 
     def union(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.zeros(0, np.int64)
@@ -378,8 +437,6 @@ def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets_o
             tokens = np.unique(np.concatenate([tokens, *(long(raw) for raw in batch.column("tokens").to_pylist())]))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([packed(tokens)], pa.binary())], names=["gcomp", "block", "tu"])
 
-    sets = written(sets_of(met.select("rep").unionByName(own.select("rep")).distinct()), "sets")
-    of_rep = sets.select(F.col("id").alias("rep"), "tokens")
     unions = own.join(of_rep, "rep").select("gcomp", "block", "tokens").groupBy("gcomp", "block").applyInArrow(union, "gcomp long, block long, tu binary")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,61 +452,133 @@ def cross_links(placed: DataFrame, degrees: DataFrame, limit: int | None, sets_o
     return linked(opened.where(size_fits(F.col("n"), F.col("m"), F.col("m"))).select(F.col("rep").alias("a"), "b").distinct(), sets)
 
 
-def reordered(sets: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(tok, rep, n): the first tokens of these nodes in the order that puts hot tokens last."""
+def in_blocks(placed: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks (gid, rep, comp) of nodes that share a token of more than HOT groups, and the pairs (ga, gb) of blocks to compare.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rep, n, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens")), strict=True):
-                tokens = in_order(long(raw), hot)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), rep)), pa.array(np.full(len(tokens), n))], names=["tok", "rep", "n"])
-
-    rows = sets.select(F.col("id").alias("rep"), "n", "tokens").join(nodes.select("rep").distinct(), "rep", "left_semi")
-    return rows.mapInArrow(work, "tok long, rep long, n long")
-
-
-def of_two_or_more(rows: DataFrame, node: str) -> DataFrame:
-    """The rows whose token more than one node has."""
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tok")
-    several = dealt.groupBy("tok").agg(F.min(node).alias("lo"), F.max(node).alias("hi")).where("lo <> hi").select("tok")
-    return dealt.join(several, "tok").dropDuplicates(["tok", node])
-
-
-def links(docs: DataFrame, table: DataFrame, reps: DataFrame, hot: np.ndarray, key: str, text: str) -> DataFrame | None:
-    """(a, b): enough links between nodes that their components are those of all links; None if there is none."""
-    shared = written(of_two_or_more(first_rows(table), "sig").join(reps, "sig").select("tok", "rep", "n"), "shared")
-    if shared.isEmpty():
-        return None
-    of = lambda ids: sets_of(docs, ids, "rep", key, text)
-    found: DataFrame | None = None
-    for k in range(ROUNDS):
-        pairs = written(star_pairs(shared), "pairs")
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        stars = linked(pairs, written(of(ids), "sets"))
-        found = written(stars if found is None else found.unionByName(stars), "links")
-        comps = written(components(found), "components")
-        placed = written(with_components(shared, comps), "placed")
-        degrees = written(placed.select("tok", "comp").distinct().groupBy("tok").agg(F.count("*").alias("k")).where("k > 1"), "degrees")
-        limit = None if k == ROUNDS - 1 else HOT
-        above = lambda: degrees.where(F.col("k") > limit).select("tok")
-        n_hot = 0 if limit is None else above().count()
-        while n_hot > HOT_TOKENS:
-            limit *= 2
-            n_hot = above().count()
-        new = above().toPandas()["tok"].to_numpy(np.int64) if n_hot else np.zeros(0, np.int64)
-        if within(new, hot).all():  # putting them last again would change nothing
-            n_hot, limit = 0, None
-        found = written(found.unionByName(cross_links(placed, degrees, limit, of)), "links")
-        if not n_hot:
-            break
-        hot = np.union1d(hot, new >> 8)
-        affected = written(placed.join(above(), "tok", "left_semi").select("rep").distinct(), "affected")
-        shared = written(of_two_or_more(reordered(of(affected), affected, hot), "rep").select("tok", "rep", "n"), "shared")
-        if shared.isEmpty():
-            break
+    A node goes by its most frequent such token. A component that fills a block with the nodes of one token has blocks of
+    its own, which needn't meet each other; all others are mixed.
+    """
+    rows = placed.join(degrees.where(F.col("k") > HOT), "tok")
+    homes = rows.groupBy("rep", "n", "comp").agg(F.max_by("tok", F.struct("k", "tok")).alias("home"))
+    alone = homes.groupBy("home", "comp").agg(F.count("*").alias("alike"))
+    kinds = homes.join(alone, ["home", "comp"]).withColumn("kind", F.when(F.col("alike") >= BLOCK, F.col("comp")))
+    sizes = kinds.groupBy("home", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("many"))
+    same = (F.col("home") == F.col("h")) & F.col("kind").eqNullSafe(F.col("c"))
+    gid = F.concat_ws(":", "home", F.coalesce(F.col("kind").cast("string"), F.lit("mixed")), F.pmod(F.xxhash64("rep"), F.col("many"))).alias("gid")
+    members = written(kinds.join(sizes.select(F.col("home").alias("h"), F.col("kind").alias("c"), "many"), same).select(gid, "kind", "rep", "n", "comp"), "blocks")
+    ranges = members.groupBy("gid", "kind").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    cells = rows.select("tok", "rep").join(members.select("rep", "gid"), "rep").select("tok", "gid").distinct().join(ranges, "gid")
+    other = cells.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("gid", "kind", "low", "high")])
+    apart = F.col("kind").isNull() | F.col("kind_b").isNull() | (F.col("kind") != F.col("kind_b"))
+    fits = (4 * F.col("high") >= 3 * F.col("low_b")) & (4 * F.col("high_b") >= 3 * F.col("low"))
+    pairs = cells.join(other, "tok").where((F.col("gid") <= F.col("gid_b")) & apart & fits)
+    return members, written(pairs.select(F.col("gid").alias("ga"), F.col("gid_b").alias("gb")).distinct(), "block-pairs")
+
+
+def compared(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Links between the nodes of two blocks, enough to connect their components.
+
+    A block: (nodes, their components, sizes of their sets, the sets end to end).
+    """
+    union, at = np.unique(b[3], return_inverse=True)
+    n_b = len(b[0])
+    order = np.argsort(at, kind="stable")
+    member = np.repeat(np.arange(n_b), b[2])[order]
+    first = np.searchsorted(at[order], np.arange(len(union) + 1))
+    where = np.searchsorted(union, a[3])
+    where[where == len(union)] = 0
+    hit = union[where] == a[3] if len(union) else np.zeros(len(a[3]), bool)
+    query = np.repeat(np.arange(len(a[0])), a[2])
+    bound = np.bincount(query[hit], minlength=len(a[0]))
+    n = a[2]
+    hit &= (bound >= np.maximum(-(-3 * n // 4), -(-3 * (n + int(b[2].min())) // 7)))[query]  # the blocks that stay shut for a node
+    where, query = where[hit], query[hit]
+    many = first[where + 1] - first[where]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    found: list[tuple[int, int]] = []
+    ends = np.cumsum(many)
+    i = 0
+    while i < len(where):  # whole queries, about OPENED counts at a time
+        j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + OPENED, side="right")), i + 1)
+        j = int(np.searchsorted(query, query[j - 1], side="right"))
+        m = many[i:j]
+        flat = np.repeat(first[where[i:j]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        lowest = int(query[i])
+        both = np.bincount((np.repeat(query[i:j], m) - lowest) * n_b + member[flat], minlength=(int(query[j - 1]) - lowest + 1) * n_b)
+        cell = np.flatnonzero(both)
+        q, v = cell // n_b + lowest, cell % n_b
+        links = (100 * both[cell] >= 75 * (n[q] + b[2][v] - both[cell])) & (a[1][q] != b[1][v])
+        q, v = q[links], v[links]
+        _, one = np.unique(np.stack([a[1][q], b[1][v]], 1), axis=0, return_index=True)
+        for k in one.tolist():
+            x, y = root(int(a[1][q[k]])), root(int(b[1][v[k]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                found.append((int(a[0][q[k]]), int(b[0][v[k]])))
+        i = j
     return found
 
 
+def block_links(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the links between the nodes of each pair of blocks; a block is one row."""
+
+    def gather(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, comps, tokens = [], [], []
+        for batch in groups:
+            reps += batch.column("rep").to_pylist()
+            comps += batch.column("comp").to_pylist()
+            tokens += batch.column("tokens").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([reps]), pa.array([comps]), pa.array([[len(raw) // 6 for raw in tokens]]), pa.array([b"".join(tokens)], pa.binary())], names=["gid", "reps", "comps", "sizes", "tokens"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = ((*(np.array(batch.column(f"{c}_{k}")[row].as_py(), np.int64) for c in ("reps", "comps", "sizes")), long(batch.column(f"tokens_{k}")[row].as_py())) for k in "ab")
+                found = compared(a, b)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    wanted = pairs.select(F.explode(F.array("ga", "gb")).alias("gid")).distinct()
+    own = members.join(wanted, "gid", "left_semi").join(sets.select(F.col("id").alias("rep"), "tokens"), "rep").select("gid", "rep", "comp", "tokens").distinct()
+    whole = written(own.groupBy("gid").applyInArrow(gather, "gid string, reps array<long>, comps array<long>, sizes array<long>, tokens binary"), "blocks")
+    side = lambda k: whole.select(F.col("gid").alias(f"g{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("reps", "comps", "sizes", "tokens")])
+    return pairs.join(side("a"), "ga").join(side("b"), "gb").drop("ga", "gb").mapInArrow(compare, "a long, b long")
+
+
+def node_components(docs: DataFrame, table: DataFrame, reps: DataFrame, repeats: DataFrame, hot: np.ndarray, key: str, text: str) -> DataFrame:
+    """(node, comp) of the nodes that link with others, or are tied to them by ``repeats`` (a, b)."""
+    of = lambda ids: written(sets_of(docs, ids, "rep", key, text), "sets")
+    shared = written(shared_tokens(table, reps, hot), "shared")
+    pairs = written(star_pairs(shared), "pairs")
+    stars = linked(pairs, of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
+    comps = written(components(written(stars.unionByName(repeats), "links")), "components")
+    placed, nodes = in_groups(shared, comps)
+    placed = written(placed, "placed")
+    cells = placed.select("tok", "comp", "block").distinct()
+    degrees = written(cells.groupBy("tok").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "k"), "degrees")
+    met = written(candidates(placed, nodes, degrees), "candidates")
+    own = nodes.withColumnRenamed("comp", "gcomp").join(met.select("gcomp", "block").distinct(), ["gcomp", "block"]).select("rep", "n", "gcomp", "block")
+    members, block_pairs = in_blocks(placed, degrees)
+    meeting = members.join(block_pairs.select(F.explode(F.array("ga", "gb")).alias("gid")).distinct(), "gid", "left_semi")
+    sets = of(met.select("rep").unionByName(own.select("rep")).unionByName(meeting.select("rep")).distinct())
+    found = written(group_links(met, own, sets).unionByName(block_links(block_pairs, members, sets)), "links")
+    if found.isEmpty():
+        return comps
+    # what was found lies between components: they are joined as wholes
+    of_node = nodes.select(F.col("rep").alias("node"), "comp")
+    for side in "ab":
+        found = found.join(of_node.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side)
+    joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    before = comps.unionByName(nodes.select(F.col("comp").alias("node"), "comp").distinct()).distinct()
+    return before.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("c")), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row: set size, and the least key reachable by links, its own included.
 
@@ -461,31 +590,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def components_of_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, component_id, sig) of each row, with the hash of its set."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(BATCH_ROWS))
-    try:  # all steps that run Python end here: their results are written tables
-        return _components_of_sets(docs, key, text)
-    finally:
-        conf.set(name, before)
-
-
-def _components_of_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    hot = frequent_tokens(docs, key, text)
-    table = written(shingled(docs, key, text, hot), "shingles")
-    reps = written(table.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "nodes")
-    rows = table.select("doc_id", "n", "sig").join(reps.select("sig", "n", "rep"), ["sig", "n"], "left")
-    # rows that repeat a key with other texts: all their sets belong together
-    placed = rows.where("doc_id is not null and rep is not null").select("doc_id", "rep")
-    several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c").select("doc_id", "b")
-    repeats = placed.join(several, "doc_id").where("rep <> b").select("b", F.col("rep").alias("a")).distinct()
-    found = links(docs, table, reps, hot, key, text)
-    edges = repeats if found is None else found.unionByName(repeats.select("a", "b"))
-    comps = written(components(edges.select("a", "b")), "components")
-    rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
-    return rows.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "sig")
+    """(key, n_shingles, component_id, sig) of each row, with the hash of its set: a written table."""
+    with tables_in_between(docs.sparkSession):
+        hot = frequent_tokens(docs, key, text)
+        table = written(shingled(docs, key, text, hot), "shingles")
+        reps = written(table.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "nodes")
+        rows = table.select("doc_id", "n", "sig").join(reps.select("sig", "n", "rep"), ["sig", "n"], "left")
+        # rows that repeat a key with other texts: all their sets belong together
+        placed = rows.where("doc_id is not null and rep is not null").select("doc_id", "rep")
+        several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c").select("doc_id", "b")
+        repeats = placed.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+        comps = node_components(docs, table, reps, repeats, hot, key, text)
+        rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
+        return written(rows.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "sig"), "jaccard", keep=True)
 
 
 def with_sets(docs: DataFrame, text: str) -> DataFrame:

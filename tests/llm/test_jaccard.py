@@ -55,10 +55,11 @@ def corpus(seed):
     return [(7 * i % 997, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "hot", "group"), [(1, 24, 64), (2, 1, 1)])
-def test_components(make, monkeypatch, seed, hot, group):
+@pytest.mark.parametrize(("seed", "hot", "group", "block"), [(1, 24, 64, 256), (2, 1, 1, 2), (3, 1, 3, 1)])
+def test_components(make, monkeypatch, seed, hot, group, block):
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(seed)
     assert sorted(map(tuple, jaccard.jaccard_components(make(rows)).collect())) == brute(rows)
 
