@@ -557,7 +557,7 @@ def node_components(docs: DataFrame, table: DataFrame, reps: DataFrame, repeats:
     shared = written(shared_tokens(table, reps, hot), "shared")
     pairs = written(star_pairs(shared), "pairs")
     stars = linked(pairs, of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
-    comps = written(components(written(stars.unionByName(repeats), "links")), "components")
+    comps = components(stars.unionByName(repeats))
     placed, nodes = in_groups(shared, comps)
     placed = written(placed, "placed")
     cells = placed.select("tok", "comp", "block").distinct()
