@@ -38,7 +38,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -284,10 +284,10 @@ def shared_tokens(table: DataFrame, reps: DataFrame, hot: np.ndarray) -> DataFra
     """(tok, rep, n): the first tokens that more than one node has, and all hot ones, whose rows are dealt out by a salt too."""
     rows = first_rows(table, hot)
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tok", "salt")
-    both = F.col("salt").isNotNull() | (F.col("lo") != F.col("hi"))
-    several = dealt.groupBy("tok", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(both).select("tok", F.col("salt").alias("s"))
-    found = dealt.join(several.withColumnRenamed("tok", "t"), (F.col("tok") == F.col("t")) & F.col("salt").eqNullSafe(F.col("s")), "left_semi")
-    return found.dropDuplicates(["tok", "salt", "sig"]).join(reps, "sig").select("tok", "rep", "n")
+    same = Window.partitionBy("tok", "salt")
+    several = F.col("salt").isNotNull() | (F.min("sig").over(same) != F.max("sig").over(same))
+    found = dealt.withColumn("several", several).where("several").dropDuplicates(["tok", "salt", "sig"])
+    return found.join(reps, "sig").select("tok", "rep", "n")
 
 
 def bit_filter(ids: DataFrame, column: str, n_bits: int) -> np.ndarray:
