@@ -4,9 +4,10 @@ Each distinct run of five words (a shingle) is hashed once. The top bits of its
 one of BINS bins, the lowest hash of a bin represents it. A bin that got no shingle takes
 the value of another by optimal densification: it probes the bins in an order of its own,
 an order that depends on the empty bin alone, and copies the first that has a value, so
-equal sets fill their bins equally and no bin is favoured. The low BITS bits of each bin are
-kept, in hexadecimal. Two fingerprints agree by chance in a share of 2**-BITS of the bins;
-``likeness`` corrects for that.
+equal sets fill their bins equally and no bin is favoured. Each bin's value is then hashed
+with the bin's number and the low BITS bits are kept, in hexadecimal: bins that copied the
+same value agree by chance independently of one another. Two fingerprints agree by chance in
+a share of 2**-BITS of the bins; ``likeness`` corrects for that.
 
 Words are runs of characters other than ASCII white space, in lower case. A text of fewer
 than five words is one shingle; a text without words (empty, null) has the empty
@@ -54,7 +55,7 @@ def with_bins(df: DataFrame, text: str, name: str) -> DataFrame:
 
     One projection for each step, so that no step is evaluated again inside the next.
     """
-    w, h, m, b, v = (f"__{name}_{x}" for x in "whmbv")
+    w, h, m, b = (f"__{name}_{x}" for x in "whmb")
     n = F.size(w)
     shingles = F.when(n > SHINGLE, F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).when(n > 0, F.array(F.xxhash64(F.col(w))))
     df = df.withColumn(w, words_of(F.col(text)))
@@ -65,9 +66,10 @@ def with_bins(df: DataFrame, text: str, name: str) -> DataFrame:
     shifted = F.concat(F.array(F.lit(-1).cast("bigint")), F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))))
     first = F.array_compact(F.zip_with(F.col(h), shifted, lambda x, before: F.when((before < 0) | (bin_of(x) != bin_of(before)), x)))
     df = df.withColumn(m, F.when(F.size(h) > 0, first).otherwise(F.array().cast("array<bigint>"))).drop(h)
-    df = df.withColumn(b, F.transform(m, lambda x: bin_of(x).cast("int"))).withColumn(v, F.transform(m, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))).drop(m)
+    df = df.withColumn(b, F.transform(m, lambda x: bin_of(x).cast("int")))
     source = F.transform(F.from_json(F.lit(probe_orders()), "array<array<int>>"), lambda order, own: F.coalesce(F.nullif(F.array_position(b, own), F.lit(0)), F.array_position(b, F.element_at(F.array_intersect(order, F.col(b)), 1))).cast("int"))
-    return df.withColumn(name, F.when(F.size(b) > 0, F.transform(source, lambda at: F.element_at(v, at))).otherwise(F.array().cast("array<int>"))).drop(b, v)
+    kept = lambda at, own: F.xxhash64(F.element_at(m, at), own).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return df.withColumn(name, F.when(F.size(b) > 0, F.transform(source, kept)).otherwise(F.array().cast("array<int>"))).drop(b, m)
 
 
 def packed_hex(bins: str) -> Column:

@@ -1,9 +1,12 @@
 """Fingerprints: equal texts, estimates against exact similarity, the edited texts, odd inputs."""
 
 import hashlib
+import json
 import random
+import struct
 
 import pytest
+import xxhash
 
 from meshloom.llm import minhash
 
@@ -53,8 +56,44 @@ def test_odd_tables(make):
     assert len(rows) == 5 and sorted(r["n_chars"] for r in rows) == [0, 3, 3, 3, 3]
 
 
-def test_probe_orders_are_permutations():
-    import json
+def plain_fingerprint(text):
+    """The fingerprint by a loop over shingles and bins."""
+    words = (text or "").lower().split()
+    if not words:
+        return ""
+
+    def chained(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed)
+        return seed
+
+    grams = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words]
+    lowest = {}
+    for gram in grams:
+        x = chained(w.encode() for w in gram) >> 1
+        b = x >> 63 - minhash.LOG_BINS
+        lowest[b] = min(x, lowest.get(b, x))
+    orders = json.loads(minhash.probe_orders())
+    out = ""
+    for b in range(minhash.BINS):
+        donor = b if b in lowest else next(o for o in orders[b] if o in lowest)
+        out += f"{chained([struct.pack('<q', lowest[donor]), struct.pack('<i', b)]) & 255:02x}"
+    return out
+
 
+def test_against_a_plain_fingerprint(make):
+    rows = [*enumerate(texts()), (500, " ".join(f"v{i % 40_000}" for i in range(60_000)))]
+    got = {r["doc_id"]: r["fingerprint"] for r in minhash.fingerprints(make(rows)).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in rows}
+
+
+def test_a_text_of_two_shingles_is_like_no_other(make):
+    """Copied bins agree by chance one by one: disjoint texts stay near 0."""
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(6))) for i in range(300)]
+    near = [r["near_next"] for r in minhash.edited_fingerprints(make(rows)).collect()]
+    assert max(near) < 0.05
+
+
+def test_probe_orders_are_permutations():
     orders = json.loads(minhash.probe_orders())
     assert all(sorted(o) == list(range(minhash.BINS)) for o in orders) and len({o[0] for o in orders}) > minhash.BINS // 3
