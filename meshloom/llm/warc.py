@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import file_system, put_file, written
-from meshloom.llm.token_file import one_each
 
 #: Payloads of fewer bytes are stored again each time.
 REVISIT_BYTES = 1000
@@ -51,9 +50,9 @@ def page_of(identifier: str) -> int | None:
     return None if value == "null" else int(value)
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
     """One record; a revisit (``refers_to``) has the response's HTTP head, which tells the payload's size, and no payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     lines = [
@@ -112,14 +111,19 @@ class Bundle:
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all rows to bundles in ``folder`` (one for each task that has rows); the index, a written table.
 
-    Equal payloads meet by digest: each task first keeps the largest id of a digest, so a frequent payload sends one row
-    for each task, and the join with the rows is one that Spark splits where a digest has too many.
+    Equal payloads meet by digest without their payloads: each task first keeps the largest id of a digest, so a frequent
+    payload sends one row for each task, and the join that tells each revisit what it refers to holds ids and digests only
+    (Spark splits it where a digest has too many). Payloads move at most once, dealt by page id and digest, which no
+    frequent payload makes uneven, and not at all where the revisits are few enough to be broadcast. A revisit's payload
+    doesn't reach Python. Other columns of ``pages``, whatever their names, aren't read.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(F.encode(html, "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    long = F.octet_length("payload") >= REVISIT_BYTES
-    last = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    marked = rows.join(last, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+    long = rows.where(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest")
+    last = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    revisits = long.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
+    marked = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    marked = marked.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "bytes", "digest", "refers_to")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"bundle-{TaskContext.get().partitionId():08d}.warc.zst"
@@ -137,9 +141,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             group, size = [], 0
             for batch in batches:
                 for i in range(batch.num_rows):
-                    page, uri, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
-                    made = record(page, uri, payload, digest, refers_to)
-                    index.append((record_id(page), name, len(frames), size, len(made)))
+                    made = record(*(c[i].as_py() for c in batch.columns))
+                    index.append((record_id(batch.column(0)[i].as_py()), name, len(frames), size, len(made)))
                     group.append(made)
                     size += len(made)
                     if size >= FRAME_BYTES:
@@ -178,29 +181,41 @@ def parsed(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """All records of the bundles that the index names, as READ_SCHEMA; the payload stays null unless asked for.
+    """The records that the index names, as READ_SCHEMA; the payload stays null unless asked for.
 
-    The driver holds the names of the bundles, as many as the tasks that wrote them.
+    Frames are dealt to tasks. A frame that has any of the records is read alone and once, and each record is taken from its
+    offset; one that isn't there raises ValueError.
     """
-    names = sorted(r["bundle"] for r in index.select("bundle").distinct().collect())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
+        bundle, at, raw = None, None, b""
+        rows, size = [], 0
         for batch in batches:
-            for name in batch.column(1).to_pylist():
-                bundle = Bundle(f"{folder}/{name}")
-                for number in range(len(bundle.frames)):
-                    raw, at, rows = bundle.frame(number), 0, []
-                    while at < len(raw):
-                        headers, block, at = parse(raw, at)
-                        row = parsed(headers, block)
-                        rows.append(row if payloads else (*row[:-1], None))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in READ_SCHEMA.split(", ")])
-                bundle.close()
-
-    if not names:
-        return spark.createDataFrame([], READ_SCHEMA)
-    return one_each(spark, list(enumerate(names)), "k int, bundle string").mapInArrow(work, READ_SCHEMA)
+            for identifier, name, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None or at[0] != name:
+                    if bundle is not None:
+                        bundle.close()
+                    bundle, at = Bundle(f"{folder}/{name}"), (name, None)
+                if at[1] != frame:
+                    raw, at = bundle.frame(frame), (name, frame)
+                headers, block, end = parse(raw, offset)
+                if headers["WARC-Record-ID"] != identifier or end - offset != length:
+                    raise ValueError(f"{identifier} is not at {offset} of frame {frame} in {name}")
+                row = parsed(headers, block)
+                rows.append(row if payloads else (*row[:-1], None))
+                size += len(block) if payloads else 0
+                if len(rows) >= 10_000 or size >= 16 * FRAME_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if bundle is not None:
+            bundle.close()
+
+    wanted = index.select("record_id", "bundle", "frame", "offset", "length").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    return wanted.mapInArrow(work, READ_SCHEMA)
 
 
 def read_record(folder: str, bundle: str, frame: int, offset: int) -> tuple[dict[str, str], bytes]:

@@ -56,7 +56,7 @@ def test_empty_table(spark):
 
 
 def test_damage_is_an_error():
-    raw = bytearray(warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None))
+    raw = bytearray(warc.record(1, "u", b"payload", 7, hashlib.sha1(b"payload").hexdigest(), None))
     raw[raw.index(b"payload")] ^= 1
     headers, block, _ = warc.parse(bytes(raw))
     try:
@@ -65,3 +65,29 @@ def test_damage_is_an_error():
         assert "damaged" in str(e)
     else:
         raise AssertionError
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    """Records larger than a frame, columns whose names the operator uses inside, and an index that names one record only."""
+    huge = "<p>é" + "z" * 3_000_000
+    rows = [(i, "u", huge if i < 3 else f"<b>{i}", "x", "y", "z", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, refers_to string, d string, n int").repartition(2)
+    folder = fresh_dir(spark, "w")
+    index = warc.write_archives(docs, folder)
+    got = {r["page_id"]: r for r in warc.read_archives(spark, folder, index).collect()}
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {0: ("revisit", 2), 1: ("revisit", 2)} | {i: ("response", None) for i in range(2, 6)}
+    assert {r["payload_bytes"] for i, r in got.items() if i < 3} == {len(huge.encode())}
+    (one,) = warc.read_archives(spark, folder, index.where("record_id = '<urn:x-page:2>'"), payloads=True).collect()
+    assert bytes(one["payload"]) == huge.encode()
+
+
+def test_a_wrong_index_is_an_error(spark):
+    folder = fresh_dir(spark, "w")
+    index = warc.write_archives(pages(spark), folder)
+    wrong = index.selectExpr("replace(record_id, 'page:4', 'page:5') as record_id", "bundle", "frame", "offset", "length")
+    try:
+        warc.read_archives(spark, folder, wrong).collect()
+    except Exception as e:
+        assert "is not at" in str(e)
+    else:
+        raise AssertionError
