@@ -8,15 +8,22 @@ hidden and undisplayed elements, closed details, options that aren't selected) a
 all other text: blocks on lines of their own, margins as one blank line, items with bullets
 or numbers, preformatted text as it is, table cells in aligned columns.
 
-Rules of style sheets count only where a simple selector (a tag, a class or an id) hides
-something, on a screen of any width; of several the cascade chooses. A null page gives null; an empty or invisible one the empty text. Rows are
-independent of each other, repeated rows give equal texts; nothing is shuffled.
+Rules of style sheets count only where a compound selector (a tag, classes, an id, or several
+of them on one element, as in ``p.note``) hides something, on a screen of any width; of
+several the cascade chooses. Selectors that look at other elements hide nothing. By choice,
+what stands inside svg, object, audio, video, canvas and noscript is no text of the page.
+Cells are aligned by the columns that their characters take on a terminal.
+
+A null page gives null; an empty or invisible one the empty text. Rows are independent of
+each other, repeated rows give equal texts; other columns, whatever their names, aren't
+read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Generator, Iterator
 
 import pyarrow as pa
@@ -54,7 +61,8 @@ VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 COMMENT = re.compile(r"/\*.*?(?:\*/|$)|<!--|-->", re.S)
 MARKS = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]""")
 DISPLAY = re.compile(r"display\s*:\s*([\w-]+)\s*(!\s*important)?$", re.I)
-SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*$")
+COMPOUND = re.compile(r"(?:[A-Za-z_][\w-]*)?(?:[.#][A-Za-z_][\w-]*)*$")
+NAMES = re.compile(r"[.#]?[A-Za-z_][\w-]*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -272,8 +280,8 @@ class Hidden:
     """What the page's own style rules and an element's attributes hide."""
 
     def __init__(self, root: Node) -> None:
-        # selector: (important, 0 to 2 for tag, class and id, order, hides)
-        self.selectors: dict[str, tuple[bool, int, int, bool]] = {}
+        # name that a selector ends with: [(names it also asks for, (important, ids, classes, tags, order, hides))]
+        self.selectors: dict[str, list[tuple[set[str], tuple]]] = {}
         order = 0
         todo = [root]
         while todo:
@@ -284,11 +292,13 @@ class Hidden:
                         order += 1
                         for s in selectors.lower().split(","):
                             s = s.strip()
-                            if SIMPLE.match(s):
-                                rule = (bool(found[2]), ".#".find(s[0]) + 1, order, found[1].lower() == "none")
-                                self.selectors[s] = max(rule, self.selectors.get(s, rule))
+                            if s and COMPOUND.match(s):
+                                names = NAMES.findall(s)
+                                kinds = [sum(n[0] == k for n in names) for k in "#."]
+                                rule = (bool(found[2]), *kinds, len(names) - sum(kinds), order, found[1].lower() == "none")
+                                self.selectors.setdefault(names[-1], []).append((set(names), rule))
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if not any(rule[3] for rule in self.selectors.values()):
+        if not any(rule[-1] for rules in self.selectors.values() for _, rule in rules):
             self.selectors = {}
 
     def undisplayed(self, node: Node) -> bool:
@@ -302,8 +312,8 @@ class Hidden:
             return True
         if self.selectors and not re.search(r"display\s*:", style, re.I):
             names = {node.tag, *("." + c.lower() for c in attrs.get("class", "").split()), "#" + attrs.get("id", "").lower()}
-            rules = [self.selectors[n] for n in names if n in self.selectors]
-            return bool(rules) and max(rules)[3]
+            rules = [rule for n in names if n in self.selectors for asked, rule in self.selectors[n] if asked <= names]
+            return bool(rules) and max(rules)[-1]
         return False
 
 
@@ -318,6 +328,9 @@ class Lines:
 
     def text(self, text: str, keep: bool) -> None:
         if keep:
+            if self.space and self.inline:  # the space before it
+                self.inline += " "
+            self.space = False
             first, *more = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
             self.add(first)
             for line in more:
@@ -374,6 +387,13 @@ def trimmed(lines: list[str]) -> list[str]:
     return lines[a:b]
 
 
+def width(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for marks that combine."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def number(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else default
 
@@ -540,18 +560,19 @@ def render(root: Node) -> str:
         for r, line in enumerate(grid):
             for c, text in line.items():
                 if (r, c) not in spans:
-                    widths[c] = max(widths.get(c, 0), max(map(len, text), default=0))
+                    widths[c] = max(widths.get(c, 0), max(map(width, text), default=0))
         starts, at = {}, 0
         for c in sorted({c for line in grid for c in line}):
             starts[c] = at
             at += widths[c] + 2 if widths.get(c) else 0
         for line in grid:
             for k in range(max((len(text) for text in line.values()), default=0)):
-                made = ""
+                made, wide_so_far = "", 0
                 for c, text in sorted(line.items()):
                     if k < len(text) and text[k]:
-                        made = made.ljust(starts[c]) if len(made) <= max(starts[c] - 2, 0) else made + "  "
-                        made += text[k]
+                        gap = starts[c] - wide_so_far if wide_so_far <= max(starts[c] - 2, 0) else 2
+                        made += " " * gap + text[k]
+                        wide_so_far += gap + width(text[k])
                 out.append(made.rstrip())
         return trimmed(out)
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meshloom.llm.html_text import visible_text, visible_texts
+from meshloom.llm.html_text import VISIBILITY, Hidden, Node, tokens, tree, visible_text, visible_texts
 
 CASES = [
     ("", ""), ("plain", "plain"), ("a <b>b</b>c\n d", "a bc d"), ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div><div>b</div>c", "a\nb\nc"), ("a<br>b<br><br>c", "a\nb\n\nc"),
@@ -37,7 +37,7 @@ def test_forms_and_fields_in_tables(page, want):
 @pytest.mark.parametrize(("css", "want"), [
     ("@media print { .nav { display:none } }", "x"), ("@media (max-width:600px){.nav{display:none}}", "x"), ("@media screen and (max-width:9px){.nav{display:none}} p{}", "x"), ("@page{margin:0} .nav{display:none}", ""),
     ("@media screen{.a{color:red} .nav{display:none}}", ""), ("@import 'a;b}';@media print{.a{x:y}} .nav{display:none}", ""), (".nav{display:none} .nav{display:block}", "x"), (".nav{display:block} .nav{display:none}", ""),
-    (".nav{display:none!important} .nav{display:block}", ""), ("/* .nav{display:none} */ .b{}", "x"), (".nav{display:none} #i{display:block}", "x"), ("@media not print{.nav{display:none", ""),
+    (".nav{display:none!important} .nav{display:block}", ""), ("/* .nav{display:none} */ .b{}", "x"), (".nav{display:none} #i{display:block}", "x"), ("div.nav{display:none}", ""), ("p.nav, .nav.other{display:none}", "x"), ("div.nav#i{display:none} .nav{display:block}", ""), ("p .nav{display:none}", "x"), ("@media not print{.nav{display:none", ""),
 ])
 def test_rules_of_style_sheets(css, want):
     assert visible_text(f"<style>{css}</style><div class=nav id=i>x</div>") == want
@@ -102,3 +102,54 @@ def test_words_of_pages(spark, sf_dir):
 @given(st.lists(st.sampled_from(["<table>", "</table>", "<tr>", "<td colspan=3>", "<td rowspan=0>", "</td>", "<ul>", "<li>", "</ul>", "<p>", "</p>", "<pre>", "</pre>", "<b>", "</b>", "<select>", "<option>", "<style>", "</style>", "<!--", "-->", "<a b='", '"', "'", ">", "<", "&amp;", "word ", "\n", "é", "</br>", "<body>", "<caption>", "<thead>", "<textarea>"]), max_size=40).map("".join))
 def test_any_page(page):
     assert isinstance(visible_text(page), str)
+
+
+def shown(root):
+    """Text nodes that nothing hides, by a walk over the tree."""
+    hidden, out = Hidden(root), []
+
+    def walk(node, visible):
+        if hidden.undisplayed(node) or node.tag in ("select", "details", "input", "colgroup", "col"):
+            return
+        if found := VISIBILITY.search(node.attrs.get("style", "")):
+            visible = found[1].lower() == "visible"
+        for child in node.children:
+            if isinstance(child, Node):
+                walk(child, visible)
+            elif visible:
+                out.append(child)
+
+    walk(root, True)
+    return out
+
+
+TAGS = ["table", "tbody", "thead", "tr", "td", "th", "caption", "form", "ul", "ol", "li", "p", "div", "b", "a", "h1", "dl", "dt", "dd", "blockquote", "pre", "span", "button", "label", "fieldset", "legend", "center", "section", "textarea", "body", "head", "p hidden", "div style='display:none'", "i style='visibility:hidden'"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([f"<{t}>" for t in TAGS]), st.sampled_from([f"</{t.split()[0]}>" for t in TAGS]), st.just("WORD ")), max_size=50))
+def test_no_text_vanishes(pieces):
+    """Every word is in the tree, and every word of the tree that nothing hides is in the output, once."""
+    page = "".join(p if p != "WORD " else f"w{i}x " for i, p in enumerate(pieces))
+    written = [w for kind, text, _ in tokens(page) if kind == "text" for w in text.split()]
+    in_tree, todo = [], [tree(page)]
+    while todo:
+        node = todo.pop()
+        in_tree += [w for c in node.children if isinstance(c, str) for w in c.split()]
+        todo += [c for c in node.children if isinstance(c, Node)]
+    assert sorted(in_tree) == sorted(written)
+    got = [w for w in visible_text(page).split() if w not in ("-",) and not w.rstrip(".").isdigit()]
+    assert sorted(got) == sorted(w for text in shown(tree(page)) for w in text.split())
+
+
+def test_wide_characters_are_aligned():
+    assert visible_text("<table><tr><td>漢字<td>a<tr><td>abcde<td>b</table>") == "漢字   a\nabcde  b"
+
+
+def test_tables_of_pages(spark):
+    """No rows, nulls, rows that repeat, a very long page and columns of any name."""
+    rows = [(1, "<p>a", "t"), (1, "<p>a", "t"), (None, "<b>x", None), (2, None, "t"), (3, "", "t"), (4, "<p>word " * 60_000 + "<table>" + "<tr><td>c" * 20_000, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = {(r["page_id"], r["text"] if r["page_id"] != 4 else r["text"].count("word") + r["text"].count("c")) for r in visible_texts(pages).collect()}
+    assert got == {(1, "a"), (None, "x"), (2, None), (3, ""), (4, 80_000)} and visible_texts(pages).count() == 6
+    assert visible_texts(pages.where("false")).count() == 0
