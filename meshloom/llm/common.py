@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import threading
@@ -9,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as in the word pattern ``[^\x20\x09-\x0D]+``.
@@ -73,6 +74,16 @@ def binary_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("utf8"))
 
 
+def literals(values: list, kind: str = "bigint") -> Column:
+    """An array of numbers (or nulls) as one literal, however many there are."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def input_parts(df: DataFrame) -> int:
+    """Into how many parts a table's rows are dealt: as many as Spark shuffles into, or reads it in, which grows with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def file_system(url: str):
     """(filesystem, path) of a URL in the shared folder."""
     from pyarrow import fs

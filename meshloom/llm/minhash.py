@@ -22,7 +22,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import WORD_SPLIT
+from meshloom.llm.common import WORD_SPLIT, input_parts, literals
 from meshloom.llm.token_file import quantile_bounds, range_part
 
 #: Words in a shingle.
@@ -100,8 +100,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     The rows go to ranges of the key in one shuffle. Each range also gets the row that follows its last one, the first of
     the range below it, so every row finds its next one in its own range.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or input_parts(docs.select(key))
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     bounds = quantile_bounds(docs, key, parts)
     part = F.lit(len(bounds)) - range_part(F.col(key), bounds)  # ranges in descending order of the key
@@ -111,8 +110,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     for (p, k), (q, _) in zip(tops, [*tops[-1:], *tops[:-1]], strict=True):
         top[p], above[p] = k, q
     own = F.struct(F.col("part").alias("p"), F.lit(0).alias("extra"))
-    twice = F.array(own, F.struct(F.element_at(F.lit(above), F.col("part") + 1).alias("p"), F.lit(1).alias("extra")))
-    is_top = F.col(key) == F.element_at(F.array(*[F.lit(k).cast("long") for k in top]), F.col("part") + 1)
+    twice = F.array(own, F.struct(F.element_at(literals(above, "int"), F.col("part") + 1).alias("p"), F.lit(1).alias("extra")))
+    is_top = F.col(key) == F.element_at(literals(top), F.col("part") + 1)
     dealt = keyed.withColumn("to", F.explode(F.when(is_top, twice).otherwise(F.array(own)))).select(key, "t", "bins", "to.*")
     window = Window.partitionBy("p").orderBy("extra", F.col(key).desc(), F.col("t").desc())
     ordered = dealt.repartitionById(len(top), F.col("p"))

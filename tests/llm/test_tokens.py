@@ -156,6 +156,53 @@ def test_solver_on_many_lengths():
     assert plan.bound <= plan.sequences <= plan.bound * 1.002 + 1
     sizes = np.array(sorted(histogram))
     plain = sum(packing.best_fit(sizes, np.array([histogram[int(s)] for s in sizes]), 2048).values())
-    assert plan.sequences <= plain * 1.001 + 1
+    assert plan.sequences <= plain
     with pytest.raises(ValueError):
         packing.solve({3000: 1}, 2048)
+
+
+def run_by_run(lengths, capacity):
+    """Best fit, one run after the other."""
+    gaps = []
+    for size in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - size)
+    return sorted(gaps)
+
+
+def test_best_fit_of_counts_is_best_fit():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 40, 300):
+        lengths = rng.integers(1, 60, n).tolist()
+        sizes, count = np.unique(lengths, return_counts=True)
+        found = packing.best_fit(sizes, count, 100)
+        assert sorted(100 - sum(int(sizes[i]) * a for i, a in config) for config, times in found.items() for _ in range(times)) == run_by_run(lengths, 100)
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(1000, 1060, 5000), (520, 1020, 6000), (400, 900, 6000)])
+def test_a_plan_is_no_worse_than_best_fit(low, high, n):
+    histogram = dict(zip(*(x.tolist() for x in np.unique(np.random.default_rng(low).integers(low, high, n), return_counts=True)), strict=True))
+    sizes = np.array(sorted(histogram))
+    plain = sum(packing.best_fit(sizes, np.array([histogram[int(s)] for s in sizes]), 2048).values())
+    plan = packing.solve(histogram, 2048)
+    assert plan.bound <= plan.sequences <= plain and (low == 1000 or plan.sequences < 0.97 * plain)
+
+
+def test_files_are_closed_when_full(spark, make, monkeypatch):
+    """Many files for a range, and documents longer than what is decoded at once."""
+    monkeypatch.setattr(token_file, "FILE_IDS", 50)
+    monkeypatch.setattr(token_file, "SLICE_IDS", 8)
+    rows = [(i, f"some words of text number {i} " * (1 + i % 7)) for i in range(200)]
+    docs = make(rows)
+    folder = fresh_dir(spark, "t")
+    monkeypatch.setattr(token_file, "blocks", lambda batches: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    files = token_file.write_tokens(docs, WORD, folder, 1, 2)
+    assert files > 20
+    got = {r["doc_id"]: r for r in token_file.read_tokens(spark, folder, files).collect()}
+    at = 0
+    for i, t in rows:
+        own = [*ids(W, t), 1]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"], bytes(got[i]["ids"])) == (at, len(own), crc(own), np.array(own, "<u4").tobytes())
+        at += len(own)
