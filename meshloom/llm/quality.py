@@ -3,7 +3,8 @@
 ``ledger`` measures every text once and evaluates every rule once: a row holds the
 measurements and ``failed_bits``, in which bit k is 1 if rule k fails. Policies are
 versioned masks over the same bits; applying one, or asking what it would drop without one
-of its rules, reads the bits and never the texts.
+of its rules, reads the bits and never the texts. The ledger is a written table: verdicts,
+filters and ablations come from it, and no measurement is made twice.
 
 A word is a run of characters other than ASCII white space; a null text has none and is
 measured as empty. Rows are independent: repeated rows are measured row by row, other
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import WORD_SPLIT
+from meshloom.llm.common import WORD_SPLIT, written
 
 #: Words in a window whose repetition counts.
 WINDOW = 8
@@ -144,17 +145,26 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, policy: Policy = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_bits)."""
-    rows = ledger(docs, key, text)
-    return rows.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), (~fails(BASE) & ~fails(policy)).alias("kept"), "failed_bits")
+    """(key, measurements, base_failed, kept, failed_bits, policy, alone, alike) of each row, from a written ledger.
+
+    ``alone`` is the policy's rule without which the row would be kept (null: none, or more than one), ``alike`` the number
+    of rows that fail the same rules.
+    """
+    rows = written(ledger(docs, key, text), "quality-ledger")
+    names = {1 << k: r.name for k, r in enumerate(RULES)}
+    own = F.col("failed_bits").bitwiseAND(F.lit(BASE.mask | policy.mask))
+    alone = F.coalesce(*[F.when(own == bit, F.lit(name)) for bit, name in names.items()])
+    alike = F.broadcast(patterns(rows).withColumnRenamed("n", "alike"))  # two to the number of rules, at most
+    judged = rows.join(alike, "failed_bits")
+    measures = [c for c in rows.columns if c not in (key, "failed_bits")]
+    return judged.select(key, *measures, fails(BASE).alias("base_failed"), (~fails(BASE) & ~fails(policy)).alias("kept"), "failed_bits", F.lit(f"{policy.name}-{policy.version}").alias("policy"), alone.alias("alone"), "alike")
 
 
 def apply_policy(docs: DataFrame, policy: Policy = DEFAULT, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the policy, with all their columns.
+    """The rows of ``docs`` that pass the base rules and the policy, with all their columns, whatever their names.
 
-    The filter reads a column that isn't deterministic, so it stays above the ledger: pushed below, it would hold every
-    measurement as often as the rules name it.
+    The ledger is written beside the rows as they are, since rows may lack a key or repeat one; the policy reads its bits.
     """
     whole = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    rows = ledger(whole, "__row", "__text").select("__row", "failed_bits", F.spark_partition_id().alias("__here"))
-    return rows.where(~fails(BASE) & ~fails(policy) & (F.col("__here") >= 0)).select("__row.*")
+    rows = written(ledger(whole, "__row", "__text").select("__row", "failed_bits"), "quality-ledger")
+    return rows.where(~fails(BASE) & ~fails(policy)).select("__row.*")

@@ -102,8 +102,10 @@ m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, ''))
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
               + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
               + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_upper > 6 * n_letters THEN 32 ELSE 0 END) AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-       (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_upper, n_letters, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits, 'default-1' AS policy,
+       CASE failed_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'word_length' WHEN 32 THEN 'upper_case' END AS alone,
+       count(*) OVER (PARTITION BY failed_bits) AS alike
 FROM b
 """
 

@@ -24,13 +24,21 @@ def plain(text):
     n, chars, symbols, dup = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
     upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
     bits = [n < 20, 100 * len(covered) > 30 * n, 10 * symbols > 3 * n, 2 * dup > len(lines), chars < 2 * n or chars > 15 * n, 10 * upper > 6 * letters]
-    return (n, chars, symbols, dup, len(covered), bits[0] or bits[1], not any(bits), sum(1 << k for k, b in enumerate(bits) if b))
+    return {
+        "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_lines": len(lines), "n_dup_lines": dup, "n_upper": upper, "n_letters": letters, "n_repeat_words": len(covered),
+        "base_failed": bits[0] or bits[1], "kept": not any(bits), "failed_bits": sum(1 << k for k, b in enumerate(bits) if b),
+    }
 
 
 def test_measurements_and_verdicts(make):
-    got = {r[0]: tuple(r)[1:] for r in quality.quality_verdicts(make(list(enumerate(TEXTS)))).collect()}
+    got = {r["doc_id"]: r.asDict() for r in quality.quality_verdicts(make(list(enumerate(TEXTS)))).collect()}
+    names = [r.name for r in quality.RULES]
+    every = [plain(text)["failed_bits"] for text in TEXTS]
     for i, text in enumerate(TEXTS):
-        assert got[i] == plain(text), text
+        want = plain(text)
+        assert {k: got[i][k] for k in want} == want, text
+        bits = want["failed_bits"]
+        assert got[i]["alone"] == (names[bits.bit_length() - 1] if bits.bit_count() == 1 else None) and got[i]["alike"] == every.count(bits) and got[i]["policy"] == "default-1"
 
 
 def test_policies_and_ablations(make):
@@ -55,3 +63,14 @@ def test_long_text(make):
     text = " ".join(f"w{i % 5000}" for i in range(40_000))
     r = quality.quality_verdicts(make([(1, text)])).first()
     assert r["n_words"] == r["n_repeat_words"] == 40_000 and not r["kept"]
+
+
+def test_columns_of_any_name(spark):
+    """Columns that clash with the ledger's own, nulls in all of them, rows that repeat, and a policy of one rule."""
+    rows = [(None, t, None, 5, "x", None) for t in TEXTS] + [(1, TEXTS[-1], "w", None, None, 7)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, failed_bits string, n_words int, t string, __text int")
+    kept = quality.apply_policy(docs)
+    assert kept.schema == docs.schema and kept.count() == sum(plain(r[1])["kept"] for r in rows)
+    own = quality.Policy("few", 1, ("few_words",))
+    assert quality.apply_policy(docs, own).count() == sum(not plain(r[1])["base_failed"] for r in rows)
+    assert quality.quality_verdicts(docs.where("false")).count() == 0 and quality.apply_policy(docs.where("false")).count() == 0
