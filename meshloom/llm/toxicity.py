@@ -14,7 +14,9 @@ most, of texts up to SAMPLE_CHARS characters, the lowest by a hash of the id. Pr
 comes from all labels of the training folds. Only texts enter a score.
 
 A null text is empty; it scores what a text without any word does. Repeated rows score
-equally. Without a toxic or a clean label every score is the prevalence (0 if unknown).
+equally; a row without an id is scored and never learned from, an empty table gives no rows,
+and other columns may have any names. Without a toxic or a clean label every score is the
+prevalence (0 if unknown).
 """
 
 from __future__ import annotations
@@ -326,10 +328,11 @@ def train(docs: DataFrame, labels: DataFrame, restorer: Restorer, key: str = "do
         return fit([], np.zeros(0, int), prevalence)
     # at most TOXIC_ROWS + CLEAN_ROWS ids: the only rows that are sent to every executor
     chosen = docs.sparkSession.createDataFrame(ids, "k long, y int")
-    rows = docs.join(F.broadcast(chosen), F.col(key).cast("long") == F.col("k")).where(F.length(text) <= SAMPLE_CHARS)
+    own_rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("t"))  # other columns may have any names
+    rows = own_rows.join(F.broadcast(chosen), F.col("__key") == F.col("k")).where(F.length("t") <= SAMPLE_CHARS)
     reader = Reader(restorer)
     texts, y = [], []
-    for r in rows.select("k", "y", F.col(text).alias("t")).dropDuplicates(["k"]).orderBy("k").toLocalIterator():
+    for r in rows.groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("k").toLocalIterator():  # of rows that repeat an id, the least text
         words: Counter = Counter()
         for w, n in Counter(r["t"].lower().split()).items():
             for found in restorer.words(w):

@@ -95,3 +95,59 @@ def test_odd_tables(make, spark):
     docs = make([(i, "good words here" + (" vile thing" if i < 40 else "")) for i in range(200)] + [(None, "vile"), (900, None)])
     kept = toxicity.drop_toxic(docs, some)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(range(40, 200)) | {900} and not {r["doc_id"] for r in kept.collect()} & set(range(40))
+
+
+def readings(arcs, costs, at=0, state=(0, 0)):
+    """(cost, text) of every reading of a lattice, by trying all."""
+    if at == len(arcs):
+        yield costs[state[0], state[1], 0], ""
+        return
+    for to, read, extra in arcs[at]:
+        a, b = state
+        cost = extra
+        for ch in read:
+            c = int(toxicity.CLASS[min(ord(ch), 0x250)])
+            cost += costs[a, b, c]
+            a, b = b, c
+        for more, rest in readings(arcs, costs, to, (a, b)):
+            yield cost + more, read + rest
+
+
+@pytest.mark.parametrize("raw", ["1d10t", "a$$", "s.c.u.m", "idiooot", "h4t3!!", "0|<3", "b a d", "no-one", "1001", "xx11..--", "é1é", "$$$", "w.o.r.d-5"])
+def test_decoding_finds_the_cheapest_of_all_readings(restorer, monkeypatch, raw):
+    every = list(readings(list(restorer.arcs(raw)), restorer.costs))
+    cheapest = min(cost for cost, _ in every)
+    for settle in (toxicity.SETTLE_CHARS, 2):
+        monkeypatch.setattr(toxicity, "SETTLE_CHARS", settle)
+        assert min(cost for cost, text in every if text == restorer.decode(raw)) == pytest.approx(cheapest)
+
+
+def test_scores_are_those_of_a_plain_loop(spark, docs, restorer):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels, restorer)
+    assert model.units
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for r in docs.collect():
+        words, run = [], []
+        for w in [*(r["text"] or "").lower().split(), ".."]:
+            if len(w) == 1 and (w.isalpha() or w in toxicity.LOOKS_LIKE):
+                run.append(w)
+            else:
+                words += restorer.spelled(run) if len(run) >= 3 else ()
+                run = []
+            words += restorer.words(w) if w != ".." else ()
+        units = [u for w in words for u in toxicity.units_of(w)]
+        counts = np.array([[units.count(u) for u in model.units]], float)
+        assert got[r["doc_id"]] == pytest.approx(float(model.score(counts, np.array([len(words)], float))[0])), r["doc_id"]
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns with the names that the operator uses inside, words of any length, texts longer than the sample takes."""
+    rows = [(i, "good words here" + (" vile thing" if i < 40 else ""), 1, "a", 2.0, 3, 4, 5) for i in range(200)]
+    rows += [(300, "vile thing " * 3_000, 1, "a", 2.0, 3, 4, 5), (301, "1d10t" * 30, 1, "a", 2.0, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, y string, t double, part int, __row int, __gone int")
+    labels = spark.createDataFrame([(i, int(i < 40), 9, 9) for i in range(200)] + [(300, 1, 9, 9)], "doc_id long, toxic int, k int, y int")
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert len(scores) == 202 and all(scores[i] == (i < 40) for i in range(200)) and scores[300] == 1
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(range(40, 200))
