@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.numbering import running_sum
@@ -14,11 +14,11 @@ from meshloom.operators.mesh import Mesh
 
 @dataclass(frozen=True)
 class DualGraph:
-    """``vertex_weights``: (cell, w) with w an array of longs; ``edge_weights``: (eid, w)."""
+    """``vertex_weights``: (cell, w) with w an array of longs; ``edge_weights``: (eid, w), or an expression over ``edges``."""
 
     mesh: Mesh
     vertex_weights: DataFrame | None = None
-    edge_weights: DataFrame | None = None
+    edge_weights: DataFrame | Column | None = None
 
     # -- structure ------------------------------------------------------------
 
@@ -85,13 +85,19 @@ class DualGraph:
         w = F.col("w").cast("array<bigint>") if kind == "array" else F.array(F.col("w").cast("bigint"))
         return replace(self, vertex_weights=weights.select("cell", w.alias("w")))
 
-    def with_edge_weights(self, weights: DataFrame | None) -> DualGraph:
-        """(eid, w) for directed edges; None changes nothing."""
-        return self if weights is None else replace(self, edge_weights=weights.select("eid", F.col("w").cast("bigint").alias("w")))
+    def with_edge_weights(self, weights: DataFrame | Column | None) -> DualGraph:
+        """(eid, w) for directed edges, or an expression over ``edges``, which needs no join; None changes nothing."""
+        if weights is None:
+            return self
+        return replace(self, edge_weights=weights.cast("bigint") if isinstance(weights, Column) else weights.select("eid", F.col("w").cast("bigint").alias("w")))
+
+    def constraints(self) -> int:
+        """How many weights a cell has at most; 1 without weights."""
+        return 1 if self.vertex_weights is None else self.vertex_weights.agg(F.max(F.size("w"))).first()[0] or 1
 
     def weighted_vertices(self) -> DataFrame:
-        """(cell, part, w): the first weight of each cell, 1 without weights."""
-        cells = self.degrees.select("cell", "part")
+        """(cell, part, w): the first weight of each cell, 1 without weights. Sizes and cuts are reported by it."""
+        cells = self.mesh.cells.select(F.col("gid").alias("cell"), "part")
         if self.vertex_weights is None:
             return cells.withColumn("w", F.lit(1).cast("bigint"))
         return cells.join(self.vertex_weights.select("cell", F.col("w")[0].alias("w")), "cell", "left").fillna(1, ["w"])
@@ -100,4 +106,6 @@ class DualGraph:
         """``edges`` with w, 1 without weights."""
         if self.edge_weights is None:
             return self.edges.withColumn("w", F.lit(1).cast("bigint"))
+        if isinstance(self.edge_weights, Column):
+            return self.edges.withColumn("w", self.edge_weights)
         return self.edges.join(self.edge_weights, "eid", "left").fillna(1, ["w"])

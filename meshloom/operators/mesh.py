@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.functions.numbering import dense_ids, running_sum
+from meshloom.functions.numbering import dense_ids, ids_by_part
 from meshloom.functions.topology import TETRAHEDRON, Topology
 
 CELL, VERTEX = "cell", "vertex"
@@ -43,9 +43,18 @@ def tags(table: str, columns: Sequence[str], df: DataFrame) -> None:
         raise ValueError(f"{table} lacks {', '.join(missing)}")
 
 
+def extents(value: Column, outer: Sequence[int], n: int) -> Column:
+    """Whether all arrays at this depth of a value have n elements."""
+    return F.size(value) == n if not outer else F.forall(value, lambda inner: extents(inner, outer[1:], n))
+
+
 @dataclass(frozen=True)
 class Mesh:
-    """``raw_cells``: (orig_gid, v0..v3); ``raw_vertices``: (vid, x, y, z); ``assignment``: (orig_gid, part) or an expression, else all in part 0."""
+    """``raw_cells``: (orig_gid, v0..v3); ``raw_vertices``: (vid, x, y, z); ``assignment``: (orig_gid, part) or an expression, else all in part 0.
+
+    ``orig_gid`` is unique and not negative and may have gaps, as in a filtered file. ``cell_count`` says that it is
+    0..cell_count-1, which saves a scan; a cell out of that range is an error.
+    """
 
     raw_cells: DataFrame
     raw_vertices: DataFrame
@@ -78,8 +87,9 @@ class Mesh:
             raise ValueError(f"the values have {depth} dimensions, {len(sizes)} were declared")
         table = values.select(F.col(key or own).alias(own), F.col(value).alias("value"))
         if sizes:  # a wrong extent is an error of the row that has it
-            table = table.withColumn("value", F.when(F.size("value") == sizes[0], F.col("value")).otherwise(F.raise_error(F.lit(f"a value doesn't have {sizes[0]} elements"))))
-        return replace(self, attributes=(*self.attributes, Attribute(kind, table, sizes)))
+            good = reduce(Column.__and__, (extents(F.col("value"), sizes[:k], n) for k, n in enumerate(sizes)))
+            table = table.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.lit(f"a value isn't of the shape {sizes}"))))
+        return self.changed(attributes=(*self.attributes, Attribute(kind, table, sizes)))
 
     def cell_data(self, i: int) -> DataFrame:
         """(gid, orig_gid, value) of the i-th cell attribute, aligned with the cells as distributed."""
@@ -98,11 +108,18 @@ class Mesh:
     def partition(self, assignment: DataFrame, parts: int) -> Mesh:
         """The mesh with its cells (and so their attributes) assigned to parts 0..parts-1; can be done again."""
         tags("assignment", ["orig_gid", "part"], assignment)
-        return replace(self, assignment=assignment.select("orig_gid", F.col("part").cast("int").alias("part")), parts=parts)
+        return self.changed(assignment=assignment.select("orig_gid", F.col("part").cast("int").alias("part")), parts=parts)
 
     def partition_by(self, part: Column, parts: int) -> Mesh:
         """As ``partition``, by an expression over the raw cells: no join is needed."""
-        return replace(self, assignment=part.cast("int"), parts=parts)
+        return self.changed(assignment=part.cast("int"), parts=parts)
+
+    def changed(self, **changes) -> Mesh:
+        """A mesh of the same cells with other fields; what is known of the cells stays known."""
+        new = replace(self, **changes)
+        if "extent" in self.__dict__:
+            new.__dict__["extent"] = self.extent
+        return new
 
     @cached_property
     def distributed(self) -> DataFrame:
@@ -114,8 +131,16 @@ class Mesh:
         good = F.col("part").between(0, self.parts - 1)
         return joined.withColumn("part", F.when(good, F.col("part")).otherwise(F.raise_error(F.lit("a cell has no part in range"))))
 
+    @cached_property
+    def extent(self) -> tuple[int, int]:
+        """(number of cells, one more than the largest orig_gid); one scan of the ids unless ``cell_count`` is given."""
+        if self.cell_count is not None:
+            return self.cell_count, self.cell_count
+        row = self.raw_cells.agg(F.count("*").alias("n"), F.max("orig_gid").alias("top")).first()
+        return row["n"], 0 if row["top"] is None else row["top"] + 1
+
     def total_cells(self) -> int:
-        return self.cell_count if self.cell_count is not None else self.raw_cells.count()
+        return self.extent[0]
 
     def original_counts(self) -> DataFrame:
         """(part, cells) of all parts that have cells."""
@@ -125,10 +150,10 @@ class Mesh:
 
     @cached_property
     def cells(self) -> DataFrame:
-        n = self.total_cells()
-        # one order column: parts one after the other, each in the order of the file
-        keyed = self.distributed.withColumn("__o", F.col("part").cast("long") * n + F.col("orig_gid"))
-        return dense_ids(keyed, "__o", "gid", self.parts * max(n, 1)).select("gid", "orig_gid", "part", *self.slots)
+        span = self.extent[1]
+        inside = F.when(F.col("orig_gid").between(0, span - 1), F.col("orig_gid")).otherwise(F.raise_error(F.lit(f"a cell's orig_gid isn't in 0..{span - 1}")))
+        keyed = self.distributed.withColumn("orig_gid", inside)
+        return ids_by_part(keyed, "part", "orig_gid", "gid", span, self.parts).select("gid", "orig_gid", "part", *self.slots)
 
     @cached_property
     def face_slots(self) -> DataFrame:
@@ -203,12 +228,7 @@ class Mesh:
     def local_ids(self, rows: DataFrame, key: str) -> DataFrame:
         """``rows`` (part, key, ...) with dense local ids within each part, in the order of the key."""
         top = rows.agg(F.max(key)).first()[0]
-        span = (top or 0) + 1
-        keyed = rows.withColumn("__o", F.col("part").cast("long") * span + F.col(key))
-        numbered = dense_ids(keyed, "__o", "__n", self.parts * span)
-        counts = rows.groupBy("part").agg(F.count("*").alias("__c"))
-        first = running_sum(counts, "part", F.col("__c"), "__first", self.parts).select("part", "__first")
-        return numbered.join(F.broadcast(first), "part").withColumn("lid", F.col("__n") - F.col("__first")).drop("__o", "__n", "__first")
+        return ids_by_part(rows, "part", key, "lid", (top or 0) + 1, self.parts, local=True)
 
     # -- incidence ------------------------------------------------------------
 

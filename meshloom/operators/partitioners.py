@@ -6,23 +6,31 @@ seed alone. Sizes stay within one cell's weight of (1 + imbalance) times a part'
 - none: the current parts.
 - block: equal runs of cell ids.
 - geometric: runs along a Morton curve through the barycenters.
-- refined: a geometric start, then rounds of size-constrained label propagation. Each cell
-  asks for the neighbouring part that it shares most edge weight with; a part admits as
-  many of those that ask, in the order of a seeded hash, as its size allows.
+- refined: a geometric start, then rounds that move cells where the cut falls. A cell asks
+  for the neighbouring part that it shares most edge weight with; of neighbours that ask,
+  one goes, so that every gain is real and no round makes the cut worse. Between two parts
+  as much weight moves one way as the other, and what room there is beyond that: sizes hold
+  while cells change places. The cells with the largest gains go first.
+
+A cell has one weight. Graphs with several weights for each cell are refused, but for
+``none`` and ``block``, which don't read them.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.distribute import Blocks
-from meshloom.functions.numbering import running_sum
+from meshloom.functions.numbering import how_many_below
 from meshloom.operators.graph import DualGraph
 
 
@@ -84,69 +92,97 @@ def by_weight(rows: DataFrame, total: int, target: Target) -> DataFrame:
     for share in target.shares[:-1]:
         acc += share
         ends.append(acc)
-    part = F.size(F.filter(F.lit(ends), lambda e: e <= middle)) if ends else F.lit(0)
-    return rows.select("cell", part.cast("int").alias("part"))
+    return rows.select("cell", how_many_below(middle, ends, "double").cast("int").alias("part"))
+
+
+#: The most stretches of the curve whose weights are summed one by one.
+STRETCHES = 4096
 
 
 def geometric(graph: DualGraph, target: Target, seed: int = 1) -> DataFrame:
-    """Runs of equal weight along the curve; cells at one place of it follow by id."""
-    cells = graph.mesh.total_cells()
+    """Runs of equal weight along the curve; cells at one place of it follow by id.
+
+    Cells are dealt to stretches of the curve that hold about as many each, however the mesh is graded.
+    """
     rows = along_curve(graph).join(graph.weighted_vertices().select("cell", "w"), "cell")
-    # few cells share a place; the curve's place and a count within it make a unique order
-    within = F.row_number().over(Window.partitionBy("curve").orderBy("cell")) - 1
-    most = rows.groupBy("curve").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    keyed = rows.withColumn("__o", F.col("curve").cast("decimal(38,0)") * most + within)
-    slots = 1 << 12
-    # deal by the leading bits of the curve, as sums need integer orders of moderate range
-    top = (1 << 60) * most
-    lead = F.floor(F.col("__o") / F.lit(top // slots)).cast("long")
-    inner = Window.partitionBy("__l").orderBy("__o")
-    dealt = keyed.withColumn("__l", lead)
+    many = min(STRETCHES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = along_curve(graph).agg(F.percentile_approx("curve", [k / many for k in range(1, many)], 10 * many).alias("b")).first()["b"] or []
+    dealt = rows.withColumn("__l", how_many_below(F.col("curve"), sorted(set(bounds))))
     totals = dealt.groupBy("__l").agg(F.sum("w").alias("__t"))
-    base = totals.select("__l", (F.sum("__t").over(Window.orderBy("__l")) - F.col("__t")).alias("__base"))
+    base = totals.select("__l", (F.sum("__t").over(Window.orderBy("__l")) - F.col("__t")).alias("__base"))  # a row for each stretch
+    inner = Window.partitionBy("__l").orderBy("curve", "cell")
     summed = dealt.withColumn("__in", F.sum("w").over(inner) - F.col("w")).join(F.broadcast(base), "__l").withColumn("before", F.col("__base") + F.col("__in"))
-    total = graph.weighted_vertices().agg(F.sum("w")).first()[0] or 0 if cells else 0
+    total = graph.weighted_vertices().agg(F.sum("w")).first()[0] or 0
     return by_weight(summed, total, target)
 
 
 def kept_table(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder if one is set, which cuts the lineage of a loop; else checkpointed lazily in memory."""
+    """``df`` as a table in the shared checkpoint folder, which cuts the lineage of a loop; only a local session may lack that folder."""
     spark: SparkSession = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        import tempfile
-
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise PartitionError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/partition-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lots into which the cells that would go from one part to another are dealt, by gain and then by a hash.
+GAINS, LOTS = 32, 64
+
+
+def exchange(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many leading lots go each way between two parts: as much weight as possible, and neither gains more than its ``extra``.
+
+    ``rows``: (from, to, lot, d, extra) of both directions, at most 2 * GAINS * LOTS.
+    """
+    ways = [w.sort_values("lot") for _, w in rows.groupby(["from", "to"])]
+    sums = [np.append(0, np.cumsum(w["d"].to_numpy())) for w in ways] + [np.zeros(1, np.int64)] * (2 - len(ways))
+    extra = [int(w["extra"].iloc[0]) for w in ways] + [0] * (2 - len(ways))
+    there, back = sums
+    at = np.searchsorted(back, there + extra[1], side="right") - 1
+    moved = np.where(there - back[at] <= extra[0], there + back[at], -1)
+    i = int(moved.argmax())
+    open_lots = [w.iloc[:n] for w, n in zip(ways, (i, int(at[i])), strict=False)]
+    return pd.concat(open_lots)[["from", "to", "lot"]]
+
+
 def refined(graph: DualGraph, target: Target, seed: int = 1, rounds: int = 4, start: Callable = geometric) -> DataFrame:
-    """Label propagation from ``start``; a part never exceeds (1 + imbalance) times its share, nor what it starts with."""
+    """Exchanges from ``start``; a part never exceeds (1 + imbalance) times its share, or what it starts with."""
     current = kept_table(start(graph, target, seed))
     edges = kept_table(graph.weighted_edges().select("src", "dst", "w"))
     weights = kept_table(graph.weighted_vertices().select("cell", F.col("w").alias("vw")))
+    spark = current.sparkSession
     total = weights.agg(F.sum("vw")).first()[0] or 0
     caps = [total * s * (1 + target.imbalance) for s in target.shares]
     for k in range(rounds):
-        sizes = {r["part"]: r["s"] for r in current.join(weights, "cell").groupBy("part").agg(F.sum("vw").alias("s")).collect()}
-        room = [max(0, int(cap - sizes.get(p, 0))) for p, cap in enumerate(caps)]
+        sizes = {r["part"]: r["s"] for r in current.join(weights, "cell").groupBy("part").agg(F.sum("vw").alias("s")).collect()}  # a row for each part
+        room = spark.createDataFrame([(p, max(0, int(cap - sizes.get(p, 0)))) for p, cap in enumerate(caps)], "to int, room long")
         side = current.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part"))
         pull = edges.join(side, "dst").groupBy(F.col("src").alias("cell"), "nbr_part").agg(F.sum("w").alias("pull"))
         own = pull.join(current, "cell").groupBy("cell", "part").agg(
             F.sum(F.when(F.col("nbr_part") == F.col("part"), F.col("pull")).otherwise(0)).alias("stay"),
-            F.max(F.struct("pull", F.xxhash64("cell", "nbr_part", F.lit(seed + k)).alias("h"), "nbr_part")).alias("best"),
+            F.max(F.when(F.col("nbr_part") != F.col("part"), F.struct("pull", F.xxhash64("cell", "nbr_part", F.lit(seed + k)).alias("h"), "nbr_part"))).alias("best"),
         )
-        asks = own.where("best.pull > stay and best.nbr_part <> part").select("cell", F.col("best.nbr_part").alias("to")).join(weights, "cell")
-        lots = 1 << 10
-        drawn = asks.withColumn("lot", F.pmod(F.xxhash64("cell", F.lit(seed * 1000 + k)), F.lit(lots)))
-        demand = drawn.groupBy("to", "lot").agg(F.sum("vw").alias("d"))  # a row for each part and lot
-        upto = demand.withColumn("upto", F.sum("d").over(Window.partitionBy("to").orderBy("lot")))
-        allowed = F.element_at(F.lit(room), F.col("to") + 1)
-        open_lots = upto.where(F.col("upto") <= allowed).select("to", "lot")
-        moves = drawn.join(F.broadcast(open_lots), ["to", "lot"]).select("cell", "to")
+        gain = (F.col("best.pull") - F.col("stay")).alias("gain")
+        asks = kept_table(own.where("best.pull > stay").select("cell", F.col("part").alias("from"), F.col("best.nbr_part").alias("to"), gain, F.xxhash64("cell", F.lit(seed * 1000 + k)).alias("h")))
+        # of neighbours that ask, the one with the larger gain goes
+        rank = lambda c: asks.select(F.col("cell").alias(c), F.struct("gain", "h", "cell").alias(f"{c}_rank"))
+        behind = edges.join(rank("src"), "src").join(rank("dst"), "dst").where("src_rank < dst_rank").select(F.col("src").alias("cell")).distinct()
+        free = asks.join(behind, "cell", "left_anti").join(weights, "cell")
+        step = F.least(F.floor(F.log2(F.col("gain").cast("double")) * 2).cast("int"), F.lit(GAINS - 1))
+        drawn = kept_table(free.withColumn("lot", (F.lit(GAINS - 1) - step) * LOTS + F.pmod(F.col("h"), F.lit(LOTS))).select("cell", "from", "to", "lot", "vw"))
+        if drawn.isEmpty():
+            break
+        demand = drawn.groupBy("from", "to", "lot").agg(F.sum("vw").alias("d"))
+        extra = demand.select("from", "to").distinct().groupBy("to").agg(F.count("*").alias("sources")).join(room, "to").select("to", F.floor(F.col("room") / F.col("sources")).alias("extra"))
+        pairs = demand.join(extra, "to").groupBy(F.least("from", "to"), F.greatest("from", "to"))
+        open_lots = pairs.applyInPandas(exchange, "from int, to int, lot long")
+        moves = drawn.join(open_lots, ["from", "to", "lot"]).select("cell", "to")
         current = kept_table(current.join(moves, "cell", "left").select("cell", F.coalesce("to", "part").cast("int").alias("part")))
     return current
 
@@ -165,10 +201,10 @@ PARTITIONERS: dict[str, Callable[..., DataFrame]] = {
     "ptscotch-sb": partial(refined, rounds=2),
     "parhip-ultrafast": partial(refined, rounds=1),
     "parhip-fast": partial(refined, rounds=3),
-    "parhip-eco": partial(refined, rounds=8),
+    "parhip-eco": partial(refined, rounds=12),
     "parhip-ultrafastsocial": partial(refined, rounds=1),
     "parhip-fastsocial": partial(refined, rounds=3),
-    "parhip-ecosocial": partial(refined, rounds=8),
+    "parhip-ecosocial": partial(refined, rounds=12),
 }
 
 
@@ -178,4 +214,6 @@ def partition(name: str, graph: DualGraph, target: Target, seed: int = 1) -> Dat
         raise PartitionError(f"{name} is none of {', '.join(PARTITIONERS)}")
     if target.parts < 1 or target.imbalance < 0 or target.weights and len(target.weights) != target.parts:
         raise PartitionError("a target needs a part, a share for each, and no negative imbalance")
+    if name not in ("none", "block") and (n := graph.constraints()) > 1:
+        raise PartitionError(f"{name} balances one weight for each cell, not {n}")
     return PARTITIONERS[name](graph, target, seed)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import itertools
 import json
+import time
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.operators.graph import DualGraph
+from meshloom.operators.partitioners import Target, kept_table, partition
 
 
 def weight_column(kind: str, key: Column, seed: int = 123) -> Column | None:
@@ -44,49 +47,120 @@ def node_weights(kind: str, parts: int, seed: int = 123) -> list[float]:
     return [w / total for w in raw]
 
 
-def part_sizes(graph: DualGraph, partition: DataFrame, parts: int) -> DataFrame:
-    """(part, size, size_weighted) of every part, empty ones included; ``partition``: (cell, part)."""
-    own = graph.weighted_vertices().select("cell", "w").join(partition.select("cell", "part"), "cell").groupBy("part").agg(F.count("*").alias("size"), F.sum("w").alias("size_weighted"))
-    every = partition.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
-    return every.join(own, "part", "left").fillna(0)
+def every_part(graph: DualGraph, parts: int) -> DataFrame:
+    return graph.mesh.raw_cells.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
 
 
-def cut_edges(graph: DualGraph, partition: DataFrame) -> DataFrame:
-    """(part, nbr_part, w) of every directed edge between parts."""
+def size_rows(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
+    """(part, size, size_weighted) of parts with cells."""
+    cells = graph.weighted_vertices()
+    cells = cells if partition is None else cells.select("cell", "w").join(partition.select("cell", "part"), "cell")
+    return cells.groupBy("part").agg(F.count("*").alias("size"), F.sum("w").alias("size_weighted"))
+
+
+def part_sizes(graph: DualGraph, partition: DataFrame | None, parts: int) -> DataFrame:
+    """(part, size, size_weighted) of every part, empty ones included; ``partition``: (cell, part), None: the mesh's own."""
+    return every_part(graph, parts).join(size_rows(graph, partition), "part", "left").fillna(0)
+
+
+def cut_edges(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
+    """(part, nbr_part, w) of every directed edge between parts; edges know the mesh's own parts."""
+    if partition is None:
+        return graph.weighted_edges().where("part <> dst_part").select("part", F.col("dst_part").alias("nbr_part"), "w")
     side = partition.select("cell", "part")
     rows = graph.weighted_edges().select("src", "dst", "w").join(side.select(F.col("cell").alias("src"), "part"), "src").join(side.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part")), "dst")
     return rows.where("part <> nbr_part").select("part", "nbr_part", "w")
 
 
-def part_cut(graph: DualGraph, partition: DataFrame, parts: int) -> DataFrame:
+def cut_rows(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
+    """(part, cut, cut_weighted) of parts that others touch: directed edges that reach each part from another."""
+    return cut_edges(graph, partition).groupBy(F.col("nbr_part").alias("part")).agg(F.count("*").alias("cut"), F.sum("w").alias("cut_weighted"))
+
+
+def part_cut(graph: DualGraph, partition: DataFrame | None, parts: int) -> DataFrame:
     """(part, cut, cut_weighted): directed edges that reach each part from another, also where there is none."""
-    cuts = cut_edges(graph, partition).groupBy(F.col("nbr_part").alias("part")).agg(F.count("*").alias("cut"), F.sum("w").alias("cut_weighted"))
-    every = partition.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
-    return every.join(cuts, "part", "left").fillna(0)
+    return every_part(graph, parts).join(cut_rows(graph, partition), "part", "left").fillna(0)
 
 
-def cut_matrix(graph: DualGraph, partition: DataFrame) -> DataFrame:
+def cut_matrix(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
     """(nbr_part, part, cut_weighted_detail) of the pairs of parts that touch."""
     return cut_edges(graph, partition).groupBy("nbr_part", "part").agg(F.sum("w").alias("cut_weighted_detail"))
 
 
-def summary(graph: DualGraph, partition: DataFrame, parts: int) -> DataFrame:
-    """One row: total_vertices, cut, cut_weighted (of undirected edges), imbalance, imbalance_weighted."""
-    both = part_sizes(graph, partition, parts).join(part_cut(graph, partition, parts), "part")
+MEASURES = ("size", "size_weighted", "cut", "cut_weighted")
+
+
+def part_rows(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
+    """(part, size, size_weighted, cut, cut_weighted) of parts that aren't empty."""
+    both = size_rows(graph, partition).unionByName(cut_rows(graph, partition), allowMissingColumns=True)
+    return both.groupBy("part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in MEASURES])
+
+
+def totals(rows: DataFrame, parts: int) -> DataFrame:
+    """One row of the ``part_rows``; edges in the cut are counted once, not from both sides."""
     worst = lambda c: F.max(c) / (F.sum(c) / F.lit(parts))
-    return both.agg(
+    return rows.agg(
         F.sum("size").alias("total_vertices"),
         F.expr("sum(cut) div 2").alias("cut"), F.expr("sum(cut_weighted) div 2").alias("cut_weighted"),
         worst("size").alias("imbalance"), worst("size_weighted").alias("imbalance_weighted"),
     )
 
 
-def report(graph: DualGraph, partition: DataFrame, parts: int, configuration: dict) -> DataFrame:
-    """One row, ``value``: the summary, the parts and the configuration as JSON."""
-    each = part_sizes(graph, partition, parts).join(part_cut(graph, partition, parts), "part")
-    rows = each.agg(F.sort_array(F.collect_list(F.struct("part", "size", "size_weighted", "cut", "cut_weighted"))).alias("rank_stats"))  # a struct for each part
-    whole = summary(graph, partition, parts).select("*", F.lit(json.dumps(configuration, sort_keys=True)).alias("configuration")).withColumn("k", F.lit(0))
-    return whole.join(rows.withColumn("k", F.lit(0)), "k").select(F.to_json(F.struct("total_vertices", "cut", "cut_weighted", "imbalance", "imbalance_weighted", "configuration", "rank_stats")).alias("value"))
+def summary(graph: DualGraph, partition: DataFrame | None, parts: int) -> DataFrame:
+    """One row: total_vertices, cut, cut_weighted (of undirected edges), imbalance, imbalance_weighted."""
+    return totals(part_rows(graph, partition), parts)
+
+
+def report(graph: DualGraph, partition: DataFrame | None, parts: int, configuration: dict, measured: dict | None = None) -> DataFrame:
+    """One row, ``value``: totals, every part with its row of the cut matrix, the configuration and what was measured, as JSON.
+
+    ``mpi_size`` is the number of parts. ``measured``: as ``timed`` returns it, or nothing.
+    """
+    detail = cut_matrix(graph, partition).groupBy(F.col("nbr_part").alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("from"), F.col("cut_weighted_detail").alias("w")))).alias("cut_weighted_detail"))  # a struct for each part that touches it
+    rows = every_part(graph, parts).join(part_rows(graph, partition), "part", "left").fillna(0).join(detail, "part", "left")
+    edges = graph.counts().select("edges")
+    whole = rows.agg(*[e.alias(n) for n, e in (("rank_stats", F.sort_array(F.collect_list(F.struct("part", *MEASURES, "cut_weighted_detail")))),)])  # a struct for each part
+    said = {"configuration": json.dumps(configuration, sort_keys=True), "mpi_size": parts, **(measured or {})}
+    fields = ["total_vertices", "total_edges", "cut", "cut_weighted", "imbalance", "imbalance_weighted", *said, "rank_stats"]
+    one = lambda df: df.withColumn("k", F.lit(0))
+    made = one(totals(rows, parts)).join(one(whole), "k").join(one(edges.select(F.col("edges").alias("total_edges"))), "k")  # one row each
+    return made.withColumns({k: F.lit(v) for k, v in said.items()}).select(F.to_json(F.struct(*fields)).alias("value"))
+
+
+def timed(make: Callable[[], DataFrame]) -> tuple[DataFrame, dict]:
+    """(the table, {"time": seconds, "memory": bytes}) of a partition that is computed in full.
+
+    ``memory`` is the largest peak of heap that the driver or any executor has told so far.
+    """
+    start = time.perf_counter()
+    table = kept_table(make())
+    took = time.perf_counter() - start
+    context = table.sparkSession.sparkContext
+    store = context._jsc.sc().statusStore()
+    peaks = [x.peakMemoryMetrics().get().getMetricValue("JVMHeapMemory") for x in _listed(store.executorList(False)) if x.peakMemoryMetrics().isDefined()]
+    beans = context._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    own = sum(b.getPeakUsage().getUsed() for b in beans if b.getType().toString() == "Heap memory")
+    return table, {"time": took, "memory": max([own, *peaks])}
+
+
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def harness(graph: DualGraph, settings: list[dict], seed: int = 1) -> Iterator[tuple[dict, DataFrame]]:
+    """(configuration, report) of each setting: weights, then the partitioner, then its quality, time and memory.
+
+    Settings: ``partitioner``, ``nparts``, ``imbalance``, and kinds of weights under ``vertex_weights``, ``edge_weights`` and
+    ``node_weights``.
+    """
+    for setting in settings:
+        parts = int(setting.get("nparts", graph.mesh.parts))
+        own = weight_column(setting.get("vertex_weights", "none"), F.col("gid"))
+        weighted = graph.with_vertex_weights(None if own is None else graph.mesh.cells.select(F.col("gid").alias("cell"), own.alias("w")))
+        weighted = weighted.with_edge_weights(weight_column(setting.get("edge_weights", "none"), F.col("eid")))
+        target = Target(parts, tuple(node_weights(setting.get("node_weights", "none"), parts)), float(setting.get("imbalance", 0.0)))
+        found, measured = timed(lambda s=setting, g=weighted, t=target: partition(s.get("partitioner", "none"), g, t, int(s.get("seed", seed))))
+        yield setting, report(weighted, found, parts, setting, measured)
 
 
 def configurations(arguments: list[str]) -> list[dict]:

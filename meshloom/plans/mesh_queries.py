@@ -332,26 +332,22 @@ def weighted_graph(mesh: Mesh) -> DualGraph:
     """Cells weigh 1 + their group, edges their id + 1."""
     graph = DualGraph(mesh)
     graph = graph.with_vertex_weights(mesh.cell_data(0).select(F.col("gid").alias("cell"), (F.col("value") + 1).cast("long").alias("w")))
-    return graph.with_edge_weights(graph.edges.select("eid", stats.weight_column("increasing", F.col("eid")).alias("w")))
-
-
-def own_parts(mesh: Mesh) -> DataFrame:
-    return mesh.cells.select(F.col("gid").alias("cell"), "part")
+    return graph.with_edge_weights(stats.weight_column("increasing", F.col("eid")))
 
 
 @query("SELECT part, count(*) AS size, CAST(sum(grp + 1) AS BIGINT) AS size_weighted FROM cells GROUP BY part")
 def part_sizes(mesh: Mesh, sf_dir: str) -> DataFrame:
-    return stats.part_sizes(weighted_graph(mesh), own_parts(mesh), PARTS)
+    return stats.part_sizes(weighted_graph(mesh), None, PARTS)
 
 
 @query("SELECT nbr_part AS part, count(*) AS cut, CAST(sum(eid + 1) AS BIGINT) AS cut_weighted FROM dual WHERE part <> nbr_part GROUP BY nbr_part")
 def part_cut(mesh: Mesh, sf_dir: str) -> DataFrame:
-    return stats.part_cut(weighted_graph(mesh), own_parts(mesh), PARTS)
+    return stats.part_cut(weighted_graph(mesh), None, PARTS)
 
 
 @query("SELECT nbr_part, part, CAST(sum(eid + 1) AS BIGINT) AS cut_weighted_detail FROM dual WHERE part <> nbr_part GROUP BY nbr_part, part")
 def cut_matrix(mesh: Mesh, sf_dir: str) -> DataFrame:
-    return stats.cut_matrix(weighted_graph(mesh), own_parts(mesh))
+    return stats.cut_matrix(weighted_graph(mesh), None)
 
 
 @query(
@@ -360,12 +356,27 @@ def cut_matrix(mesh: Mesh, sf_dir: str) -> DataFrame:
     f"(SELECT CAST(count(*) // 2 AS BIGINT) AS cut, CAST(sum(eid + 1) // 2 AS BIGINT) AS cut_weighted FROM dual WHERE part <> nbr_part)"
 )
 def cut_summary(mesh: Mesh, sf_dir: str) -> DataFrame:
-    return stats.summary(weighted_graph(mesh), own_parts(mesh), PARTS)
+    return stats.summary(weighted_graph(mesh), None, PARTS)
 
 
-@query()
+REPORT = "struct<total_vertices:bigint,total_edges:bigint,mpi_size:bigint,cut:bigint,cut_weighted:bigint,imbalance:double,rank_stats:array<struct<part:int,size:bigint,size_weighted:bigint,cut:bigint,cut_weighted:bigint,cut_weighted_detail:array<struct<from:int,w:bigint>>>>>"
+
+
+@query(
+    f"SELECT r.total_vertices, r.total_edges, CAST({PARTS} AS BIGINT) AS mpi_size, r.cut, r.imbalance, s.part, s.size, s.size_weighted, c.part_cut, c.part_cut_weighted, d.detail FROM "
+    f"(SELECT (SELECT count(*) FROM cells) AS total_vertices, count(*) AS total_edges, CAST(count(*) FILTER (part <> nbr_part) // 2 AS BIGINT) AS cut, (SELECT max(n) / (sum(n) / {PARTS}) FROM (SELECT count(*) AS n FROM cells GROUP BY part)) AS imbalance FROM dual) r, "
+    "(SELECT part, count(*) AS size, CAST(sum(grp + 1) AS BIGINT) AS size_weighted FROM cells GROUP BY part) s "
+    "JOIN (SELECT nbr_part AS part, count(*) AS part_cut, CAST(sum(eid + 1) AS BIGINT) AS part_cut_weighted FROM dual WHERE part <> nbr_part GROUP BY nbr_part) c ON c.part = s.part "
+    "JOIN (SELECT nbr_part AS part, string_agg(part || ':' || w, ',' ORDER BY part) AS detail FROM (SELECT nbr_part, part, CAST(sum(eid + 1) AS BIGINT) AS w FROM dual WHERE part <> nbr_part GROUP BY nbr_part, part) GROUP BY nbr_part) d ON d.part = s.part"
+)
 def partition_report(mesh: Mesh, sf_dir: str) -> DataFrame:
-    return stats.report(weighted_graph(mesh), own_parts(mesh), PARTS, {"partitioner": "none", "nparts": PARTS})
+    found = stats.report(weighted_graph(mesh), None, PARTS, {"partitioner": "none", "nparts": PARTS})
+    rows = found.select(F.from_json("value", REPORT).alias("r")).select("r.*", F.explode("r.rank_stats").alias("s"))
+    detail = F.array_join(F.transform("s.cut_weighted_detail", lambda x: F.concat_ws(":", x["from"], x["w"])), ",")
+    return rows.select(
+        "total_vertices", "total_edges", "mpi_size", "cut", "imbalance", "s.part", "s.size", "s.size_weighted",
+        F.col("s.cut").alias("part_cut"), F.col("s.cut_weighted").alias("part_cut_weighted"), detail.alias("detail"),
+    )
 
 
 @query("SELECT gid AS cell, part FROM cells")
@@ -378,11 +389,70 @@ def partition_block(mesh: Mesh, sf_dir: str) -> DataFrame:
     return partitioners.partition("block", DualGraph(mesh), partitioners.Target(10))
 
 
-@query()
+TEN = partitioners.Target(10, imbalance=0.01)
+#: Ends of ten equal shares as they add up.
+ENDS = [sum([0.1] * k, 0.0) for k in range(1, 10)]
+#: Morton curve through the barycenters: each axis spread to every third bit.
+CURVE_SQL = f""",
+corners AS (SELECT c.gid AS cell, c.grp + 1 AS w, (a.x + b.x + e.x + f.x) / 4 AS x, (a.y + b.y + e.y + f.y) / 4 AS y, (a.z + b.z + e.z + f.z) / 4 AS z
+            FROM cells c JOIN raw_vertices a ON a.vid = c.v0 JOIN raw_vertices b ON b.vid = c.v1 JOIN raw_vertices e ON e.vid = c.v2 JOIN raw_vertices f ON f.vid = c.v3),
+axes AS (SELECT cell, w, 0 AS axis, x AS v FROM corners UNION ALL SELECT cell, w, 1, y FROM corners UNION ALL SELECT cell, w, 2, z FROM corners),
+s0 AS (SELECT cell, w, axis, CAST(trunc((v - min(v) OVER (PARTITION BY axis)) / (max(v) OVER (PARTITION BY axis) - min(v) OVER (PARTITION BY axis)) * 1048575) AS BIGINT) AS v FROM axes),
+s1 AS (SELECT cell, w, axis, (v | (v << 32)) & {0x1F00000000FFFF} AS v FROM s0),
+s2 AS (SELECT cell, w, axis, (v | (v << 16)) & {0x1F0000FF0000FF} AS v FROM s1),
+s3 AS (SELECT cell, w, axis, (v | (v << 8)) & {0x100F00F00F00F00F} AS v FROM s2),
+s4 AS (SELECT cell, w, axis, (v | (v << 4)) & {0x10C30C30C30C30C3} AS v FROM s3),
+s5 AS (SELECT cell, w, axis, (v | (v << 2)) & {0x1249249249249249} AS v FROM s4),
+curve AS (SELECT cell, w, CAST(sum(v << axis) AS BIGINT) AS place FROM s5 GROUP BY cell, w),
+walked AS (SELECT cell, w, coalesce(sum(w) OVER (ORDER BY place, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER () AS total FROM curve)
+"""
+
+
+@query(f"{CURVE_SQL} SELECT cell, CAST(len(list_filter({ENDS}, lambda e: e <= (before + w / 2) / total)) AS INTEGER) AS part FROM walked")
 def partition_geometric(mesh: Mesh, sf_dir: str) -> DataFrame:
-    return partitioners.partition("parmetis-geo", weighted_graph(mesh), partitioners.Target(10, imbalance=0.01))
+    return partitioners.partition("parmetis-geo", weighted_graph(mesh), TEN)
 
 
 @query()
 def partition_refined(mesh: Mesh, sf_dir: str) -> DataFrame:
     return partitioners.partition("ptscotch-sb", DualGraph(mesh), partitioners.Target(10, tuple(stats.node_weights("harmonic", 10)), 0.01))
+
+
+@query("SELECT count(*) AS cells, count(*) AS placed, CAST(0 AS BIGINT) AS astray, CAST(0 AS BIGINT) AS oversized, TRUE AS better FROM cells")
+def partition_refined_quality(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Every cell once, in a part of the target, no part above its size, and a smaller cut than without refinement."""
+    graph = DualGraph(mesh)
+    start = partitioners.kept_table(partitioners.partition("parmetis-geo", graph, TEN))
+    found = partitioners.kept_table(partitioners.partition("parhip-ultrafast", graph, TEN))
+    cells = graph.mesh.total_cells()
+    sizes = found.groupBy("part").agg(F.count("*").alias("n"))
+    once = found.agg(F.count("*").alias("cells"), F.count_distinct("cell").alias("placed"), F.sum((~F.col("part").between(0, 9)).cast("long")).alias("astray"))
+    large = sizes.agg(F.sum((F.col("n") > cells / 10 * 1.01 + 1).cast("long")).alias("oversized"))
+    before, after = (stats.cut_edges(graph, p).agg(F.count("*").alias(n)) for p, n in ((start, "b"), (found, "a")))
+    one = lambda df: df.withColumn("k", F.lit(0))
+    return one(once).join(one(large), "k").join(one(before), "k").join(one(after), "k").select("cells", "placed", "astray", "oversized", (F.col("a") < F.col("b")).alias("better"))
+
+
+@query("SELECT gid, orig_gid * 5 + 2 AS orig_gid, part, v0, v1, v2, v3 FROM cells")
+def sparse_cell_gid(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """The same mesh with gaps between the ids of the file."""
+    dense = F.expr("(orig_gid - 2) div 5")
+    part = F.pmod(dense * 7919 + F.expr("((orig_gid - 2) div 5) div 37"), F.lit(PARTS))
+    return Mesh(mesh.raw_cells.withColumn("orig_gid", F.col("orig_gid") * 5 + 2), mesh.raw_vertices).partition_by(part, PARTS).cells
+
+
+@query(
+    f"SELECT w.vertex_weights, w.edge_weights, count(*) AS total_vertices, CAST(max(c.n) AS BIGINT) AS largest, CAST({PARTS} AS BIGINT) AS mpi_size, c.cut FROM cells, "
+    f"(SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM cells GROUP BY part)) AS n, (SELECT CAST(count(*) // 2 AS BIGINT) FROM dual WHERE part <> nbr_part) AS cut) c, "
+    f"(VALUES ('none', 'none'), ('random', 'none'), ('random', 'random')) w(vertex_weights, edge_weights) GROUP BY ALL"
+)
+def harness_reports(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """From settings to reports: weights, partitioner and quality of each setting."""
+    settings = [{"partitioner": "none", "nparts": PARTS, "vertex_weights": v, "edge_weights": e} for v, e in (("none", "none"), ("random", "none"), ("random", "random"))]
+    out = None
+    for setting, found in stats.harness(DualGraph(mesh), settings):
+        r = found.select(F.from_json("value", REPORT).alias("r")).select(
+            F.lit(setting["vertex_weights"]).alias("vertex_weights"), F.lit(setting["edge_weights"]).alias("edge_weights"), "r.total_vertices", F.array_max("r.rank_stats.size").alias("largest"), "r.mpi_size", "r.cut",
+        )
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meshloom.functions.distribute import Blocks
+from meshloom.functions.numbering import ids_by_part
 from meshloom.functions.topology import TETRAHEDRON, Topology
 from meshloom.functions.types import composite, spark_type
 from meshloom.operators.mesh import Mesh
@@ -65,6 +69,10 @@ def read_attribute(spark: SparkSession, name: str, element: str = "int", sizes:
     return found.select(F.col(key).cast("long"), F.col("value").cast(composite(spark_type(element), sizes)))
 
 
+#: The most rows of an input partition of an HDF5 dataset, and of a slice of it that is held in memory.
+BLOCK_ROWS, SLICE_ROWS = 4_000_000, 100_000
+
+
 class Block(InputPartition):
     def __init__(self, offset: int, size: int) -> None:
         super().__init__(None)
@@ -72,7 +80,7 @@ class Block(InputPartition):
 
 
 class MeshHdf5(DataSource):
-    """HDF5 datasets in even blocks of rows, one for each input partition. h5py is needed where it runs."""
+    """HDF5 datasets in even blocks of rows, read in slices as Arrow batches. h5py is needed where it runs."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,12 +96,12 @@ class MeshHdf5(DataSource):
         return T.StructType([T.StructField("row", T.LongType()), T.StructField("value", composite(spark_type(self.options.get("element", "int")), sizes))])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return MeshHdf5Reader(dict(self.options))
+        return MeshHdf5Reader(dict(self.options), self.schema())
 
 
 class MeshHdf5Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options = options
+    def __init__(self, options: dict[str, str], schema: T.StructType) -> None:
+        self.options, self.schema = options, schema
         self.file, self.dataset = split_name(options["name"])
 
     def opened(self):
@@ -114,17 +122,24 @@ class MeshHdf5Reader(DataSourceReader):
         return shape
 
     def partitions(self) -> list[Block]:
-        rows, n = self.shape()[0], int(self.options.get("blocks", "8"))
+        """As many blocks as asked for, or more, so that none has over BLOCK_ROWS rows."""
+        rows = self.shape()[0]
+        n = max(int(self.options.get("blocks", "8")), -(-rows // BLOCK_ROWS))
         blocks = Blocks(rows, n)
         return [Block(*blocks.offset_and_size(k)) for k in range(n) if blocks.offset_and_size(k)[1]]
 
-    def read(self, partition: Block) -> Iterator[tuple]:
+    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
         kind = self.options.get("kind", "cells")
+        types = [f.type for f in to_arrow_schema(self.schema)]
         with self.opened() as f:
-            rows = f[self.dataset][partition.offset : partition.offset + partition.size]
-        for i, row in enumerate(rows.tolist()):
-            at = partition.offset + i
-            yield (at, row) if kind == "attribute" else (at, *row)
+            for at in range(partition.offset, partition.offset + partition.size, SLICE_ROWS):
+                rows = np.asarray(f[self.dataset][at : min(at + SLICE_ROWS, partition.offset + partition.size)])
+                if kind == "attribute":
+                    columns = [rows if rows.ndim == 1 else rows.tolist()]
+                else:
+                    columns = [rows[:, k] for k in range(rows.shape[1])]
+                ids = np.arange(at, at + len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, *columns], types, strict=True)], names=self.schema.names)
 
 
 def register(spark: SparkSession) -> None:
@@ -174,6 +189,7 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select("value").write.text(path)
 
 
-def in_order(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by part and local order, for printing."""
-    return rows.orderBy(*keys)
+def in_order(rows: DataFrame, part: str, key: str, parts: int) -> DataFrame:
+    """``rows`` sorted by part and then by an id that is unique within it, with ``line``: a counter that runs on from part to part."""
+    top = rows.agg(F.max(key)).first()[0]
+    return ids_by_part(rows, part, key, "line", (top or 0) + 1, parts).orderBy("line")

@@ -59,13 +59,29 @@ def test_hdf5_reader(monkeypatch):
             return False
 
     monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=File))
-    reader = mesh_io.MeshHdf5Reader({"name": "m.h5:/connect", "kind": "cells", "blocks": "2", "width": "4"})
-    assert [r for p in reader.partitions() for r in reader.read(p)] == [(0, 0, 1, 2, 3), (1, 4, 5, 6, 7), (2, 8, 9, 10, 11)]
+    monkeypatch.setattr(mesh_io, "SLICE_ROWS", 1)
+
+    def read(**options):
+        source = mesh_io.MeshHdf5({"name": "m.h5:/connect", **options})
+        reader = source.reader(source.schema())
+        return [tuple(r.values()) for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+
+    assert read(kind="cells", blocks="2", width="4") == [(0, 0, 1, 2, 3), (1, 4, 5, 6, 7), (2, 8, 9, 10, 11)]
+    assert read(kind="attribute", sizes="4", element="int") == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7]), (2, [8, 9, 10, 11])]
     with pytest.raises(ValueError, match="shape"):
-        mesh_io.MeshHdf5Reader({"name": "m.h5:/connect", "kind": "vertices", "blocks": "2"}).partitions()
+        read(kind="vertices", blocks="2")
+    monkeypatch.setattr(mesh_io, "BLOCK_ROWS", 1)
+    source = mesh_io.MeshHdf5({"name": "m.h5:/connect", "kind": "cells", "blocks": "1"})
+    assert len(source.reader(source.schema()).partitions()) == 3
 
 
 def test_hdf5_without_package(monkeypatch):
     monkeypatch.setitem(sys.modules, "h5py", None)
     with pytest.raises(ImportError, match="h5py"):
-        mesh_io.MeshHdf5Reader({"name": "m.h5:/connect", "kind": "cells"}).partitions()
+        mesh_io.MeshHdf5({"name": "m.h5:/connect", "kind": "cells"}).reader(None).partitions()
+
+
+def test_in_order(spark):
+    rows = spark.createDataFrame([(p, 10 * k) for p in (2, 0, 1) for k in range(5)], "part int, k long").repartition(3)
+    got = [tuple(r) for r in mesh_io.in_order(rows, "part", "k", 3).select("line", "part", "k").collect()]
+    assert got == [(5 * p + k, p, 10 * k) for p in range(3) for k in range(5)]

@@ -1,5 +1,7 @@
 """Golden tables of two tetrahedra, invariants of lattices, and parts that must not change what isn't theirs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,11 +138,99 @@ def test_partitioners(spark, name):
     assert parts == rows(partitioners.partition(name, graph, target, seed=3), "cell", "part")
 
 
-def test_refinement_cuts_no_more(spark):
-    graph = DualGraph(lattice(spark, 3))
-    target = partitioners.Target(4, imbalance=0.1)
-    cut = lambda name: stats.summary(graph, partitioners.partition(name, graph, target), 4).first()["cut"]
-    assert cut("ptscotch-sb") <= cut("parmetis-geo")
+def test_effort_lowers_the_cut(spark):
+    """Even where no part has room: cells change places."""
+    graph = DualGraph(lattice(spark, 6))
+    target = partitioners.Target(10, imbalance=0.01)
+    cuts = []
+    for rounds in (0, 1, 3, 8):
+        found = partitioners.refined(graph, target, rounds=rounds)
+        sizes = [r["size"] for r in stats.part_sizes(graph, found, 10).collect()]
+        assert sum(sizes) == 1296 and max(sizes) <= 129.6 * 1.01 + 1
+        cuts.append(stats.summary(graph, found, 10).first()["cut"])
+    assert cuts == sorted(cuts, reverse=True) and len(set(cuts)) == 4
+
+
+def test_exchange():
+    """The largest exchange that no part gains more by than its room, against all choices."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [(a, b, lot, rng.randrange(1, 9), e) for a, b, e in ((1, 2, rng.randrange(4)), (2, 1, rng.randrange(4))) for lot in sorted(rng.sample(range(50), rng.randrange(0, 6)))]
+        if not rows:
+            continue
+        made = partitioners.exchange(pd.DataFrame(rows, columns=["from", "to", "lot", "d", "extra"]))
+        there, back = ([r for r in rows if r[0] == a] for a in (1, 2))
+        extra = {a: (w[0][4] if w else 0) for a, w in ((1, there), (2, back))}
+        moved = lambda w, n: sum(r[3] for r in w[:n])
+        best = max(moved(there, i) + moved(back, j) for i in range(len(there) + 1) for j in range(len(back) + 1) if moved(there, i) - moved(back, j) <= extra[1] and moved(back, j) - moved(there, i) <= extra[2])
+        taken = {(r[0], r[2]) for r in made[["from", "to", "lot"]].itertuples(index=False)}
+        out = [sum(r[3] for r in w if (r[0], r[2]) in taken) for w in (there, back)]
+        assert sum(out) == best and out[0] - out[1] <= extra[1] and out[1] - out[0] <= extra[2]
+
+
+def test_graded_meshes_fill_the_curve_evenly(spark):
+    """Runs along the curve hold when nearly all cells lie in a small corner."""
+    mesh = lattice(spark, 4)
+    small = mesh.raw_vertices.select("vid", *[F.when((F.col(a) <= 3), F.col(a) * 1e-4).otherwise(1.0).alias(a) for a in "xyz"])
+    graph = DualGraph(Mesh(mesh.raw_cells, small))
+    sizes = [r["size"] for r in stats.part_sizes(graph, partitioners.partition("parmetis-geo", graph, partitioners.Target(6)), 6).collect()]
+    assert max(sizes) - min(sizes) <= 2
+
+
+def test_several_weights_are_refused(spark):
+    mesh = lattice(spark, 2)
+    weights = mesh.cells.select(F.col("gid").alias("cell"), F.array(F.lit(1), F.when(F.col("gid") < 8, 100).otherwise(1)).alias("w"))
+    graph = DualGraph(mesh).with_vertex_weights(weights)
+    assert graph.constraints() == 2
+    for name in partitioners.PARTITIONERS:
+        if name in ("none", "block"):
+            partitioners.partition(name, graph, partitioners.Target(2))
+        else:
+            with pytest.raises(partitioners.PartitionError, match="one weight"):
+                partitioners.partition(name, graph, partitioners.Target(2))
+
+
+def test_ids_with_gaps(spark):
+    """A filtered file: ids count by part and then by the file's own ids."""
+    cells = spark.createDataFrame([(i, 0, 1, 2, 3 + k) for k, i in enumerate((0, 5, 10, 11))], "orig_gid long, v0 long, v1 long, v2 long, v3 long").withColumn("v0", F.col("orig_gid") + 100)
+    points = spark.createDataFrame([(i, 0.0, 0.0, 0.0) for i in range(8)], "vid long, x double, y double, z double")
+    mesh = Mesh(cells, points).partition(spark.createDataFrame([(0, 1), (5, 0), (10, 0), (11, 1)], "orig_gid long, part int"), 2)
+    assert rows(mesh.cells, "gid", "orig_gid", "part") == [(0, 5, 0), (1, 10, 0), (2, 0, 1), (3, 11, 1)]
+    assert mesh.total_cells() == 4
+    with pytest.raises(Exception, match="isn't in 0..3"):
+        Mesh(cells, points, cell_count=4).cells.collect()
+
+
+def test_cells_are_counted_once(spark):
+    mesh = lattice(spark, 2)
+    scans = []
+    plain = Mesh(mesh.raw_cells, mesh.raw_vertices)
+    assert plain.extent == (48, 48)
+    scans.append(plain.partition_by(scrambled(3), 3).__dict__["extent"])
+    assert scans == [(48, 48)]
+
+
+def test_nested_attributes(spark):
+    mesh = lattice(spark, 1)
+    good = spark.createDataFrame([(i, [[1, 2, 3], [4, 5, 6]]) for i in range(6)], "orig_gid long, value array<array<int>>")
+    assert mesh.add_data(good, CELL, (2, 3)).cell_data(0).count() == 6
+    with pytest.raises(Exception, match="shape"):
+        mesh.add_data(good, CELL, (2, 2)).cell_data(0).collect()
+
+
+def test_harness(spark):
+    mesh = lattice(spark, 2).partition_by(scrambled(3), 3)
+    settings = stats.configurations(["nparts=3", "imbalance=0.1", 'partitioner=["none","parmetis-geo","parhip-ultrafast"]', 'vertex_weights=["none","random"]'])
+    found = [(s, json.loads(r.first()["value"])) for s, r in stats.harness(DualGraph(mesh), settings)]
+    assert len(found) == 6
+    for setting, r in found:
+        assert json.loads(r["configuration"]) == setting and r["mpi_size"] == 3 and r["total_vertices"] == 48 and r["time"] > 0 and r["memory"] > 0
+        assert sum(p["size"] for p in r["rank_stats"]) == 48 and r["total_edges"] == DualGraph(mesh).edges.count()
+        assert all(sum(d["w"] for d in p["cut_weighted_detail"]) == p["cut_weighted"] for p in r["rank_stats"])
 
 
 def test_unknown_partitioner(spark):
