@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,36 @@ from pyspark.sql import functions as F
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch between Spark and Python; Spark's own limit is four times that, and a task holds several copies.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in a batch to BATCH_BYTES, for good, unless it has been lowered already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on and run other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def views(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without nulls, not copied."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark only: the path may be in a store that nothing else opens."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

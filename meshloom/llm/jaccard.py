@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from meshloom.llm.common import tables_in_between, written
+from meshloom.llm.common import tables_in_between, tidy, views, written
 from meshloom.llm.units import blocks
 
 #: Words in a token.
@@ -157,10 +157,11 @@ def packed(tokens: np.ndarray) -> bytes:
     return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def long(raw: bytes) -> np.ndarray:
+def long(raw: bytes | memoryview | pa.Buffer) -> np.ndarray:
     """The 48-bit tokens of ``short`` as integers."""
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    octets = np.frombuffer(raw, np.uint8)
+    wide = np.zeros((len(octets) // 6, 8), np.uint8)
+    wide[:, 2:] = octets.reshape(-1, 6)
     return wide.view(">u8").reshape(-1).astype(np.int64)
 
 
@@ -213,6 +214,8 @@ def frequent_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
                 held, size = {}, 0
         if held:
             yield strings()
+        held.clear()
+        tidy()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, tokens, counts = [], [], []
@@ -261,6 +264,7 @@ def shingled(docs: DataFrame, key: str, text: str, hot: np.ndarray) -> DataFrame
                 sigs.append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63))
                 firsts.append(packed(in_order((tokens >> np.uint64(16)).astype(np.int64), hot)) if len(tokens) else b"")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(firsts, pa.binary())], names=["doc_id", "n", "sig", "first"])
+        tidy()
 
     return texts_of(docs, key, text).mapInArrow(work, "doc_id long, n long, sig long, first binary")
 
@@ -323,6 +327,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, column: str, key: str, text: str) -
             for part in blocks([batch.filter(pa.array(passes))]):
                 tokens = token_sets(part.column("utf8").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, tokens)), pa.int64()), pa.array(list(map(short, tokens)), pa.binary())], names=["id", "n", "tokens"])
+        tidy()
 
     return rows.select("*", *probes).mapInArrow(work, "id long, n long, tokens binary").where("n > 0")
 
@@ -341,10 +346,11 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for ra, rb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+            for ra, rb in zip(views(batch.column("ta")), views(batch.column("tb")), strict=True):
                 both = overlap(long(ra), long(rb))
                 keep.append(100 * both >= 75 * ((len(ra) + len(rb)) // 6 - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     left, right = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
@@ -434,7 +440,7 @@ def group_links(met: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
     def union(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.zeros(0, np.int64)
         for batch in groups:
-            tokens = np.unique(np.concatenate([tokens, *(long(raw) for raw in batch.column("tokens").to_pylist())]))
+            tokens = np.unique(np.concatenate([tokens, *(long(raw) for raw in views(batch.column("tokens")))]))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([packed(tokens)], pa.binary())], names=["gcomp", "block", "tu"])
 
     unions = own.join(of_rep, "rep").select("gcomp", "block", "tokens").groupBy("gcomp", "block").applyInArrow(union, "gcomp long, block long, tu binary")
@@ -442,10 +448,11 @@ def group_links(met: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for raw, whole, low in zip(batch.column("tokens").to_pylist(), batch.column("tu").to_pylist(), batch.column("low").to_pylist(), strict=True):
+            for raw, whole, low in zip(views(batch.column("tokens")), views(batch.column("tu")), batch.column("low").to_pylist(), strict=True):
                 n = len(raw) // 6
                 keep.append(overlap(long(raw), long(whole)) >= max(needed(n), -(-3 * (n + low) // 7)))
             yield batch.select(["rep", "n", "gcomp", "block"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     queries = met.join(of_rep, "rep").join(unions, ["gcomp", "block"]).select("rep", "n", "gcomp", "block", "low", "tokens", "tu")
     opened = queries.mapInArrow(bound, "rep long, n long, gcomp long, block long").join(own.select("gcomp", "block", F.col("rep").alias("b"), F.col("n").alias("m")), ["gcomp", "block"])
@@ -539,7 +546,7 @@ def block_links(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFr
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b = ((*(np.array(batch.column(f"{c}_{k}")[row].as_py(), np.int64) for c in ("reps", "comps", "sizes")), long(batch.column(f"tokens_{k}")[row].as_py())) for k in "ab")
+                a, b = ((*(np.array(batch.column(f"{c}_{k}")[row].as_py(), np.int64) for c in ("reps", "comps", "sizes")), long(batch.column(f"tokens_{k}")[row].as_buffer())) for k in "ab")
                 found = compared(a, b)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])

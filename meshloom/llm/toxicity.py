@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import binary_table
+from meshloom.llm.common import binary_table, tidy
 from meshloom.llm.units import Seen, blocks, segments
 
 #: The most labelled rows that a model is fitted on, and the longest text among them.
@@ -412,5 +412,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place).cast(pa.binary()).fill_null(b"")], names=["i", "utf8"])
             scores = np.concatenate([scorer.score(part.column("utf8").to_pylist()) for part in blocks([whole])])
             yield batch.filter(pa.array(scores < threshold))
+        scorer.reset()
+        tidy()
 
     return docs.mapInArrow(work, docs.schema)

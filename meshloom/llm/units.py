@@ -265,7 +265,7 @@ class WordUnits(Units):
     their case.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, pieces_limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000, pieces_limit: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -326,9 +326,10 @@ _KEPT: dict = {}
 
 
 def kept(make: Callable[[str], Units], path: str) -> Units:
-    """The worker's own encoder for a file, made once for each process."""
+    """The worker's own encoder for a file, made once for each process; another one takes its place, so that a worker holds one."""
     key = (make, path)
     if key not in _KEPT:
+        _KEPT.clear()
         _KEPT[key] = make(path)
     return _KEPT[key]
 
