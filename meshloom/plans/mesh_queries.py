@@ -397,7 +397,7 @@ CURVE_SQL = f""",
 corners AS (SELECT c.gid AS cell, c.grp + 1 AS w, (a.x + b.x + e.x + f.x) / 4 AS x, (a.y + b.y + e.y + f.y) / 4 AS y, (a.z + b.z + e.z + f.z) / 4 AS z
             FROM cells c JOIN raw_vertices a ON a.vid = c.v0 JOIN raw_vertices b ON b.vid = c.v1 JOIN raw_vertices e ON e.vid = c.v2 JOIN raw_vertices f ON f.vid = c.v3),
 axes AS (SELECT cell, w, 0 AS axis, x AS v FROM corners UNION ALL SELECT cell, w, 1, y FROM corners UNION ALL SELECT cell, w, 2, z FROM corners),
-s0 AS (SELECT cell, w, axis, CAST(trunc((v - min(v) OVER (PARTITION BY axis)) / (max(v) OVER (PARTITION BY axis) - min(v) OVER (PARTITION BY axis)) * 1048575) AS BIGINT) AS v FROM axes),
+s0 AS (SELECT cell, w, axis, CAST(trunc((v - min(v) OVER (PARTITION BY axis)) / (max(v) OVER (PARTITION BY axis) - min(v) OVER (PARTITION BY axis)) * 1048575) AS HUGEINT) AS v FROM axes),
 s1 AS (SELECT cell, w, axis, (v | (v << 32)) & {0x1F00000000FFFF} AS v FROM s0),
 s2 AS (SELECT cell, w, axis, (v | (v << 16)) & {0x1F0000FF0000FF} AS v FROM s1),
 s3 AS (SELECT cell, w, axis, (v | (v << 8)) & {0x100F00F00F00F00F} AS v FROM s2),
