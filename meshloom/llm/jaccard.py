@@ -368,7 +368,7 @@ def components(edges: DataFrame) -> DataFrame:
         return table, seen.get
 
     edges, before = step(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    while True:
+    while before["n"]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -376,8 +376,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after, state = step(small)
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+            break
         edges, before = after, state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def size_fits(n: Column, least: Column, most: Column) -> Column:
@@ -562,6 +563,8 @@ def node_components(docs: DataFrame, table: DataFrame, reps: DataFrame, repeats:
     """(node, comp) of the nodes that link with others, or are tied to them by ``repeats`` (a, b)."""
     of = lambda ids: written(sets_of(docs, ids, "rep", key, text), "sets")
     shared = written(shared_tokens(table, reps, hot), "shared")
+    if shared.isEmpty():
+        return components(repeats)
     pairs = written(star_pairs(shared), "pairs")
     stars = linked(pairs, of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     comps = components(stars.unionByName(repeats))
@@ -571,10 +574,16 @@ def node_components(docs: DataFrame, table: DataFrame, reps: DataFrame, repeats:
     degrees = written(cells.groupBy("tok").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "k"), "degrees")
     met = written(candidates(placed, nodes, degrees), "candidates")
     own = nodes.withColumnRenamed("comp", "gcomp").join(met.select("gcomp", "block").distinct(), ["gcomp", "block"]).select("rep", "n", "gcomp", "block")
-    members, block_pairs = in_blocks(placed, degrees)
-    meeting = members.join(block_pairs.select(F.explode(F.array("ga", "gb")).alias("gid")).distinct(), "gid", "left_semi")
-    sets = of(met.select("rep").unionByName(own.select("rep")).unionByName(meeting.select("rep")).distinct())
-    found = written(group_links(met, own, sets).unionByName(block_links(block_pairs, members, sets)), "links")
+    ids = met.select("rep").unionByName(own.select("rep"))
+    members = None
+    if not degrees.where(F.col("k") > HOT).isEmpty():
+        members, block_pairs = in_blocks(placed, degrees)
+        ids = ids.unionByName(members.join(block_pairs.select(F.explode(F.array("ga", "gb")).alias("gid")).distinct(), "gid", "left_semi").select("rep"))
+    elif met.isEmpty():
+        return comps
+    sets = of(ids.distinct())
+    found = group_links(met, own, sets)
+    found = written(found if members is None else found.unionByName(block_links(block_pairs, members, sets)), "links")
     if found.isEmpty():
         return comps
     # what was found lies between components: they are joined as wholes

@@ -1,10 +1,12 @@
 """Token counts of texts without their ids.
 
-Each task counts the pieces of every distinct pre-token it meets once, joins the counts to
-the pre-token frequencies of its documents, and sums. The vocabulary of a task is bounded by
-its own table (see ``units``), which is emptied when full, so the join never leaves the task
-and nothing is shuffled. A null text is empty and has 0 tokens; a null key stays null;
-repeated rows are counted row by row; other columns are ignored.
+Each worker counts the pieces of every distinct pre-token once and keeps the count in its own
+bounded table (see ``units``), joins the counts to the pre-token frequencies of its documents,
+and sums. When the table is full, pre-tokens met only once are forgotten and counted again
+should they come back. So the join never leaves the task and nothing is shuffled: a table of
+all pre-tokens of all documents would move more bytes than the texts have. A null text is
+empty and has 0 tokens; a null key stays null; repeated rows are counted row by row; an empty
+table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import binary_table, file_system, input_parts, literals, put_file, written
+from meshloom.llm.common import binary_table, file_system, input_parts, literals, put_file, tables_in_between, written
 from meshloom.llm.units import WordUnits, blocks, kept
 
 #: Ids after which a file is closed, and ids that are coded or decoded at once.
@@ -200,13 +200,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int, par
         if part is not None:
             yield close()
 
-    counts = written(dealt.mapInArrow(draft, "part int, number int, id long, n long"), "token-counts")
-    by_id = {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    with tables_in_between(spark):
+        counts = written(dealt.mapInArrow(draft, "part int, number int, id long, n long"), "token-counts")
+        by_id = {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        totals = sorted(counts.groupBy("part", "number").agg(F.sum("n").alias("n")).collect())  # a row for each file
     whole = np.zeros(max(by_id, default=-1) + 1, np.int64)
     whole[list(by_id)] = list(by_id.values())
     by_rank = ranked(whole)
     put_file(f"{folder}/ranks", iter([by_rank.astype("<u4").tobytes()]))
-    totals = sorted(counts.groupBy("part", "number").agg(F.sum("n").alias("n")).collect())  # a row for each file
     plan, first = [], 0
     for k, (part, number, n) in enumerate(totals):
         plan.append((k, part, number, first))

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus."""
 
+import pytest
+
 import corpus_pipeline
 from meshloom.llm import jaccard, quality, queries, toxicity
 
@@ -32,3 +34,39 @@ def test_stages(spark, tmp_path):
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "n-gram Jaccard join", "best-fit packing"]
+
+
+WORDS = [f"plain{i} simple{i} words{i} of{i} usual{i} length{i}" for i in range(40)]
+GOOD, OTHER = " ".join(WORDS[:12]), " ".join(WORDS[12:30])
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k int, y string, n int, part int, comp long, rep long, sig long, failed_bits int, utf8 string, task int, length int"
+
+
+def odd(spark, rows):
+    """Documents with nulls in every column and names that the stages use inside."""
+    full = [(i, t, None, None, None, 1, None, 3, None, 5, None, 7, None, "u", None, 9) for i, t in rows]
+    return spark.createDataFrame(full, SCHEMA).repartition(3)
+
+
+@pytest.mark.parametrize("rows", [
+    [(5, GOOD), (3, GOOD), (3, GOOD), (None, GOOD), (None, OTHER), (7, None), (8, ""), (9, OTHER + " end"), (10, "few words"), (11, "again " * 400), (12, " ".join(f"long{i}" for i in range(30_000)))],
+    [(None, None), (None, "")], [],
+])
+def test_stages_on_odd_rows(spark, tmp_path, monkeypatch, rows):
+    labels = spark.createDataFrame([(None, 1, 1), (3, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: {"labels": labels}[name])
+    docs = now = odd(spark, rows)
+    seen = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, "nowhere").write.parquet(str(tmp_path / str(k)))
+        now = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 3:
+            assert now.schema.simpleString() == docs.schema.simpleString()
+        seen.append(sorted(((r["doc_id"] is not None, r["doc_id"] or 0) for r in now.select("doc_id").collect())))
+    if len(rows) > 2:
+        left = [(False, 0), (False, 0), (True, 3), (True, 3), (True, 5), (True, 9), (True, 12)]
+        assert seen[0] == seen[1] == left
+        # the keyless copy goes with its group, and so does 5; 3 is one document in two rows; the keyless text near 9 stays
+        assert seen[2] == [(False, 0), (True, 3), (True, 3), (True, 9), (True, 12)]
+        assert set(seen[3]) == set(seen[2])
+    else:
+        assert seen == [[]] * 4
