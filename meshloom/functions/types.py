@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names of element types and what holds them.
 #: Unsigned types take the next wider signed one; 64-bit unsigned ids stay long and are checked on reading.
 SPARK_TYPES: dict[str, T.DataType] = {
     "char": T.ByteType(), "signed char": T.ByteType(), "int8": T.ByteType(),

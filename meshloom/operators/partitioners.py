@@ -116,8 +116,11 @@ def geometric(graph: DualGraph, target: Target, seed: int = 1) -> DataFrame:
     return by_weight(summed, total, target)
 
 
-def kept_table(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder, which cuts the lineage of a loop; only a local session may lack that folder."""
+def kept_table(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, which cuts the lineage of a loop; only a local session may lack that folder.
+
+    ``made`` gets the table's path.
+    """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -128,9 +131,17 @@ def kept_table(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/partition-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table by Spark's own access to files."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 #: Lots into which the cells that would go from one part to another are dealt, by gain and then by a hash.
 GAINS, LOTS = 32, 64
 
@@ -153,9 +164,11 @@ def exchange(rows: pd.DataFrame) -> pd.DataFrame:
 
 def refined(graph: DualGraph, target: Target, seed: int = 1, rounds: int = 4, start: Callable = geometric) -> DataFrame:
     """Exchanges from ``start``; a part never exceeds (1 + imbalance) times its share, or what it starts with."""
-    current = kept_table(start(graph, target, seed))
-    edges = kept_table(graph.weighted_edges().select("src", "dst", "w"))
-    weights = kept_table(graph.weighted_vertices().select("cell", F.col("w").alias("vw")))
+    made: list[str] = []
+    current = kept_table(start(graph, target, seed), made)
+    last = made[-1]
+    edges = kept_table(graph.weighted_edges().select("src", "dst", "w"), made)
+    weights = kept_table(graph.weighted_vertices().select("cell", F.col("w").alias("vw")), made)
     spark = current.sparkSession
     total = weights.agg(F.sum("vw")).first()[0] or 0
     caps = [total * s * (1 + target.imbalance) for s in target.shares]
@@ -169,13 +182,13 @@ def refined(graph: DualGraph, target: Target, seed: int = 1, rounds: int = 4, st
             F.max(F.when(F.col("nbr_part") != F.col("part"), F.struct("pull", F.xxhash64("cell", "nbr_part", F.lit(seed + k)).alias("h"), "nbr_part"))).alias("best"),
         )
         gain = (F.col("best.pull") - F.col("stay")).alias("gain")
-        asks = kept_table(own.where("best.pull > stay").select("cell", F.col("part").alias("from"), F.col("best.nbr_part").alias("to"), gain, F.xxhash64("cell", F.lit(seed * 1000 + k)).alias("h")))
+        asks = kept_table(own.where("best.pull > stay").select("cell", F.col("part").alias("from"), F.col("best.nbr_part").alias("to"), gain, F.xxhash64("cell", F.lit(seed * 1000 + k)).alias("h")), made)
         # of neighbours that ask, the one with the larger gain goes
         rank = lambda c: asks.select(F.col("cell").alias(c), F.struct("gain", "h", "cell").alias(f"{c}_rank"))
         behind = edges.join(rank("src"), "src").join(rank("dst"), "dst").where("src_rank < dst_rank").select(F.col("src").alias("cell")).distinct()
         free = asks.join(behind, "cell", "left_anti").join(weights, "cell")
         step = F.least(F.floor(F.log2(F.col("gain").cast("double")) * 2).cast("int"), F.lit(GAINS - 1))
-        drawn = kept_table(free.withColumn("lot", (F.lit(GAINS - 1) - step) * LOTS + F.pmod(F.col("h"), F.lit(LOTS))).select("cell", "from", "to", "lot", "vw"))
+        drawn = kept_table(free.withColumn("lot", (F.lit(GAINS - 1) - step) * LOTS + F.pmod(F.col("h"), F.lit(LOTS))).select("cell", "from", "to", "lot", "vw"), made)
         if drawn.isEmpty():
             break
         demand = drawn.groupBy("from", "to", "lot").agg(F.sum("vw").alias("d"))
@@ -183,7 +196,11 @@ def refined(graph: DualGraph, target: Target, seed: int = 1, rounds: int = 4, st
         pairs = demand.join(extra, "to").groupBy(F.least("from", "to"), F.greatest("from", "to"))
         open_lots = pairs.applyInPandas(exchange, "from int, to int, lot long")
         moves = drawn.join(open_lots, ["from", "to", "lot"]).select("cell", "to")
-        current = kept_table(current.join(moves, "cell", "left").select("cell", F.coalesce("to", "part").cast("int").alias("part")))
+        current = kept_table(current.join(moves, "cell", "left").select("cell", F.coalesce("to", "part").cast("int").alias("part")), made)
+        last = made[-1]
+    for path in made:
+        if path != last:
+            delete(spark, path)
     return current
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.functions.distribute import Blocks
+from meshloom.functions.topology import TETRAHEDRON
 from meshloom.operators import partitioners, stats
 from meshloom.operators.graph import DualGraph
 from meshloom.operators.mesh import Mesh, merged
@@ -22,6 +23,12 @@ PARTS = 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+
+def slots_of(own: tuple[tuple[int, ...], ...]) -> str:
+    """Rows (slot, vertex slots) for VALUES."""
+    return ", ".join(str((k, *slots)) for k, slots in enumerate(own))
+
+
 #: The mesh in SQL, from the rows of ``part``.
 MESH_SQL = f"""
 WITH side AS (SELECT CAST(max(i) AS BIGINT) AS n FROM range(1, 2000) t(i) WHERE i * i * i <= (SELECT count(*) FROM part)),
@@ -35,8 +42,8 @@ raw_vertices AS (SELECT i AS vid, CAST(i % (n + 1) AS DOUBLE) AS x, CAST((i // (
                  FROM (SELECT n, unnest(range(0, (n + 1) * (n + 1) * (n + 1))) AS i FROM side)),
 placed AS (SELECT *, CAST((orig_gid * 7919 + orig_gid // 37) % {PARTS} AS INTEGER) AS part FROM raw_cells),
 cells AS (SELECT row_number() OVER (ORDER BY part, orig_gid) - 1 AS gid, * FROM placed),
-face_def(slot, i, j, k) AS (VALUES (0, 1, 0, 2), (1, 0, 1, 3), (2, 1, 2, 3), (3, 2, 0, 3)),
-edge_def(slot, i, j) AS (VALUES (0, 0, 1), (1, 1, 2), (2, 2, 0), (3, 0, 3), (4, 1, 3), (5, 2, 3)),
+face_def(slot, i, j, k) AS (VALUES {slots_of(TETRAHEDRON.faces)}),
+edge_def(slot, i, j) AS (VALUES {slots_of(TETRAHEDRON.edges)}),
 corner AS (SELECT gid, part, 0 AS i, v0 AS v FROM cells UNION ALL SELECT gid, part, 1, v1 FROM cells UNION ALL SELECT gid, part, 2, v2 FROM cells UNION ALL SELECT gid, part, 3, v3 FROM cells),
 face_slots AS (SELECT a.gid AS cell, a.part, f.slot, a.v AS a, b.v AS b, c.v AS c, least(a.v, b.v, c.v) AS k0, a.v + b.v + c.v - least(a.v, b.v, c.v) - greatest(a.v, b.v, c.v) AS k1, greatest(a.v, b.v, c.v) AS k2
                FROM face_def f JOIN corner a ON a.i = f.i JOIN corner b ON b.i = f.j AND b.gid = a.gid JOIN corner c ON c.i = f.k AND c.gid = a.gid),

@@ -143,12 +143,12 @@ def test_effort_lowers_the_cut(spark):
     graph = DualGraph(lattice(spark, 6))
     target = partitioners.Target(10, imbalance=0.01)
     cuts = []
-    for rounds in (0, 1, 3, 8):
+    for rounds in (0, 1, 4):
         found = partitioners.refined(graph, target, rounds=rounds)
         sizes = [r["size"] for r in stats.part_sizes(graph, found, 10).collect()]
         assert sum(sizes) == 1296 and max(sizes) <= 129.6 * 1.01 + 1
         cuts.append(stats.summary(graph, found, 10).first()["cut"])
-    assert cuts == sorted(cuts, reverse=True) and len(set(cuts)) == 4
+    assert cuts == sorted(cuts, reverse=True) and len(set(cuts)) == 3
 
 
 def test_exchange():
@@ -224,9 +224,9 @@ def test_nested_attributes(spark):
 
 def test_harness(spark):
     mesh = lattice(spark, 2).partition_by(scrambled(3), 3)
-    settings = stats.configurations(["nparts=3", "imbalance=0.1", 'partitioner=["none","parmetis-geo","parhip-ultrafast"]', 'vertex_weights=["none","random"]'])
+    settings = stats.configurations(["nparts=3", "imbalance=0.1", 'partitioner=["none","parmetis-geo"]', 'vertex_weights=["none","random"]'])
     found = [(s, json.loads(r.first()["value"])) for s, r in stats.harness(DualGraph(mesh), settings)]
-    assert len(found) == 6
+    assert len(found) == 4
     for setting, r in found:
         assert json.loads(r["configuration"]) == setting and r["mpi_size"] == 3 and r["total_vertices"] == 48 and r["time"] > 0 and r["memory"] > 0
         assert sum(p["size"] for p in r["rank_stats"]) == 48 and r["total_edges"] == DualGraph(mesh).edges.count()
