@@ -28,8 +28,8 @@ BATCH_BYTES = 16 << 20
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's limit of bytes in a batch to BATCH_BYTES, for good, unless it is lower or set in other units already."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
-    if now and not 0 < int(now[1]) <= BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if now and int(now[1]) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
