@@ -1,6 +1,7 @@
 """Ids and counts against the tokenizers library on whole texts."""
 
 import random
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -25,17 +26,23 @@ ODD = [
 ]
 
 
+@cache
+def made(cls, path):
+    """An encoder for all cases; a worker would hold one kind at a time."""
+    return cls(path)
+
+
 def check(texts):
     raw = [t.encode() for t in texts]
     for cls, path, library in ((ByteUnits, BYTE, BYTE_LIBRARY), (WordUnits, WORD, WORD_LIBRARY)):
-        ids, sizes = kept(cls, path).encode(raw)
+        ids, sizes = made(cls, path).encode(raw)
         ends = np.cumsum(sizes)
         for t, n, b in zip(texts, sizes, ends, strict=True):
             want = library.encode(t, add_special_tokens=False).ids
             assert ids[b - n : b].tolist() == want, (cls, t)
             if cls is ByteUnits:
-                assert kept(cls, path).table.decode(ids[b - n : b]).decode(errors="replace") == library.decode(want, skip_special_tokens=False)
-    assert kept(PieceCounts, BYTE).count(raw).tolist() == [len(BYTE_LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts]
+                assert made(cls, path).table.decode(ids[b - n : b]).decode(errors="replace") == library.decode(want, skip_special_tokens=False)
+    assert made(PieceCounts, BYTE).count(raw).tolist() == [len(BYTE_LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_odd_texts():
@@ -91,3 +98,10 @@ def test_merge_block_is_plain_merging():
 def test_blocks_hold_all_rows(size):
     batch = pa.RecordBatch.from_arrays([pa.array([b"abc", b"", b"abcdefgh", b"x"], pa.binary())], names=["utf8"])
     assert [x for b in units.blocks([batch, batch.slice(0, 0)], size) for x in b.column("utf8").to_pylist()] == [b"abc", b"", b"abcdefgh", b"x"]
+
+
+def test_a_worker_holds_one_encoder():
+    first = kept(ByteUnits, BYTE)
+    assert kept(ByteUnits, BYTE) is first and len(units._KEPT) == 1
+    kept(WordUnits, WORD)
+    assert len(units._KEPT) == 1 and kept(ByteUnits, BYTE) is not first
