@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm.bpe import round_trip_digests
+from meshloom.llm.collocations import collocations
 from meshloom.llm.common import fresh_dir, table
 from meshloom.llm.html_text import visible_texts
 from meshloom.llm.jaccard import jaccard_components
 from meshloom.llm.minhash import edited_fingerprints
+from meshloom.llm.negatives import hard_negatives
 from meshloom.llm.packing import packed
 from meshloom.llm.quality import quality_verdicts
+from meshloom.llm.sharding import sharded
 from meshloom.llm.token_counts import token_counts
 from meshloom.llm.token_file import token_index, write_tokens
 from meshloom.llm.toxicity import toxicity_scores
@@ -67,10 +70,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), min_words=2, max_words=3, min_count=10, top=2000)
+
+
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_warc_archives, op3_quality_ledger, op4_jaccard_components, op5_fingerprints, op6_toxicity, op7_best_fit_packing, op8_token_files, op9_visible_text, op10_token_counts)
-}
+    for f in (
+        op1_bpe_round_trip, op2_warc_archives, op3_quality_ledger, op4_jaccard_components, op5_fingerprints, op6_toxicity, op7_best_fit_packing, op8_token_files, op9_visible_text, op10_token_counts,
+        op11_collocations, op12_virtual_slots, op13_hard_negatives,
+    )
+}
 
 #: Payloads, digests and which record stands for equal ones.
 WARC_SQL = """
@@ -109,5 +128,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_upper, n_
 FROM b
 """
 
+#: Every run of words of every piece counted, all cuts and all longer runs compared.
+COLLOCATIONS_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+f1 AS (SELECT lang, a, count(*) AS f FROM (SELECT lang, unnest(words) AS a FROM w) GROUP BY lang, a HAVING count(*) >= 10),
+g2 AS (SELECT lang, words, unnest(range(1, len(words))) AS i FROM w WHERE len(words) >= 2),
+f2 AS (SELECT lang, words[i] AS a, words[i + 1] AS b, count(*) AS f FROM g2 GROUP BY ALL HAVING count(*) >= 10),
+g3 AS (SELECT lang, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3),
+f3 AS (SELECT lang, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, count(*) AS f FROM g3 GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+    SELECT x.lang, x.a || ' ' || x.b AS phrase, x.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.a = x.a JOIN f1 r ON r.lang = x.lang AND r.a = x.b
+    UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 1, l.f, r.f FROM f3 x JOIN f1 l ON l.lang = x.lang AND l.a = x.a JOIN f2 r ON r.lang = x.lang AND r.a = x.b AND r.b = x.c
+    UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 2, l.f, r.f FROM f3 x JOIN f2 l ON l.lang = x.lang AND l.a = x.a AND l.b = x.b JOIN f1 r ON r.lang = x.lang AND r.a = x.c),
+scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, a || ' ' || b AS phrase, f FROM f3 UNION ALL SELECT lang, b || ' ' || c, f FROM f3) GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+#: Every anchor against every row.
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) <= 5
+"""
+
 #: The other queries need a tokenizer, a trained model, hashes that SQL lacks or a search too slow for it on whole tables.
-ORACLES: dict[str, str] = {"op2_warc_archives": WARC_SQL, "op3_quality_ledger": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op2_warc_archives": WARC_SQL, "op3_quality_ledger": QUALITY_SQL, "op11_collocations": COLLOCATIONS_SQL, "op13_hard_negatives": NEGATIVES_SQL}
