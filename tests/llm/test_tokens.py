@@ -161,6 +161,22 @@ def test_solver_on_many_lengths():
         packing.solve({3000: 1}, 2048)
 
 
+@pytest.mark.parametrize(("low", "high", "each", "least"), [(520, 1020, 1200, 233_700), (690, 1031, 2000, 339_600), (520, 1020, 12, 2330)])
+def test_the_program_is_solved(low, high, each, least):
+    """Lengths that don't fill the capacity: the bound is far above the volume, and rounding comes near it."""
+    histogram = dict.fromkeys(range(low, high), each)
+    plan = packing.solve(histogram, 2048)
+    assert plan.bound >= least > 1.01 * sum(s * n for s, n in histogram.items()) / 2048
+    assert plan.fractional <= plan.bound * (1 + packing.GAP) + 1
+    assert plan.bound <= plan.sequences <= plan.bound * 1.005 + 20
+    used = {}
+    for config, n in plan.patterns:
+        assert sum(s * a for s, a in config) <= 2048
+        for s, a in config:
+            used[s] = used.get(s, 0) + a * n
+    assert used == histogram
+
+
 def run_by_run(lengths, capacity):
     """Best fit, one run after the other."""
     gaps = []
