@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from meshloom.llm.common import tables_in_between, tidy, views, written
 
 #: Bytes of text that are counted at once.
-STRETCH = 8 << 20
+STRETCH = 6 << 20
 #: Bits of the bitmap of frequent runs; any number gives the same phrases.
 FILTER_BITS = 1 << 26
 #: Lots into which the phrases of a language are dealt before they are ranked.
@@ -107,10 +107,11 @@ class Words:
         starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(octets[kind == 0])]).dictionary_encode()
-        self.piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
-        begins = np.cumsum([0, *(len(t) + 1 for _, t in block)])[:-1]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+        begins = np.cumsum([0, *(len(t) + 1 for _, t in block)])
         langs, of_text = np.unique([lang for lang, _ in block], return_inverse=True)
-        lang = of_text[np.searchsorted(begins, starts, side="right") - 1]
+        lang = np.repeat(of_text, np.diff(np.searchsorted(starts, begins)))
+        del octets, kind, inside, ends, offsets
         n = max(1, len(found.dictionary))
         self.at, distinct = pd.factorize(lang.astype(np.int64) * n + found.indices.to_numpy())
         self.lang = pa.array(langs.tolist(), pa.string()).take(pa.array(distinct // n))
