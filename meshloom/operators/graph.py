@@ -36,10 +36,12 @@ class DualGraph:
         A cell's edges are in the order in which iteration meets them: faces within the part by id, then shared faces by
         the other part and id. ``eid`` counts the edges of all cells in this order.
         """
-        order = Window.partitionBy("cell").orderBy(F.col("part") != F.col("nbr_part"), F.when(F.col("part") != F.col("nbr_part"), F.col("nbr_part")), "face")
-        sides = self.mesh.face_sides.where("not is_boundary").withColumn("slot", F.row_number().over(order) - 1)
-        return sides.join(self.degrees.select("cell", "first"), "cell").select(
-            (F.col("first") + F.col("slot")).alias("eid"), F.col("cell").alias("src"), "slot", F.col("nbr_cell").alias("dst"), "face", "part", F.col("nbr_part").alias("dst_part"),
+        remote = F.col("part") != F.col("nbr_part")
+        near = F.struct(remote.alias("remote"), F.when(remote, F.col("nbr_part")).alias("at"), "face", "nbr_cell", "nbr_part")
+        lists = self.mesh.face_sides.where("not is_boundary").groupBy("cell", "part").agg(F.sort_array(F.collect_list(near)).alias("near"))  # the faces of a cell
+        placed = running_sum(lists, "cell", F.size("near"), "first", max(1, self.mesh.total_cells())).select("cell", "part", "first", F.posexplode("near").alias("slot", "n"))
+        return placed.select(
+            (F.col("first") + F.col("slot")).alias("eid"), F.col("cell").alias("src"), "slot", F.col("n.nbr_cell").alias("dst"), F.col("n.face").alias("face"), "part", F.col("n.nbr_part").alias("dst_part"),
         )
 
     def displacement(self) -> DataFrame:
@@ -102,6 +104,22 @@ class DualGraph:
             return cells.withColumn("w", F.lit(1).cast("bigint"))
         return cells.join(self.vertex_weights.select("cell", F.col("w")[0].alias("w")), "cell", "left").fillna(1, ["w"])
 
+    def weighted_cells(self) -> DataFrame:
+        """(cell, w0, w1, ...): all weights of each cell, 1 for those it lacks."""
+        cells, n = self.mesh.cells.select(F.col("gid").alias("cell")), self.constraints()
+        if self.vertex_weights is None:
+            return cells.withColumn("w0", F.lit(1).cast("bigint"))
+        own = self.vertex_weights.select("cell", *[F.get("w", F.lit(c)).alias(f"w{c}") for c in range(n)])
+        return cells.join(own, "cell", "left").fillna(1, [f"w{c}" for c in range(n)])
+
+    def adjacency(self) -> DataFrame:
+        """(src, dst, w) of all directed edges; without edge weights neither faces nor edges need numbers."""
+        if self.edge_weights is not None:
+            return self.weighted_edges().select("src", "dst", "w")
+        a, b = F.get("sides", F.lit(0))["cell"], F.get("sides", F.lit(1))["cell"]
+        ways = F.explode(F.array(F.struct(a.alias("src"), b.alias("dst")), F.struct(b.alias("src"), a.alias("dst"))))
+        return self.mesh.face_groups.where("size(sides) = 2").select(ways.alias("e")).select("e.*", F.lit(1).cast("bigint").alias("w"))
+
     def weighted_edges(self) -> DataFrame:
         """``edges`` with w, 1 without weights."""
         if self.edge_weights is None:

@@ -203,11 +203,17 @@ class Mesh:
         )
 
     @cached_property
-    def edges(self) -> DataFrame:
+    def numbered_edges(self) -> DataFrame:
+        """(gid, k0, k1, sides): edges with the places (cell, slot, part) where cells have them, ascending; one shuffle by key makes them."""
         n = self.topology.cell_edges
-        grouped = self.edge_slots.groupBy("k0", "k1").agg(F.min(F.col("cell") * n + F.col("slot")).alias("first_pos"), F.sort_array(F.collect_set("part")).alias("parts"))
-        numbered = dense_ids(grouped, "first_pos", "gid", max(1, self.total_cells()) * n)
-        return numbered.select("gid", "k0", "k1", F.col("parts")[0].alias("owner"), "parts")
+        grouped = self.edge_slots.groupBy("k0", "k1").agg(F.sort_array(F.collect_list(F.struct("cell", "slot", "part"))).alias("sides"))  # the cells around an edge
+        first = F.col("sides")[0]
+        return dense_ids(grouped.withColumn("first_pos", first["cell"] * n + first["slot"]), "first_pos", "gid", max(1, self.total_cells()) * n)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        parts = F.array_sort(F.array_distinct(F.transform("sides", lambda s: s["part"])))
+        return self.numbered_edges.select("gid", "k0", "k1", parts[0].alias("owner"), parts.alias("parts"))
 
     @cached_property
     def required_vertices(self) -> DataFrame:
@@ -239,8 +245,8 @@ class Mesh:
 
     @cached_property
     def cell_edges(self) -> DataFrame:
-        """(cell, slot, edge)"""
-        return self.edge_slots.join(self.edges.select(F.col("gid").alias("edge"), "k0", "k1"), ["k0", "k1"]).select("cell", "slot", "edge")
+        """(cell, slot, edge): from the places that each edge already carries, without a join."""
+        return self.numbered_edges.select(F.col("gid").alias("edge"), F.explode("sides").alias("s")).select("s.cell", "s.slot", "edge")
 
     def neighbors(self, local: bool = False) -> DataFrame:
         """(cell, slot, face, neighbor): the cell on the other side, -1 for none; ``local``: also -1 where it is in another part."""
@@ -288,7 +294,7 @@ class Mesh:
 
     def edge_cells(self) -> DataFrame:
         """(edge, cell)"""
-        return self.cell_edges.select("edge", "cell").distinct()
+        return self.numbered_edges.select(F.col("gid").alias("edge"), F.explode(F.array_distinct(F.transform("sides", lambda s: s["cell"]))).alias("cell"))
 
     def vertex_faces(self) -> DataFrame:
         """(vertex, face)"""

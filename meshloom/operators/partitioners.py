@@ -1,37 +1,35 @@
 """Partitioners of the dual graph, and the targets they meet.
 
 All of them give (cell, part), a row for each cell, and are functions of graph, target and
-seed alone. Sizes stay within one cell's weight of (1 + imbalance) times a part's share.
+seed alone. Sizes stay within one cell's weight of (1 + imbalance) times a part's share, in
+every weight that cells have.
 
 - none: the current parts.
 - block: equal runs of cell ids.
-- geometric: runs along a Morton curve through the barycenters.
-- refined: a geometric start, then rounds that move cells where the cut falls. A cell asks
-  for the neighbouring part that it shares most edge weight with; of neighbours that ask,
-  one goes, so that every gain is real and no round makes the cut worse. Between two parts
-  as much weight moves one way as the other, and what room there is beyond that: sizes hold
-  while cells change places. The cells with the largest gains go first.
-
-A cell has one weight. Graphs with several weights for each cell are refused, but for
-``none`` and ``block``, which don't read them.
+- parmetis-geo: runs along a Morton curve through the barycenters, of the first weight; graphs
+  with several weights are refused.
+- all others: multilevel partitioning (``multilevel.py``). parmetis and the parhip presets refine
+  all parts of the smallest graph together, the ptscotch ones keep to the bisections of the
+  target's tree; their -b variants keep sizes to the shares themselves, without the imbalance.
+  The social presets of parhip coarsen by clusters of labels, for graphs with hubs. Presets for
+  quality or speed differ in tries at the smallest graph and rounds of refinement.
+
+``any_graph`` partitions nodes and edges from any table, not just a mesh.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import partial
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.distribute import Blocks
 from meshloom.functions.numbering import how_many_below
 from meshloom.operators.graph import DualGraph
+from meshloom.operators.multilevel import Effort, balanced, graph_level, limits, multilevel
+from meshloom.operators.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -73,16 +71,16 @@ def spread(x: Column) -> Column:
     return x
 
 
-def along_curve(graph: DualGraph) -> DataFrame:
-    """(cell, curve): the place of each barycenter on a Morton curve, 20 bits for each axis."""
-    centers = graph.barycenters()
-    box = centers.agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("l", F.min), ("h", F.max))]).first()
+def along_curve(graph: DualGraph, tables: Tables) -> tuple[DataFrame, int]:
+    """(cell, curve, w): the place of each barycenter on a Morton curve, 20 bits for each axis, and the sum of weights."""
+    centers = tables.kept(graph.barycenters().join(graph.weighted_vertices().select("cell", "w"), "cell"))
+    box = centers.agg(F.sum("w").alias("total"), *[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("l", F.min), ("h", F.max))]).first()
     scaled = []
     for a in "xyz":
         low, high = box[f"l{a}"] or 0.0, box[f"h{a}"] or 0.0
         scaled.append(((F.col(a) - low) / ((high - low) or 1.0) * ((1 << 20) - 1)).cast("long"))
     x, y, z = map(spread, scaled)
-    return centers.select("cell", x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2)).alias("curve"))
+    return centers.select("cell", x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2)).alias("curve"), "w"), box["total"] or 0
 
 
 def by_weight(rows: DataFrame, total: int, target: Target) -> DataFrame:
@@ -104,124 +102,58 @@ def geometric(graph: DualGraph, target: Target, seed: int = 1) -> DataFrame:
 
     Cells are dealt to stretches of the curve that hold about as many each, however the mesh is graded.
     """
-    rows = along_curve(graph).join(graph.weighted_vertices().select("cell", "w"), "cell")
-    many = min(STRETCHES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = along_curve(graph).agg(F.percentile_approx("curve", [k / many for k in range(1, many)], 10 * many).alias("b")).first()["b"] or []
-    dealt = rows.withColumn("__l", how_many_below(F.col("curve"), sorted(set(bounds))))
-    totals = dealt.groupBy("__l").agg(F.sum("w").alias("__t"))
-    base = totals.select("__l", (F.sum("__t").over(Window.orderBy("__l")) - F.col("__t")).alias("__base"))  # a row for each stretch
-    inner = Window.partitionBy("__l").orderBy("curve", "cell")
-    summed = dealt.withColumn("__in", F.sum("w").over(inner) - F.col("w")).join(F.broadcast(base), "__l").withColumn("before", F.col("__base") + F.col("__in"))
-    total = graph.weighted_vertices().agg(F.sum("w")).first()[0] or 0
-    return by_weight(summed, total, target)
-
-
-def kept_table(df: DataFrame, made: list[str] | None = None) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder, which cuts the lineage of a loop; only a local session may lack that folder.
-
-    ``made`` gets the table's path.
-    """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise PartitionError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
-        context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/partition-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if made is not None:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with Tables(graph.mesh.raw_cells.sparkSession) as tables:
+        rows, total = along_curve(graph, tables)
+        many = min(STRETCHES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        bounds = rows.agg(F.percentile_approx("curve", [k / many for k in range(1, many)], 10 * many).alias("b")).first()["b"] or []
+        dealt = rows.withColumn("__l", how_many_below(F.col("curve"), sorted(set(bounds))))
+        totals = dealt.groupBy("__l").agg(F.sum("w").alias("__t"))
+        base = totals.select("__l", (F.sum("__t").over(Window.orderBy("__l")) - F.col("__t")).alias("__base"))  # a row for each stretch
+        inner = Window.partitionBy("__l").orderBy("curve", "cell")
+        summed = dealt.withColumn("__in", F.sum("w").over(inner) - F.col("w")).join(F.broadcast(base), "__l").withColumn("before", F.col("__base") + F.col("__in"))
+        return tables.kept(by_weight(summed, total, target), stay=True)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a table by Spark's own access to files."""
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+def by_levels(effort: Effort) -> Callable[..., DataFrame]:
+    def run(graph: DualGraph, target: Target, seed: int = 1) -> DataFrame:
+        return any_graph(graph.weighted_cells(), graph.adjacency(), target, effort, seed)
 
+    return run
 
-#: Lots into which the cells that would go from one part to another are dealt, by gain and then by a hash.
-GAINS, LOTS = 32, 64
 
+def any_graph(nodes: DataFrame, edges: DataFrame, target: Target, effort: Effort, seed: int = 1) -> DataFrame:
+    """(cell, part) of a graph in tables: nodes (cell, w0, w1, ...), edges (src, dst, w) in both directions."""
+    with Tables(nodes.sparkSession) as tables:
+        level = graph_level(nodes, edges, len(nodes.columns) - 1, tables)
+        return tables.kept(multilevel(level, target.shares, target.imbalance, effort, seed).select("cell", F.col("part").cast("int").alias("part")), stay=True)
 
-def exchange(rows: pd.DataFrame) -> pd.DataFrame:
-    """How many leading lots go each way between two parts: as much weight as possible, and neither gains more than its ``extra``.
 
-    ``rows``: (from, to, lot, d, extra) of both directions, at most 2 * GAINS * LOTS.
-    """
-    ways = [w.sort_values("lot") for _, w in rows.groupby(["from", "to"])]
-    sums = [np.append(0, np.cumsum(w["d"].to_numpy())) for w in ways] + [np.zeros(1, np.int64)] * (2 - len(ways))
-    extra = [int(w["extra"].iloc[0]) for w in ways] + [0] * (2 - len(ways))
-    there, back = sums
-    at = np.searchsorted(back, there + extra[1], side="right") - 1
-    moved = np.where(there - back[at] <= extra[0], there + back[at], -1)
-    i = int(moved.argmax())
-    open_lots = [w.iloc[:n] for w, n in zip(ways, (i, int(at[i])), strict=False)]
-    return pd.concat(open_lots)[["from", "to", "lot"]]
-
-
-def refined(graph: DualGraph, target: Target, seed: int = 1, rounds: int = 4, start: Callable = geometric) -> DataFrame:
-    """Exchanges from ``start``; a part never exceeds (1 + imbalance) times its share, or what it starts with."""
-    made: list[str] = []
-    current = kept_table(start(graph, target, seed), made)
-    last = made[-1]
-    edges = kept_table(graph.weighted_edges().select("src", "dst", "w"), made)
-    weights = kept_table(graph.weighted_vertices().select("cell", F.col("w").alias("vw")), made)
-    spark = current.sparkSession
-    total = weights.agg(F.sum("vw")).first()[0] or 0
-    caps = [total * s * (1 + target.imbalance) for s in target.shares]
-    for k in range(rounds):
-        sizes = {r["part"]: r["s"] for r in current.join(weights, "cell").groupBy("part").agg(F.sum("vw").alias("s")).collect()}  # a row for each part
-        room = spark.createDataFrame([(p, max(0, int(cap - sizes.get(p, 0)))) for p, cap in enumerate(caps)], "to int, room long")
-        side = current.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part"))
-        pull = edges.join(side, "dst").groupBy(F.col("src").alias("cell"), "nbr_part").agg(F.sum("w").alias("pull"))
-        own = pull.join(current, "cell").groupBy("cell", "part").agg(
-            F.sum(F.when(F.col("nbr_part") == F.col("part"), F.col("pull")).otherwise(0)).alias("stay"),
-            F.max(F.when(F.col("nbr_part") != F.col("part"), F.struct("pull", F.xxhash64("cell", "nbr_part", F.lit(seed + k)).alias("h"), "nbr_part"))).alias("best"),
-        )
-        gain = (F.col("best.pull") - F.col("stay")).alias("gain")
-        asks = kept_table(own.where("best.pull > stay").select("cell", F.col("part").alias("from"), F.col("best.nbr_part").alias("to"), gain, F.xxhash64("cell", F.lit(seed * 1000 + k)).alias("h")), made)
-        # of neighbours that ask, the one with the larger gain goes
-        rank = lambda c: asks.select(F.col("cell").alias(c), F.struct("gain", "h", "cell").alias(f"{c}_rank"))
-        behind = edges.join(rank("src"), "src").join(rank("dst"), "dst").where("src_rank < dst_rank").select(F.col("src").alias("cell")).distinct()
-        free = asks.join(behind, "cell", "left_anti").join(weights, "cell")
-        step = F.least(F.floor(F.log2(F.col("gain").cast("double")) * 2).cast("int"), F.lit(GAINS - 1))
-        drawn = kept_table(free.withColumn("lot", (F.lit(GAINS - 1) - step) * LOTS + F.pmod(F.col("h"), F.lit(LOTS))).select("cell", "from", "to", "lot", "vw"), made)
-        if drawn.isEmpty():
-            break
-        demand = drawn.groupBy("from", "to", "lot").agg(F.sum("vw").alias("d"))
-        extra = demand.select("from", "to").distinct().groupBy("to").agg(F.count("*").alias("sources")).join(room, "to").select("to", F.floor(F.col("room") / F.col("sources")).alias("extra"))
-        pairs = demand.join(extra, "to").groupBy(F.least("from", "to"), F.greatest("from", "to"))
-        open_lots = pairs.applyInPandas(exchange, "from int, to int, lot long")
-        moves = drawn.join(open_lots, ["from", "to", "lot"]).select("cell", "to")
-        current = kept_table(current.join(moves, "cell", "left").select("cell", F.coalesce("to", "part").cast("int").alias("part")), made)
-        last = made[-1]
-    for path in made:
-        if path != last:
-            delete(spark, path)
-    return current
-
-
-#: The names of all partitioners, with the number of refinement rounds that stands for their effort.
+def rebalanced(graph: DualGraph, assigned: DataFrame, target: Target, seed: int = 1, told: list | None = None) -> DataFrame:
+    """(cell, part): ``assigned`` (cell, part) moved along flows between touching parts until it meets the target."""
+    with Tables(assigned.sparkSession) as tables:
+        nodes = graph.weighted_cells()
+        level = graph_level(nodes, graph.adjacency(), len(nodes.columns) - 1, tables)
+        return tables.kept(balanced(level, tables.kept(assigned.select("cell", "part")), limits(level, target.shares, target.imbalance), seed, told=told), stay=True)
+
+
+#: The names of all partitioners.
 PARTITIONERS: dict[str, Callable[..., DataFrame]] = {
     "none": keep,
     "block": block,
-    "parmetis": partial(refined, rounds=4),
+    "parmetis": by_levels(Effort(rounds=4, tries=4)),
     "parmetis-geo": geometric,
-    "ptscotch": partial(refined, rounds=4),
-    "ptscotch-q": partial(refined, rounds=8),
-    "ptscotch-b": partial(refined, rounds=3),
-    "ptscotch-bq": partial(refined, rounds=6),
-    "ptscotch-s": partial(refined, rounds=1),
-    "ptscotch-sb": partial(refined, rounds=2),
-    "parhip-ultrafast": partial(refined, rounds=1),
-    "parhip-fast": partial(refined, rounds=3),
-    "parhip-eco": partial(refined, rounds=12),
-    "parhip-ultrafastsocial": partial(refined, rounds=1),
-    "parhip-fastsocial": partial(refined, rounds=3),
-    "parhip-ecosocial": partial(refined, rounds=12),
+    "ptscotch": by_levels(Effort(rounds=4, tries=4, together=False)),
+    "ptscotch-q": by_levels(Effort(rounds=8, tries=8, together=False)),
+    "ptscotch-b": by_levels(Effort(rounds=4, tries=4, together=False, strict=True)),
+    "ptscotch-bq": by_levels(Effort(rounds=8, tries=8, together=False, strict=True)),
+    "ptscotch-s": by_levels(Effort(rounds=2, tries=1, together=False)),
+    "ptscotch-sb": by_levels(Effort(rounds=2, tries=1, together=False, strict=True)),
+    "parhip-ultrafast": by_levels(Effort(rounds=2, tries=1)),
+    "parhip-fast": by_levels(Effort(rounds=4, tries=2)),
+    "parhip-eco": by_levels(Effort(rounds=10, tries=8)),
+    "parhip-ultrafastsocial": by_levels(Effort("clustered", rounds=2, tries=1)),
+    "parhip-fastsocial": by_levels(Effort("clustered", rounds=4, tries=2)),
+    "parhip-ecosocial": by_levels(Effort("clustered", rounds=10, tries=8)),
 }
 
 
@@ -231,6 +163,6 @@ def partition(name: str, graph: DualGraph, target: Target, seed: int = 1) -> Dat
         raise PartitionError(f"{name} is none of {', '.join(PARTITIONERS)}")
     if target.parts < 1 or target.imbalance < 0 or target.weights and len(target.weights) != target.parts:
         raise PartitionError("a target needs a part, a share for each, and no negative imbalance")
-    if name not in ("none", "block") and (n := graph.constraints()) > 1:
+    if name == "parmetis-geo" and (n := graph.constraints()) > 1:
         raise PartitionError(f"{name} balances one weight for each cell, not {n}")
     return PARTITIONERS[name](graph, target, seed)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.operators.graph import DualGraph
-from meshloom.operators.partitioners import Target, kept_table, partition
+from meshloom.operators.partitioners import Target, partition
+from meshloom.operators.tables import Tables
 
 
 def weight_column(kind: str, key: Column, seed: int = 123) -> Column | None:
@@ -21,8 +22,10 @@ def weight_column(kind: str, key: Column, seed: int = 123) -> Column | None:
         return None
     if kind == "uniform":
         return F.lit(1).cast("long")
-    if kind == "random":
-        return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) + 1).cast("long")
+    if kind == "random":  # two steps of a linear congruence, whose high bits count
+        step = lambda x: F.pmod(x * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31))
+        drawn = step(F.pmod(step(F.pmod(key.cast("long") + F.lit(seed), F.lit(1 << 31))) * F.lit(69069), F.lit(1 << 31)))
+        return (F.floor(drawn / F.lit(1 << 12)) % 1000 + 1).cast("long")
     if kind == "increasing":
         return (key + 1).cast("long")
     raise ValueError(f"{kind} is no kind of weight")
@@ -127,13 +130,41 @@ def report(graph: DualGraph, partition: DataFrame | None, parts: int, configurat
     return made.withColumns({k: F.lit(v) for k, v in said.items()}).select(F.to_json(F.struct(*fields)).alias("value"))
 
 
+def measured_together(graph: DualGraph, partitions: dict[str, DataFrame], weightings: dict[str, tuple[str, str]]) -> DataFrame:
+    """(partition, weighting, part, size, size_weighted, cut, cut_weighted) of many partitions under many weightings, in one pass over cells and one over edges.
+
+    ``partitions``: (cell, part) by name; ``weightings``: kinds of vertex and edge weights by name (see ``weight_column``). Cells
+    carry an array of their parts, edges meet it from both sides, and an edge is expanded only where it is cut. What is combined
+    has a row for each partition and part, with a column for each weighting.
+    """
+    names, kinds = list(partitions), list(weightings)
+    each = None
+    for k, name in enumerate(names):
+        rows = partitions[name].select("cell", F.struct(F.lit(k).alias("k"), F.col("part").cast("int").alias("part")).alias("own"))
+        each = rows if each is None else each.unionByName(rows)
+    cells = each.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list("own")), lambda x: x["part"]).alias("parts"))  # a number for each partition
+    weight = lambda place, key: [F.coalesce(weight_column(weightings[w][place], key), F.lit(1).cast("long")).alias(f"w{i}") if weightings[w][place] != "none" else F.lit(1).cast("long").alias(f"w{i}") for i, w in enumerate(kinds)]
+    ws = [f"w{i}" for i in range(len(kinds))]
+    own = cells.select(*weight(0, F.col("cell")), F.posexplode("parts").alias("k", "part"))
+    sizes = own.groupBy("k", "part").agg(F.count("*").alias("size"), *[F.sum(w).alias(f"s{w}") for w in ws])
+    beside = graph.edges.select("eid", "src", "dst").join(cells.select(F.col("cell").alias("src"), F.col("parts").alias("a")), "src").join(cells.select(F.col("cell").alias("dst"), F.col("parts").alias("b")), "dst")
+    across = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.get("a", k) != F.get("b", k))
+    cut = beside.select(*weight(1, F.col("eid")), "b", F.explode(across).alias("k")).select("k", F.get("b", F.col("k")).alias("part"), *ws)
+    cuts = cut.groupBy("k", "part").agg(F.count("*").alias("cut"), *[F.sum(w).alias(f"c{w}") for w in ws])
+    both = sizes.join(cuts, ["k", "part"], "left").fillna(0, ["cut", *(f"c{w}" for w in ws)])
+    by_kind = F.explode(F.array(*[F.struct(F.lit(name).alias("weighting"), F.col(f"sw{i}").alias("size_weighted"), F.col(f"cw{i}").alias("cut_weighted")) for i, name in enumerate(kinds)]))
+    name_of = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)
+    return both.select(name_of.alias("partition"), "part", "size", "cut", by_kind.alias("x")).select("partition", "x.weighting", "part", "size", "x.size_weighted", "cut", "x.cut_weighted")
+
+
 def timed(make: Callable[[], DataFrame]) -> tuple[DataFrame, dict]:
     """(the table, {"time": seconds, "memory": bytes}) of a partition that is computed in full.
 
     ``memory`` is the largest peak of heap that the driver or any executor has told so far.
     """
     start = time.perf_counter()
-    table = kept_table(make())
+    made = make()
+    table = Tables(made.sparkSession).kept(made, stay=True)
     took = time.perf_counter() - start
     context = table.sparkSession.sparkContext
     store = context._jsc.sc().statusStore()

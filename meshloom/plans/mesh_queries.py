@@ -6,6 +6,7 @@ same mesh from ``part`` in common table expressions and asks them in its own way
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,10 @@ from meshloom.functions.topology import TETRAHEDRON
 from meshloom.operators import partitioners, stats
 from meshloom.operators.graph import DualGraph
 from meshloom.operators.mesh import Mesh, merged
+from meshloom.operators.placed import CellSums, Placed
+from meshloom.operators.tables import Tables, delete, shared_folder
 from meshloom.sources.lattice import table_mesh
+from meshloom.sources.mesh_io import in_order, read_mesh, write_mesh
 
 PARTS = 4
 
@@ -287,6 +291,66 @@ def face_payload_ext(mesh: Mesh, sf_dir: str) -> DataFrame:
     return mesh.for_each_face(external).groupBy("cell").agg(F.sum("ext_value").alias("total"), F.count("ext_value").alias("faces"))
 
 
+FACES_SQL = "SELECT s.part, s.cell, CAST(coalesce(sum(b.grp), 0) AS BIGINT) AS total, count(b.grp) AS faces FROM sides s LEFT JOIN cells b ON b.gid = s.nbr_cell GROUP BY s.part, s.cell"
+
+
+def placed_groups(mesh: Mesh) -> tuple[Placed, DataFrame]:
+    """The mesh by part with its ghosts, and the groups of cells placed on it."""
+    placed = Placed.of(mesh)
+    return placed, placed.place(mesh.cells.select("part", F.col("gid").alias("cell"), "orig_gid").join(mesh.original_cell_data(0), "orig_gid").select("part", "cell", "value"))
+
+
+@query(FACES_SQL)
+def placed_faces(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """The groups of each cell's neighbours, summed in the buckets of its part."""
+    placed, values = placed_groups(mesh)
+    sums = placed.for_each_face(values).groupBy("part", "cell").agg(F.coalesce(F.sum("ext_value"), F.lit(0)).alias("total"), F.count("ext_value").alias("faces"))
+    made = Tables(mesh.raw_cells.sparkSession).kept(sums, stay=True)
+    placed.drop()
+    return made
+
+
+@query(FACES_SQL)
+def part_handlers(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """The same sums by a handler in Python for each part."""
+    placed, values = placed_groups(mesh)
+    sums = placed.fold_faces(placed.for_each_face(values), lambda part: CellSums(part, "ext_value"), "part int, cell long, total long, faces long")
+    made = Tables(mesh.raw_cells.sparkSession).kept(sums, stay=True)
+    placed.drop()
+    return made
+
+
+@query("SELECT cell, CAST(sum(t) AS BIGINT) AS total FROM (SELECT s.cell, coalesce(c.total, 0) AS t FROM sides s LEFT JOIN (SELECT s.cell, sum(b.grp) AS total FROM sides s JOIN cells b ON b.gid = s.nbr_cell GROUP BY s.cell) c ON c.cell = s.nbr_cell) GROUP BY cell")
+def placed_two_steps(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Two steps of an iteration on a mesh that lies by part: sums over neighbours of sums over neighbours."""
+    placed, values = placed_groups(mesh)
+    for _ in range(2):
+        step = placed.for_each_face(values).groupBy("part", "cell").agg(F.coalesce(F.sum("ext_value"), F.lit(0)).alias("value"))
+        values = placed.place(step, lies=True)
+    made = Tables(mesh.raw_cells.sparkSession).kept(values.where("not is_ghost").select("cell", F.col("value").alias("total")), stay=True)
+    placed.drop()
+    return made
+
+
+@query("SELECT orig_gid, v0, v1, v2, v3, x, y, z FROM raw_cells c JOIN raw_vertices v ON v.vid = c.v0")
+def mesh_round_trip(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """The mesh written to files, read back, and joined with its vertices."""
+    spark = mesh.raw_cells.sparkSession
+    folder = f"{shared_folder(spark)}/mesh-files-{uuid.uuid4().hex}"
+    write_mesh(mesh, folder)
+    found = read_mesh(spark, f"{folder}/cells", f"{folder}/vertices")
+    rows = found.raw_cells.join(found.raw_vertices, F.col("v0") == F.col("vid")).drop("vid")
+    made = Tables(spark).kept(rows, stay=True)
+    delete(spark, folder)
+    return made
+
+
+@query("SELECT row_number() OVER (ORDER BY part, gid) - 1 AS line, part, gid, grp AS \"group\" FROM cells")
+def groups_in_order(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """The groups of all cells by part, with a number that runs through all parts."""
+    return in_order(mesh.cells.join(mesh.original_cell_data(0), "orig_gid").select("part", "gid", F.col("value").alias("group")), "part", "gid", PARTS)
+
+
 @query("SELECT face, cell FROM sides WHERE nbr_cell IS NULL")
 def boundary_faces(mesh: Mesh, sf_dir: str) -> DataFrame:
     return mesh.face_sides.where("is_boundary").select("face", "cell")
@@ -429,8 +493,7 @@ def partition_refined(mesh: Mesh, sf_dir: str) -> DataFrame:
 def partition_refined_quality(mesh: Mesh, sf_dir: str) -> DataFrame:
     """Every cell once, in a part of the target, no part above its size, and a smaller cut than without refinement."""
     graph = DualGraph(mesh)
-    start = partitioners.kept_table(partitioners.partition("parmetis-geo", graph, TEN))
-    found = partitioners.kept_table(partitioners.partition("parhip-ultrafast", graph, TEN))
+    start, found = partitioners.partition("parmetis-geo", graph, TEN), partitioners.partition("parhip-ultrafast", graph, TEN)
     cells = graph.mesh.total_cells()
     sizes = found.groupBy("part").agg(F.count("*").alias("n"))
     once = found.agg(F.count("*").alias("cells"), F.count_distinct("cell").alias("placed"), F.sum((~F.col("part").between(0, 9)).cast("long")).alias("astray"))
@@ -440,6 +503,114 @@ def partition_refined_quality(mesh: Mesh, sf_dir: str) -> DataFrame:
     return one(once).join(one(large), "k").join(one(before), "k").join(one(after), "k").select("cells", "placed", "astray", "oversized", (F.col("a") < F.col("b")).alias("better"))
 
 
+def within(found: DataFrame, weights: DataFrame, most: DataFrame, slack: int) -> DataFrame:
+    """(part, most, fits): whether each part's weight is at most ``most`` and the weight of one cell."""
+    sizes = found.join(weights.select("cell", F.col("w").alias("weight")), "cell").groupBy("part").agg(F.sum("weight").alias("size"))
+    return most.join(sizes, "part", "left").select("part", "most", (F.coalesce("size", F.lit(0)) <= F.col("most") + slack).alias("fits"))
+
+
+def equal_shares(mesh: Mesh, parts: int, total: int, imbalance: float) -> DataFrame:
+    """(part, most) of equal shares, rounded down."""
+    return mesh.raw_cells.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.floor(F.lit(float(total)) / parts * (1 + imbalance)).alias("most"))
+
+
+HARMONIC = sum(1.0 / (i + 1) for i in range(10))
+
+
+@query(f"SELECT CAST(p AS INTEGER) AS part, CAST(floor(n / (p + 1) / {HARMONIC!r}) AS BIGINT) AS most, TRUE AS fits FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells), range(10) t(p)")
+def partition_refined_sizes(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Harmonic shares, kept to one cell (strict sizes), by bisections along the tree of shares."""
+    graph = DualGraph(mesh)
+    found = partitioners.partition("ptscotch-sb", graph, partitioners.Target(10, tuple(stats.node_weights("harmonic", 10)), 0.01))
+    most = mesh.raw_cells.sparkSession.range(10).select(F.col("id").cast("int").alias("part"), F.floor(F.lit(float(mesh.total_cells())) / (F.col("id") + 1) / F.lit(HARMONIC)).alias("most"))
+    return within(found, graph.weighted_vertices(), most, 1)
+
+
+@query(
+    "SELECT c AS \"constraint\", CAST(p AS INTEGER) AS part, CAST(floor(total / 8 * 1.03) AS BIGINT) AS most, TRUE AS fits FROM "
+    "(SELECT 0 AS c, CAST(count(*) AS DOUBLE) AS total FROM cells UNION ALL SELECT 1, CAST(sum(grp + 1) AS DOUBLE) FROM cells), range(8) t(p)"
+)
+def partition_constraints(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Cells and their groups balanced at once."""
+    graph = DualGraph(mesh)
+    weights = mesh.cell_data(0).select(F.col("gid").alias("cell"), F.array(F.lit(1), F.col("value") + 1).cast("array<bigint>").alias("w"))
+    found = partitioners.partition("parmetis", graph.with_vertex_weights(weights), partitioners.Target(8, imbalance=0.03))
+    out = None
+    for c in (0, 1):
+        own = weights.select("cell", F.col("w")[c].alias("w"))
+        row = own.agg(F.sum("w").alias("total"), F.max("w").alias("top")).first()
+        rows = within(found, own, equal_shares(mesh, 8, row["total"], 0.03), row["top"]).select(F.lit(c).alias("constraint"), "part", "most", "fits")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT CAST(p AS INTEGER) AS part, CAST(floor(n / 6 * 1.01) AS BIGINT) AS most, TRUE AS fits FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells), range(6) t(p)")
+def partition_rebalanced(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """From half of the curve in one part to equal parts, by flows between parts that touch."""
+    graph = DualGraph(mesh)
+    start = partitioners.partition("parmetis-geo", graph, partitioners.Target(6, (0.5, 0.1, 0.1, 0.1, 0.1, 0.1)))
+    return within(partitioners.rebalanced(graph, start, partitioners.Target(6, imbalance=0.01)), graph.weighted_vertices(), equal_shares(mesh, 6, mesh.total_cells(), 0.01), 1)
+
+
+@query(f"{CURVE_SQL}, curved AS (SELECT cell, len(list_filter({ENDS}, lambda e: e <= (before + 0.5) / total)) AS part FROM (SELECT cell, row_number() OVER (ORDER BY place, cell) - 1 AS before, count(*) OVER () AS total FROM curve)) "
+       "SELECT count(*) // 2 AS curve_cut, TRUE AS better FROM dual d JOIN curved a ON a.cell = d.src JOIN curved b ON b.cell = d.dst WHERE a.part <> b.part")
+def partition_levels_cut(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Levels cut at least a tenth less than runs along the curve."""
+    graph, one = DualGraph(mesh), lambda df: df.withColumn("k", F.lit(0))
+    cut = lambda name: stats.cut_edges(graph, partitioners.partition(name, graph, TEN)).agg(F.expr("count(*) div 2").alias("cut"))
+    both = one(cut("parmetis-geo").withColumnRenamed("cut", "curve_cut")).join(one(cut("parmetis")), "k")
+    return both.select("curve_cut", (F.col("cut") * 10 <= F.col("curve_cut") * 9).alias("better"))
+
+
+@query("SELECT (SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) FROM lineitem) AS nodes, count(*) AS edges, TRUE AS whole, TRUE AS better FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+def partition_social(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Parts and suppliers that were ordered together, a graph of hubs: every node has a part, and most of the weight is left uncut that equal shares by chance would cut."""
+    lines = mesh.raw_cells.sparkSession.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pairs = lines.groupBy((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).agg(F.count("*").alias("w"))
+    edges = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))).alias("e")).select("e.*")
+    nodes = edges.select(F.col("src").alias("cell")).distinct().withColumn("w0", F.lit(1).cast("long"))
+    found = partitioners.any_graph(nodes, edges, partitioners.Target(4, imbalance=0.05), partitioners.Effort("clustered", rounds=2, tries=2))
+    sides = pairs.join(found.select(F.col("cell").alias("a"), F.col("part").alias("pa")), "a").join(found.select(F.col("cell").alias("b"), F.col("part").alias("pb")), "b")
+    cut = sides.agg(F.count("*").alias("edges"), F.sum(F.when(F.col("pa") != F.col("pb"), F.col("w")).otherwise(0)).alias("cut"), F.sum("w").alias("all"))
+    placed = found.agg(F.count("*").alias("nodes"), (F.count_distinct("cell") == F.count("*")).alias("whole"))
+    one = lambda df: df.withColumn("k", F.lit(0))
+    return one(placed).join(one(cut), "k").select("nodes", "edges", "whole", (F.col("cut") < F.col("all") * 0.75).alias("better"))
+
+
+def random_sql(key: str) -> str:
+    """The random weight of a key, in SQL."""
+    step = lambda x: f"(({x} * 1103515245 + 12345) % 2147483648)"
+    return f"({step(f'({step(f'(({key} + 123) % 2147483648)')} * 69069 % 2147483648)')} // 4096 % 1000 + 1)"
+
+
+WEIGHTINGS = {"none": ("none", "none"), "random": ("random", "none"), "both": ("random", "random"), "increasing": ("increasing", "increasing")}
+VW_SQL = f"CASE weighting WHEN 'none' THEN 1 WHEN 'increasing' THEN cell + 1 ELSE {random_sql('cell')} END"
+EW_SQL = f"CASE weighting WHEN 'increasing' THEN eid + 1 WHEN 'both' THEN {random_sql('eid')} ELSE 1 END"
+
+
+@query(
+    f"""{CURVE_SQL},
+spots AS (SELECT 'none' AS partition, gid AS cell, part FROM cells UNION ALL SELECT 'scattered', gid, CAST(orig_gid * 31 % 7 AS INTEGER) FROM cells
+  UNION ALL SELECT 'curve', cell, CAST(len(list_filter({ENDS}, lambda e: e <= (before + w / 2) / total)) AS INTEGER) FROM walked
+  UNION ALL SELECT 'block', gid, CAST(CASE WHEN gid < (n % 10) * (n // 10 + 1) THEN gid // (n // 10 + 1) ELSE (gid - (n % 10) * (n // 10 + 1)) // (n // 10) + n % 10 END AS INTEGER) FROM cells, (SELECT count(*) AS n FROM cells)),
+kind(weighting) AS (VALUES ('none'), ('random'), ('both'), ('increasing')),
+sizes AS (SELECT partition, weighting, part, count(*) AS size, CAST(sum({VW_SQL}) AS BIGINT) AS size_weighted FROM spots, kind GROUP BY ALL),
+cuts AS (SELECT a.partition, weighting, b.part, count(*) AS cut, CAST(sum({EW_SQL}) AS BIGINT) AS cut_weighted FROM dual d JOIN spots a ON a.cell = d.src JOIN spots b ON b.cell = d.dst AND b.partition = a.partition, kind WHERE a.part <> b.part GROUP BY ALL)
+SELECT s.partition, s.weighting, s.part, s.size, s.size_weighted, coalesce(c.cut, 0) AS cut, coalesce(c.cut_weighted, 0) AS cut_weighted FROM sizes s LEFT JOIN cuts c ON c.partition = s.partition AND c.weighting = s.weighting AND c.part = s.part"""
+)
+def partitions_together(mesh: Mesh, sf_dir: str) -> DataFrame:
+    """Four partitions under four weightings, measured in one pass over the edges."""
+    graph = DualGraph(mesh)
+    cells = mesh.cells
+    found = {
+        "none": partitioners.partition("none", graph, partitioners.Target(PARTS)),
+        "scattered": cells.select(F.col("gid").alias("cell"), (F.col("orig_gid") * 31 % 7).alias("part")),
+        "curve": partitioners.partition("parmetis-geo", weighted_graph(mesh), TEN),
+        "block": partitioners.partition("block", graph, partitioners.Target(10)),
+    }
+    return stats.measured_together(graph, found, WEIGHTINGS)
+
+
 @query("SELECT gid, orig_gid * 5 + 2 AS orig_gid, part, v0, v1, v2, v3 FROM cells")
 def sparse_cell_gid(mesh: Mesh, sf_dir: str) -> DataFrame:
     """The same mesh with gaps between the ids of the file."""
@@ -448,18 +619,29 @@ def sparse_cell_gid(mesh: Mesh, sf_dir: str) -> DataFrame:
     return Mesh(mesh.raw_cells.withColumn("orig_gid", F.col("orig_gid") * 5 + 2), mesh.raw_vertices).partition_by(part, PARTS).cells
 
 
+HARNESS = [("none", "none", "none"), ("none", "random", "none"), ("block", "random", "random"), ("block", "increasing", "increasing")]
+
+
 @query(
-    f"SELECT w.vertex_weights, w.edge_weights, count(*) AS total_vertices, CAST(max(c.n) AS BIGINT) AS largest, CAST({PARTS} AS BIGINT) AS mpi_size, c.cut FROM cells, "
-    f"(SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM cells GROUP BY part)) AS n, (SELECT CAST(count(*) // 2 AS BIGINT) FROM dual WHERE part <> nbr_part) AS cut) c, "
-    f"(VALUES ('none', 'none'), ('random', 'none'), ('random', 'random')) w(vertex_weights, edge_weights) GROUP BY ALL"
+    f"""SELECT h.partitioner, h.vertex_weights, h.edge_weights, (SELECT count(*) FROM cells) AS total_vertices, CAST({PARTS} AS BIGINT) AS mpi_size, s.largest, s.largest_weighted, c.cut, c.cut_weighted
+FROM (VALUES {", ".join(map(str, HARNESS))}) h(partitioner, vertex_weights, edge_weights)
+JOIN (SELECT partitioner, vertex_weights, max(size) AS largest, CAST(max(w) AS BIGINT) AS largest_weighted FROM (
+    SELECT partitioner, vertex_weights, part, count(*) AS size, sum(CASE vertex_weights WHEN 'random' THEN {random_sql('cell')} WHEN 'increasing' THEN cell + 1 ELSE 1 END) AS w FROM (
+        SELECT 'none' AS partitioner, gid AS cell, part FROM cells UNION ALL SELECT 'block', gid, CASE WHEN gid < (n % {PARTS}) * (n // {PARTS} + 1) THEN gid // (n // {PARTS} + 1) ELSE (gid - (n % {PARTS}) * (n // {PARTS} + 1)) // (n // {PARTS}) + n % {PARTS} END FROM cells, (SELECT count(*) AS n FROM cells)),
+        (VALUES ('none'), ('random'), ('increasing')) v(vertex_weights) GROUP BY ALL) GROUP BY ALL) s ON s.partitioner = h.partitioner AND s.vertex_weights = h.vertex_weights
+JOIN (SELECT a.partitioner, edge_weights, CAST(count(*) // 2 AS BIGINT) AS cut, CAST(sum(CASE edge_weights WHEN 'random' THEN {random_sql('eid')} WHEN 'increasing' THEN eid + 1 ELSE 1 END) // 2 AS BIGINT) AS cut_weighted FROM dual d,
+    (SELECT 'none' AS partitioner, gid AS cell, part FROM cells UNION ALL SELECT 'block', gid, CASE WHEN gid < (n % {PARTS}) * (n // {PARTS} + 1) THEN gid // (n // {PARTS} + 1) ELSE (gid - (n % {PARTS}) * (n // {PARTS} + 1)) // (n // {PARTS}) + n % {PARTS} END FROM cells, (SELECT count(*) AS n FROM cells)) a,
+    (SELECT 'none' AS partitioner, gid AS cell, part FROM cells UNION ALL SELECT 'block', gid, CASE WHEN gid < (n % {PARTS}) * (n // {PARTS} + 1) THEN gid // (n // {PARTS} + 1) ELSE (gid - (n % {PARTS}) * (n // {PARTS} + 1)) // (n // {PARTS}) + n % {PARTS} END FROM cells, (SELECT count(*) AS n FROM cells)) b,
+    (VALUES ('none'), ('random'), ('increasing')) v(edge_weights) WHERE a.cell = d.src AND b.cell = d.dst AND a.partitioner = b.partitioner AND a.part <> b.part GROUP BY ALL) c ON c.partitioner = h.partitioner AND c.edge_weights = h.edge_weights"""
 )
 def harness_reports(mesh: Mesh, sf_dir: str) -> DataFrame:
     """From settings to reports: weights, partitioner and quality of each setting."""
-    settings = [{"partitioner": "none", "nparts": PARTS, "vertex_weights": v, "edge_weights": e} for v, e in (("none", "none"), ("random", "none"), ("random", "random"))]
+    settings = [{"partitioner": p, "nparts": PARTS, "vertex_weights": v, "edge_weights": e} for p, v, e in HARNESS]
     out = None
     for setting, found in stats.harness(DualGraph(mesh), settings):
         r = found.select(F.from_json("value", REPORT).alias("r")).select(
-            F.lit(setting["vertex_weights"]).alias("vertex_weights"), F.lit(setting["edge_weights"]).alias("edge_weights"), "r.total_vertices", F.array_max("r.rank_stats.size").alias("largest"), "r.mpi_size", "r.cut",
+            *[F.lit(setting[k]).alias(k) for k in ("partitioner", "vertex_weights", "edge_weights")], "r.total_vertices", "r.mpi_size",
+            F.array_max("r.rank_stats.size").alias("largest"), F.array_max("r.rank_stats.size_weighted").alias("largest_weighted"), "r.cut", "r.cut_weighted",
         )
         out = r if out is None else out.unionByName(r)
     return out

@@ -14,7 +14,7 @@ def value(v):
 def test_query(spark, sf_dir, name):
     made = mesh_queries.QUERIES[name](spark, sf_dir)
     con = duckdb.connect()
-    for table in ("part", "orders", "events"):
+    for table in ("part", "orders", "events", "lineitem"):
         con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want = con.sql(mesh_queries.ORACLES[name])
     columns = sorted(made.columns)
