@@ -8,10 +8,12 @@ hidden and undisplayed elements, closed details, options that aren't selected) a
 all other text: blocks on lines of their own, margins as one blank line, items with bullets
 or numbers, preformatted text as it is, table cells in aligned columns.
 
-Rules of style sheets count only where a compound selector (a tag, classes, an id, or several
-of them on one element, as in ``p.note``) hides something, on a screen of any width; of
-several the cascade chooses. Selectors that look at other elements hide nothing. By choice,
-what stands inside svg, object, audio, video, canvas and noscript is no text of the page.
+Rules of style sheets count where they set display or visibility on a screen of any width, by
+compound selectors (a tag, classes, an id, or several of them on one element, as in
+``p.note``), also below others (``nav a``, ``div > p``); of several the cascade chooses. An
+element that is displayed as a block stands on lines of its own, a block displayed inline
+doesn't. Selectors that look at siblings, states or attributes don't count, nor does a table's
+or list's own layout change. By choice, what stands inside svg, object, audio, video, canvas and noscript is no text of the page.
 Cells are aligned by the columns that their characters take on a terminal.
 
 A null page gives null; an empty or invisible one the empty text. Rows are independent of
@@ -60,7 +62,13 @@ HIDES = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 COMMENT = re.compile(r"/\*.*?(?:\*/|$)|<!--|-->", re.S)
 MARKS = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]""")
-DISPLAY = re.compile(r"display\s*:\s*([\w-]+)\s*(!\s*important)?$", re.I)
+DECLARED = re.compile(r"(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?$", re.I)
+INLINE_DISPLAY = re.compile(r"display\s*:\s*([\w-]+)", re.I)
+#: Values of display that put text on lines of its own, and that leave it in the line.
+BLOCKS, INLINES = {"block", "flex", "grid", "table", "list-item", "flow-root", "table-row", "table-caption"}, {"inline", "inline-block", "inline-flex", "inline-grid", "inline-table", "contents"}
+#: Elements of tables, and others, that stand on lines of their own outside of them.
+LAID = {"td", "th", "tr", "caption", "tbody", "thead", "tfoot", "xmp"}
+STEPS = re.compile(r"\s*(>)\s*|\s+")
 COMPOUND = re.compile(r"(?:[A-Za-z_][\w-]*)?(?:[.#][A-Za-z_][\w-]*)*$")
 NAMES = re.compile(r"[.#]?[A-Za-z_][\w-]*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -276,45 +284,86 @@ def style_rules(css: str) -> Iterator[tuple[str, list[str]]]:
                 yield selectors, declared
 
 
-class Hidden:
-    """What the page's own style rules and an element's attributes hide."""
+class Styles:
+    """How the page's own style rules and an element's attributes display it."""
 
     def __init__(self, root: Node) -> None:
-        # name that a selector ends with: [(names it also asks for, (important, ids, classes, tags, order, hides))]
-        self.selectors: dict[str, list[tuple[set[str], tuple]]] = {}
+        # name that a selector ends with: [(names of each element on its way, whether it is a child, property, (important, ids, classes, tags, order, value))]
+        self.selectors: dict[str, list[tuple[list[set[str]], list[bool], str, tuple]]] = {}
+        self.found: dict[int, dict[str, str]] = {}
         order = 0
         todo = [root]
         while todo:
             node = todo.pop()
             if node.tag == "style" and on_screen(node.attrs.get("media", "")):
                 for selectors, declared in style_rules("".join(c for c in node.children if isinstance(c, str))):
-                    for found in filter(None, map(DISPLAY.match, declared)):
+                    for found in filter(None, map(DECLARED.match, declared)):
                         order += 1
                         for s in selectors.lower().split(","):
-                            s = s.strip()
-                            if s and COMPOUND.match(s):
-                                names = NAMES.findall(s)
-                                kinds = [sum(n[0] == k for n in names) for k in "#."]
-                                rule = (bool(found[2]), *kinds, len(names) - sum(kinds), order, found[1].lower() == "none")
-                                self.selectors.setdefault(names[-1], []).append((set(names), rule))
+                            self.add(s.strip(), found[1].lower(), bool(found[3]), order, found[2].lower())
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if not any(rule[-1] for rules in self.selectors.values() for _, rule in rules):
-            self.selectors = {}
+        if self.selectors:
+            self.match(root)
+
+    def add(self, selector: str, what: str, important: bool, order: int, value: str) -> None:
+        steps = STEPS.split(selector)
+        compounds = steps[::2]
+        if not all(c and COMPOUND.match(c) for c in compounds):
+            return
+        names = [NAMES.findall(c) for c in compounds]
+        flat = [n for own in names for n in own]
+        kinds = [sum(n[0] == k for n in flat) for k in "#."]
+        rule = (important, *kinds, len(flat) - sum(kinds), order, value)
+        self.selectors.setdefault(names[-1][-1], []).append(([set(own) for own in names], [c == ">" for c in steps[1::2]], what, rule))
+
+    def match(self, root: Node) -> None:
+        """Find the rule of each element that the cascade chooses, down the tree with the names of the elements above."""
+        path: list[set[str]] = []
+        todo = [(root, 0)]
+        while todo:
+            node, depth = todo.pop()
+            del path[depth:]
+            names = {node.tag, *("." + c.lower() for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "").lower()}
+            path.append(names)
+            best: dict[str, tuple] = {}
+            for name in names & self.selectors.keys():
+                for way, child, what, rule in self.selectors[name]:
+                    if way[-1] <= names and (what not in best or rule > best[what]) and above(way, child, path):
+                        best[what] = rule
+            if best:
+                self.found[id(node)] = {what: rule[-1] for what, rule in best.items()}
+            todo += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Node)]
+
+    def display(self, node: Node) -> str | None:
+        """The value of display that a style gives an element."""
+        if own := INLINE_DISPLAY.search(node.attrs.get("style", "")):
+            return own[1].lower()
+        return self.found[id(node)].get("display") if id(node) in self.found else None
+
+    def visible(self, node: Node, before: bool) -> bool:
+        if own := VISIBILITY.search(node.attrs.get("style", "")):
+            return own[1].lower() == "visible"
+        given = self.found[id(node)].get("visibility") if id(node) in self.found else None
+        return before if given in (None, "inherit") else given == "visible"
 
     def undisplayed(self, node: Node) -> bool:
         attrs = node.attrs
         if node.tag in UNSEEN or node.tag == "dialog" and "open" not in attrs:
             return True
-        if not attrs and not self.selectors:
-            return False
-        style = attrs.get("style", "")
-        if "hidden" in attrs or HIDES.search(style):
+        if attrs and ("hidden" in attrs or HIDES.search(attrs.get("style", ""))):
             return True
-        if self.selectors and not re.search(r"display\s*:", style, re.I):
-            names = {node.tag, *("." + c.lower() for c in attrs.get("class", "").split()), "#" + attrs.get("id", "").lower()}
-            rules = [rule for n in names if n in self.selectors for asked, rule in self.selectors[n] if asked <= names]
-            return bool(rules) and max(rules)[-1]
-        return False
+        return bool(self.found) and self.display(node) == "none"
+
+
+def above(way: list[set[str]], child: list[bool], path: list[set[str]]) -> bool:
+    """Whether elements above the last of ``path`` match the way to it: each the parent of the next, or anywhere above."""
+    at = {len(path) - 1}
+    for names, is_child in zip(way[-2::-1], child[::-1], strict=True):
+        places = [i - 1 for i in at] if is_child else range(max(at))
+        at = {i for i in places if i >= 0 and names <= path[i]}
+        if not at:
+            return False
+    return True
 
 
 class Lines:
@@ -403,15 +452,14 @@ Step = Generator["Step", list[str] | None, list[str] | None]
 
 
 def render(root: Node) -> str:
-    hidden = Hidden(root)
+    hidden = Styles(root)
 
     # into, children, items and table are steps: they yield the steps that they wait for, so that depth takes no recursion
     def into(lines: Lines, node: Node, keep: bool, visible: bool) -> Step:
         if hidden.undisplayed(node):
             return
         tag = node.tag
-        if found := VISIBILITY.search(node.attrs.get("style", "")):
-            visible = found[1].lower() == "visible"
+        visible = hidden.visible(node, visible)
         if tag == "br":
             lines.end(always=True)
         elif tag == "wbr" or tag in ("img", "embed", "col", "colgroup"):
@@ -442,12 +490,12 @@ def render(root: Node) -> str:
                     yield into(lines, child, keep, visible)
                     break
             lines.block(False)
-        elif tag in BLOCK or tag in ("td", "th", "tr", "caption", "tbody", "thead", "tfoot", "xmp"):
+        elif (hidden.display(node) in BLOCKS) if (tag not in BLOCK and tag not in LAID) else hidden.display(node) not in INLINES:
             lines.block(tag in MARGIN)
             yield children(lines, node, keep or tag in ("pre", "xmp"), visible)
             lines.block(tag in MARGIN)
         else:
-            yield children(lines, node, keep or tag == "textarea", visible)
+            yield children(lines, node, keep or tag in ("textarea", "pre", "xmp"), visible)
 
     def children(lines: Lines, node: Node, keep: bool, visible: bool) -> Step:
         first = node.tag in ("pre", "textarea")

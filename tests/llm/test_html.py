@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meshloom.llm.html_text import VISIBILITY, Hidden, Node, tokens, tree, visible_text, visible_texts
+from meshloom.llm.html_text import VISIBILITY, Node, Styles, tokens, tree, visible_text, visible_texts
 
 CASES = [
     ("", ""), ("plain", "plain"), ("a <b>b</b>c\n d", "a bc d"), ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div><div>b</div>c", "a\nb\nc"), ("a<br>b<br><br>c", "a\nb\n\nc"),
@@ -106,7 +106,7 @@ def test_any_page(page):
 
 def shown(root):
     """Text nodes that nothing hides, by a walk over the tree."""
-    hidden, out = Hidden(root), []
+    hidden, out = Styles(root), []
 
     def walk(node, visible):
         if hidden.undisplayed(node) or node.tag in ("select", "details", "input", "colgroup", "col"):
@@ -153,3 +153,28 @@ def test_tables_of_pages(spark):
     got = {(r["page_id"], r["text"] if r["page_id"] != 4 else r["text"].count("word") + r["text"].count("c")) for r in visible_texts(pages).collect()}
     assert got == {(1, "a"), (None, "x"), (2, None), (3, ""), (4, 80_000)} and visible_texts(pages).count() == 6
     assert visible_texts(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<span style="display:block">a</span><span style="display:block">b</span>', "a\nb"),
+        ("<style>.b{display:block}</style>x<span class=b>a</span><span class=b>b</span>y", "x\na\nb\ny"),
+        ("<style>div.i{display:inline}</style><div class=i>a </div><div class=i>b</div><div>c</div>", "a b\nc"),
+        ("<style>.h{visibility:hidden} .h b{visibility:visible}</style><p>a<span class=h>hid<b>seen</b></span>b", "aseenb"),
+        ("<style>nav a{display:none}</style><nav><ul><li>x <a>gone</a></ul></nav><a>kept</a>", "- x\n\nkept"),
+        ("<style>.a > p{display:none}</style><div class=a><p>gone</p><div><p>kept</p></div></div>", "kept"),
+        ("<style>.a .b > i{display:none}</style><div class=a><p class=b>x<u><i>kept</i></u><i>gone</i></p></div>", "xkept"),
+        ("<style>#m p{display:none} div p.s{display:block}</style><div id=m><p class=s>gone</p></div>", ""),
+        ("<style>p.s{display:none !important} #m p{display:block}</style><div id=m><p class=s>gone</p>x</div>", "x"),
+        ("<style>p:hover, a + b, [x] {display:none}</style><p>a<b x>b</b></p>", "ab"),
+        ("<style>.h{display:none}</style><div class=h style='display:block'>kept</div>", "kept"),
+    ],
+)
+def test_computed_display(page, text):
+    assert visible_text(page) == text
+
+
+def test_long_ways_down_deep_trees():
+    page = "<style>" + "".join(f"div div div div.x{k} > p {{display:none}}" for k in range(50)) + "</style>" + "<div class='x1'>" * 600 + "<p>gone</p><i>kept</i>"
+    assert visible_text(page) == "kept"
