@@ -301,8 +301,10 @@ def balanced(level: Level, assigned: DataFrame, bounds: Limits, seed: int, round
         pairs = [(r["from"], r["to"]) for r in touching.collect()]  # a row for each pair of parts that touch
         want = bounds.shares[:, c] * sizes[:, c].sum() / max(bounds.shares[:, c].sum(), 1)
         flow = flows(sizes[:, c], want, pairs) if bounds.parts <= DENSE else {(a, b): (sizes[a, c] - want[a] - sizes[b, c] + want[b]) / 4 for a, b in pairs}
-        directed = {(a, b) if f > 0 else (b, a): math.ceil(abs(f)) for (a, b), f in flow.items() if abs(f) >= 1e-6}
-        room = [(a, b, *[math.floor(f) + int(slack[c]) if x == c else int(total[x]) for x in range(level.constraints)]) for (a, b), f in directed.items()]
+        directed = {(a, b) if f > 0 else (b, a): abs(f) for (a, b), f in flow.items()}
+        # as many whole nodes as come nearest to the flow
+        carried = {pair: whole for pair, f in directed.items() if (whole := math.floor(f + slack[c] / 2)) > 0}
+        room = [(a, b, *[f if x == c else int(total[x]) for x in range(level.constraints)]) for (a, b), f in carried.items()]
         change = np.zeros_like(sizes)
         if room and k < rounds:
             table = room_table(level, room, ["from", "to"])
