@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.numbering import running_sum
 from meshloom.operators.mesh import Mesh
+from meshloom.operators.tables import large
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ class DualGraph:
         ext = external.select(F.col("cell").alias("dst"), *[F.col(c).alias(f"ext_{c}") for c in external.columns if c != "cell"])
         out = self.edges.join(ext, "dst")
         if internal is not None:
-            out = out.join(internal.select(F.col("cell").alias("src"), *[F.col(c).alias(f"int_{c}") for c in internal.columns if c != "cell"]), "src")
+            out = large(out).join(internal.select(F.col("cell").alias("src"), *[F.col(c).alias(f"int_{c}") for c in internal.columns if c != "cell"]), "src")
         return out
 
     def barycenters(self) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.operators.mesh import Mesh
-from meshloom.operators.tables import delete, shared_folder
+from meshloom.operators.tables import delete, large, own_session, shared_folder
 
 
 class Handler(Protocol):
@@ -66,7 +66,7 @@ class Placed:
         """
         own = values.withColumn("is_ghost", F.lit(False))
         made = bucketed(self.spark, own if lies else own.repartition(self.buckets, "part"), self.buckets, self.names)
-        across = self.ghosts.join(made.drop("is_ghost").withColumnRenamed("part", "of"), ["of", "cell"]).drop("of").withColumn("is_ghost", F.lit(True))
+        across = large(self.ghosts).join(made.drop("is_ghost").withColumnRenamed("part", "of"), ["of", "cell"]).drop("of").withColumn("is_ghost", F.lit(True))
         return bucketed(self.spark, across.select(made.columns).repartition(self.buckets, "part"), self.buckets, self.names, self.names[-1])
 
     def for_each_face(self, external: DataFrame, internal: DataFrame | None = None, boundary: bool = True) -> DataFrame:
@@ -113,12 +113,7 @@ class Placed:
 
 def by_part_session(spark: SparkSession) -> SparkSession:
     """A session with the settings of the user's in which joins by (part, cell) use buckets of parts; the user's stays as it is."""
-    own = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if spark.conf.isModifiable(key):
-            own.conf.set(key, value)
-    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return own
+    return own_session(spark, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"})
 
 
 def bucketed(spark: SparkSession, df: DataFrame, buckets: int, names: list[str], into: str | None = None) -> DataFrame:

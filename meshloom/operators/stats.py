@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meshloom.operators.graph import DualGraph
 from meshloom.operators.partitioners import Target, partition
-from meshloom.operators.tables import Tables
+from meshloom.operators.tables import Tables, large
 
 
 def weight_column(kind: str, key: Column, seed: int = 123) -> Column | None:
@@ -57,7 +57,7 @@ def every_part(graph: DualGraph, parts: int) -> DataFrame:
 def size_rows(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
     """(part, size, size_weighted) of parts with cells."""
     cells = graph.weighted_vertices()
-    cells = cells if partition is None else cells.select("cell", "w").join(partition.select("cell", "part"), "cell")
+    cells = cells if partition is None else large(cells.select("cell", "w")).join(partition.select("cell", "part"), "cell")
     return cells.groupBy("part").agg(F.count("*").alias("size"), F.sum("w").alias("size_weighted"))
 
 
@@ -71,7 +71,7 @@ def cut_edges(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
     if partition is None:
         return graph.weighted_edges().where("part <> dst_part").select("part", F.col("dst_part").alias("nbr_part"), "w")
     side = partition.select("cell", "part")
-    rows = graph.weighted_edges().select("src", "dst", "w").join(side.select(F.col("cell").alias("src"), "part"), "src").join(side.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part")), "dst")
+    rows = large(large(graph.weighted_edges().select("src", "dst", "w")).join(side.select(F.col("cell").alias("src"), "part"), "src")).join(side.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part")), "dst")
     return rows.where("part <> nbr_part").select("part", "nbr_part", "w")
 
 
@@ -147,7 +147,7 @@ def measured_together(graph: DualGraph, partitions: dict[str, DataFrame], weight
     ws = [f"w{i}" for i in range(len(kinds))]
     own = cells.select(*weight(0, F.col("cell")), F.posexplode("parts").alias("k", "part"))
     sizes = own.groupBy("k", "part").agg(F.count("*").alias("size"), *[F.sum(w).alias(f"s{w}") for w in ws])
-    beside = graph.edges.select("eid", "src", "dst").join(cells.select(F.col("cell").alias("src"), F.col("parts").alias("a")), "src").join(cells.select(F.col("cell").alias("dst"), F.col("parts").alias("b")), "dst")
+    beside = large(graph.edges.select("eid", "src", "dst").join(cells.select(F.col("cell").alias("src"), F.col("parts").alias("a")), "src")).join(cells.select(F.col("cell").alias("dst"), F.col("parts").alias("b")), "dst")
     across = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.get("a", k) != F.get("b", k))
     cut = beside.select(*weight(1, F.col("eid")), "b", F.explode(across).alias("k")).select("k", F.get("b", F.col("k")).alias("part"), *ws)
     cuts = cut.groupBy("k", "part").agg(F.count("*").alias("cut"), *[F.sum(w).alias(f"c{w}") for w in ws])
