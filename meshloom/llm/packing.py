@@ -5,7 +5,7 @@ multiset of lengths that fits the capacity. Only the histogram of lengths reache
 driver: as many numbers as the capacity, at any size of the corpus.
 
 Solving, by multiplicative weights: every length has a price, every configuration that is
-known an amount exp(RATE * (worth - 1)), its worth being the sum of its lengths' prices. Prices
+known an amount, its first one times exp(RATE * (worth - 1)), its worth being the sum of its lengths' prices. Prices
 move, by Newton's method, until the amounts meet the demand for every length. A knapsack
 dynamic program over the capacity then finds, for each length, the dearest configuration
 that holds it, at prices between these and the best so far, and adds them to those known.
@@ -15,12 +15,15 @@ still the rate grows, which draws the amounts to the best configurations. Rounds
 fractional plan and bound are within GAP, or after STEPS Newton steps, which bound the driver's
 time: then ``Plan.fractional`` and ``Plan.bound`` tell the gap that is left.
 
-Where best fit alone comes within CLOSE of the volume over the capacity, as it does for most
-corpora of short texts, no program can save more than that; it is then solved by a few rounds.
+The configurations of a best fit are among those known from the start, so the amounts can meet
+the demand from the first round on. Where best fit comes within CLOSE of the volume over the
+capacity, as it does for most corpora of short texts, no program can save more than that; it is
+then solved by a few rounds that begin at its numbers, where others begin at equal amounts.
 
-Rounding: the amounts, scaled to the corpus, are rounded along their running sum; what is
-left is placed by best fit, longest first, into the room of these sequences and new ones. A
-plan never needs more than best fit.
+Rounding: the amounts, scaled to the corpus, are rounded along their running sum, or each to
+the nearest whole number, the largest first; what is left is placed by best fit, longest first,
+into the room of these sequences and new ones. The better of the two is the plan: it always
+comes from the amounts.
 
 Placing: the n-th run of a length takes the n-th place of that length. Runs are numbered
 by task and by order within the task, and the task's first number is a running sum over
@@ -50,6 +53,8 @@ RATE, LAST_RATE, GROW, STEADY = 40.0, 4000.0, 1.6, 0.7
 GAP, STEPS = 0.004, 600
 #: How near best fit must come to the volume for the program to be solved by few steps, and how many.
 CLOSE, FEW_STEPS = 0.002, 40
+#: First amounts of all other configurations there, of the mean number of sequences for a length.
+BEGUN = 0.001
 
 
 @dataclass
@@ -108,10 +113,10 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
     count = np.array([left[int(s)] for s in lengths], np.int64)
     plain = best_fit(lengths, count, capacity)
     close = sum(plain.values()) + whole <= plan.bound * (1 + CLOSE) + 1
-    amounts, bound, fractional = amounts_of(lengths, count, capacity, min(FEW_STEPS if close else STEPS, int(STEPS * 4e6 / max(4e6, float(len(lengths)) ** 3 / 32))))
+    amounts, bound, fractional = amounts_of(lengths, count, capacity, min(FEW_STEPS if close else STEPS, int(STEPS * 4e6 / max(4e6, float(len(lengths)) ** 3 / 32))), plain, close)
     plan.bound = max(plan.bound, whole + int(np.ceil(bound - 1e-6)))
     plan.fractional = whole + fractional
-    best = min([rounded(amounts, lengths, count, capacity), plain], key=lambda f: sum(f.values()))
+    best = min([way(amounts, lengths, count, capacity) for way in (rounded, nearest)], key=lambda f: sum(f.values()))
     plan.patterns += [(tuple((int(lengths[i]), a) for i, a in config), n) for config, n in sorted(best.items(), reverse=True)]
     return plan
 
@@ -142,11 +147,23 @@ class Known:
         return np.bincount(self.row[one] * n + self.row[two], self.times[one] * self.times[two] * amounts[self.config[one]], n * n).reshape(n, n)
 
 
-def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int) -> tuple[Counter, float, float]:
-    """(amounts of configurations that cover all runs, a lower bound, the sum of the amounts) of the fractional program."""
+def merged(config: tuple[tuple[int, int], ...]) -> Counter:
+    """The configuration with each length once."""
+    out: Counter = Counter()
+    for i, a in config:
+        out[i] += a
+    return out
+
+
+def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int, first: Counter | None = None, near: bool = False) -> tuple[Counter, float, float]:
+    """(amounts of configurations that cover all runs, a lower bound, the sum of the amounts) of the fractional program; the configurations ``first`` are known from the start, and if they are ``near`` the least their numbers are the first amounts."""
     n, demand = len(lengths), count.astype(float)
     scale, rate = float(lengths @ count) / capacity / n, RATE
-    alone = {((i, int(capacity // s)),): 1 for i, s in enumerate(lengths.tolist())}
+    base = scale * BEGUN if near else scale
+    alone = {((i, int(capacity // s)),): base for i, s in enumerate(lengths.tolist())}
+    for config, times in (first or {}).items():
+        key = tuple(sorted(merged(config).items()))
+        alone[key] = alone.get(key, 0) + times if near else base
     known, prices, best = dict(alone), lengths / capacity, lengths / capacity
     bound, least, found, still = 0.0, np.inf, Counter(), 0
     while True:
@@ -159,16 +176,16 @@ def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int
         for i in range(n):
             config = unrolled(pick, lengths, capacity - int(lengths[i]))
             config[i] += 1
-            known.setdefault(tuple(sorted(config.items())), 1)
+            known.setdefault(tuple(sorted(config.items())), base)
         if still >= 3:
             rate, still = rate * GROW, 0
-        table = Known(list(known))
+        table, begun = Known(list(known)), np.array(list(known.values()))
         top = table.worth(prices).max()
         if rate * (top - 1) > 5:
             prices = prices * (1 + 5 / rate) / top
         met = False
         for _ in range(20):
-            amounts = scale * np.exp(np.minimum(rate * (table.worth(prices) - 1), 50))
+            amounts = begun * np.exp(np.minimum(rate * (table.worth(prices) - 1), 50))
             cover = table.cover(amounts, n)
             free = (prices > 0) | (cover < demand)
             lack = np.where(free, cover - demand, 0)
@@ -189,7 +206,7 @@ def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int
         if least <= bound * (1 + GAP) or steps <= 0 or rate > LAST_RATE:
             return found, bound, least
         if met and len(known) > 8 * n:
-            known = {table.keys[c]: 1 for c in np.argsort(-amounts)[: 4 * n].tolist()} | alone
+            known = {table.keys[c]: known[table.keys[c]] for c in np.argsort(-amounts)[: 4 * n].tolist()} | alone
 
 
 def rounded(amounts: Counter, lengths: np.ndarray, count: np.ndarray, capacity: int) -> Counter:
@@ -209,6 +226,18 @@ def rounded(amounts: Counter, lengths: np.ndarray, count: np.ndarray, capacity:
     return best_fit(lengths, left, capacity, out)
 
 
+def nearest(amounts: Counter, lengths: np.ndarray, count: np.ndarray, capacity: int) -> Counter:
+    """Whole numbers next to the amounts, the largest amounts first; best fit for the rest, into what room they leave."""
+    left, out = count.copy(), Counter()
+    for config, n in sorted(amounts.items(), key=lambda c: (-c[1], c[0])):
+        times = min(int(n + 0.5), *(int(left[i]) // a for i, a in config))
+        if times:
+            for i, a in config:
+                left[i] -= a * times
+            out[config] += times
+    return best_fit(lengths, left, capacity, out)
+
+
 def best_fit(lengths: np.ndarray, count: np.ndarray, capacity: int, begun: Counter | None = None) -> Counter:
     """Longest first, each run into the fullest sequence that has room, those ``begun`` included; sequences alike are handled as one."""
     open_at: dict[int, Counter] = {}
