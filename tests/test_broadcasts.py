@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.operators import stats
+from meshloom.operators import placed, stats
 from meshloom.operators.graph import DualGraph
 from meshloom.operators.tables import Tables
 from meshloom.plans import mesh_queries
@@ -36,3 +36,12 @@ def test_tables_in_between_are_broadcast_only_if_small(spark, monkeypatch):
         assert unasked(tables.kept(rows).join(tables.kept(rows), "cell")) == 1
         monkeypatch.setattr("meshloom.operators.tables.SMALL", 10)
         assert unasked(tables.kept(rows).join(tables.kept(rows), "cell")) == 0
+
+
+def test_joins_of_meshes_by_part_are_not_broadcast(spark, sf_dir, monkeypatch):
+    seen, write = [], placed.bucketed
+    monkeypatch.setattr(placed, "bucketed", lambda session, df, *rest: seen.append(unasked(df)) or write(session, df, *rest))
+    by_part, values = mesh_queries.placed_groups(table_mesh(spark, sf_dir, 4))
+    seen.append(unasked(by_part.for_each_face(values, values)))
+    by_part.drop()
+    assert len(seen) == 5 and max(seen) <= 0
