@@ -191,7 +191,8 @@ def harness(graph: DualGraph, settings: list[dict], seed: int = 1) -> Iterator[t
         weighted = weighted.with_edge_weights(weight_column(setting.get("edge_weights", "none"), F.col("eid")))
         target = Target(parts, tuple(node_weights(setting.get("node_weights", "none"), parts)), float(setting.get("imbalance", 0.0)))
         found, measured = timed(lambda s=setting, g=weighted, t=target: partition(s.get("partitioner", "none"), g, t, int(s.get("seed", seed))))
-        yield setting, report(weighted, found, parts, setting, measured)
+        made = report(weighted, found, parts, setting, measured)
+        yield setting, Tables(made.sparkSession).kept(made, stay=True)  # one row: together, the plans of many reports would fill the driver
 
 
 def configurations(arguments: list[str]) -> list[dict]:
