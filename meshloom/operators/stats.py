@@ -71,7 +71,7 @@ def cut_edges(graph: DualGraph, partition: DataFrame | None) -> DataFrame:
     if partition is None:
         return graph.weighted_edges().where("part <> dst_part").select("part", F.col("dst_part").alias("nbr_part"), "w")
     side = partition.select("cell", "part")
-    rows = large(large(graph.weighted_edges().select("src", "dst", "w")).join(side.select(F.col("cell").alias("src"), "part"), "src")).join(side.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part")), "dst")
+    rows = large(large(graph.adjacency()).join(side.select(F.col("cell").alias("src"), "part"), "src")).join(side.select(F.col("cell").alias("dst"), F.col("part").alias("nbr_part")), "dst")
     return rows.where("part <> nbr_part").select("part", "nbr_part", "w")
 
 

@@ -76,3 +76,15 @@ def test_a_round_of_balance_joins_the_edges_once(spark, monkeypatch):
     found = partitioners.rebalanced(graph, skewed, partitioners.Target(2), told=told)
     assert told and len(seen) == 2 * len(told)
     assert max(r["size"] for r in stats.part_sizes(graph, found, 2).collect()) <= 193
+
+
+def test_cuts_without_edge_weights_need_no_ids(spark):
+    """Edges that all weigh 1 are counted without numbering faces and edges; the cut is the same as with ids."""
+    graph = DualGraph(lattice(spark, 3))
+    found = graph.mesh.cells.select(F.col("gid").alias("cell"), (F.col("gid") % 5).cast("int").alias("part"))
+    plain = stats.cut_edges(graph, found)
+    numbered = stats.cut_edges(graph.with_edge_weights(F.lit(1)), found)
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window")
+    assert windows(plain) < windows(numbered)
+    rows = lambda df: sorted(tuple(r) for r in df.groupBy("part", "nbr_part").agg(F.count("*"), F.sum("w")).collect())
+    assert rows(plain) == rows(numbered) and len(rows(plain)) > 1
