@@ -11,14 +11,16 @@ dynamic program over the capacity then finds, for each length, the dearest confi
 that holds it, at prices between these and the best so far, and adds them to those known.
 Prices divided by the value of the dearest configuration are a feasible dual: their sum over
 all runs is a lower bound on the number of sequences (``Plan.bound``). While the bound stands
-still the rate grows, which draws the amounts to the best configurations. Rounds end when
-fractional plan and bound are within GAP, or after STEPS Newton steps, which bound the driver's
-time: then ``Plan.fractional`` and ``Plan.bound`` tell the gap that is left.
+still the rate grows, which draws the amounts to the best configurations. Rounds end only when
+fractional plan and bound are within GAP, however many that takes. Where they aren't at LAST_RATE,
+beyond which weights are too steep for Newton's method, the simplex method goes on from the
+configurations that are known by then (``finished``); each of its steps makes the plan smaller, so
+it ends too.
 
 The configurations of a best fit are among those known from the start, so the amounts can meet
 the demand from the first round on. Where best fit comes within CLOSE of the volume over the
-capacity, as it does for most corpora of short texts, no program can save more than that; it is
-then solved by a few rounds that begin at its numbers, where others begin at equal amounts.
+capacity, as it does for most corpora of short texts, no program can save more than that; rounds
+then begin at its numbers, where others begin at equal amounts.
 
 Rounding: the amounts, scaled to the corpus, are rounded along their running sum, or each to
 the nearest whole number, the largest first; what is left is placed by best fit, longest first,
@@ -49,10 +51,10 @@ from meshloom.llm.units import WordUnits, blocks, kept
 
 #: First and last rate of the amounts, its factor of growth, and the share of the best prices in those that are priced out.
 RATE, LAST_RATE, GROW, STEADY = 40.0, 4000.0, 1.6, 0.7
-#: The gap between fractional plan and bound at which rounds end, and the most Newton steps; the work of a step grows with the square of the number of lengths.
-GAP, STEPS = 0.004, 600
-#: How near best fit must come to the volume for the program to be solved by few steps, and how many.
-CLOSE, FEW_STEPS = 0.002, 40
+#: The gap between fractional plan and bound at which rounds end; the work of a Newton step grows with the cube of the number of lengths.
+GAP = 0.004
+#: How near best fit must come to the volume for its numbers to be the first amounts.
+CLOSE = 0.002
 #: First amounts of all other configurations there, of the mean number of sequences for a length.
 BEGUN = 0.001
 
@@ -113,7 +115,7 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
     count = np.array([left[int(s)] for s in lengths], np.int64)
     plain = best_fit(lengths, count, capacity)
     close = sum(plain.values()) + whole <= plan.bound * (1 + CLOSE) + 1
-    amounts, bound, fractional = amounts_of(lengths, count, capacity, min(FEW_STEPS if close else STEPS, int(STEPS * 4e6 / max(4e6, float(len(lengths)) ** 3 / 32))), plain, close)
+    amounts, bound, fractional = amounts_of(lengths, count, capacity, plain, close)
     plan.bound = max(plan.bound, whole + int(np.ceil(bound - 1e-6)))
     plan.fractional = whole + fractional
     best = min([way(amounts, lengths, count, capacity) for way in (rounded, nearest)], key=lambda f: sum(f.values()))
@@ -155,7 +157,7 @@ def merged(config: tuple[tuple[int, int], ...]) -> Counter:
     return out
 
 
-def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int, first: Counter | None = None, near: bool = False) -> tuple[Counter, float, float]:
+def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, first: Counter | None = None, near: bool = False) -> tuple[Counter, float, float]:
     """(amounts of configurations that cover all runs, a lower bound, the sum of the amounts) of the fractional program; the configurations ``first`` are known from the start, and if they are ``near`` the least their numbers are the first amounts."""
     n, demand = len(lengths), count.astype(float)
     scale, rate = float(lengths @ count) / capacity / n, RATE
@@ -190,9 +192,8 @@ def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int
             free = (prices > 0) | (cover < demand)
             lack = np.where(free, cover - demand, 0)
             met = np.abs(lack / demand).max() < 0.02
-            if met or steps <= 0:
+            if met:
                 break
-            steps -= 1
             slope = rate * table.curvature(amounts, n)
             slope[np.arange(n), np.arange(n)] += 1e-5 * rate * demand / lengths * capacity + 1e-12
             move = np.zeros(n)
@@ -203,12 +204,58 @@ def amounts_of(lengths: np.ndarray, count: np.ndarray, capacity: int, steps: int
         if share > 0 and amounts.sum() / share < least:
             least = float(amounts.sum() / share)
             found = Counter({c: x / share for c, x in zip(table.keys, amounts.tolist(), strict=True) if x > 1e-9 * least})
-        if least <= bound * (1 + GAP) or steps <= 0 or rate > LAST_RATE:
+        if least <= bound * (1 + GAP):
             return found, bound, least
+        if rate > LAST_RATE:
+            return finished(lengths, demand, capacity, set(known), bound)
         if met and len(known) > 8 * n:
             known = {table.keys[c]: known[table.keys[c]] for c in np.argsort(-amounts)[: 4 * n].tolist()} | alone
 
 
+def finished(lengths: np.ndarray, demand: np.ndarray, capacity: int, known: set[tuple[tuple[int, int], ...]], bound: float) -> tuple[Counter, float, float]:
+    """(amounts, a lower bound, the sum of the amounts) within GAP, by the simplex method over ``known`` and what the knapsack adds to them.
+
+    The demand is raised by up to a millionth at random, so that every step makes the sum smaller and none comes back.
+    """
+    n = len(lengths)
+    raised = demand * (1 + 1e-6 * np.random.default_rng(1).random(n))
+    basis = [((i, int(capacity // s)),) for i, s in enumerate(lengths.tolist())]
+    known, columns, steps = known | set(basis), np.diag(capacity // lengths).astype(float), 0
+    inverse, amounts = np.diag(1.0 / (capacity // lengths)), raised / (capacity // lengths)
+    while True:
+        table = Known(sorted(known))
+        while True:
+            prices = inverse.sum(0)
+            worth = table.worth(prices)
+            enters = int(worth.argmax())
+            if worth[enters] <= 1 + 1e-7 or amounts.sum() <= bound * (1 + GAP):
+                break
+            column = np.zeros(n)
+            for i, a in table.keys[enters]:
+                column[i] = a
+            ways = inverse @ column
+            leaves = int(np.where(ways > 1e-9, amounts / np.maximum(ways, 1e-9), np.inf).argmin())
+            basis[leaves], columns[:, leaves] = table.keys[enters], column
+            steps += 1
+            if steps % 100:
+                inverse[leaves] /= ways[leaves]
+                others = np.delete(np.arange(n), leaves)
+                inverse[others] -= np.outer(ways[others], inverse[leaves])
+            else:  # anew, without the errors of the steps before
+                inverse = np.linalg.inv(columns)
+            amounts = np.maximum(inverse @ raised, 0)
+        asked = np.maximum(prices, 0)
+        value, pick = price_out(lengths, asked, capacity)
+        bound = max(bound, float(demand @ asked) / value[capacity])
+        before = len(known)
+        for i in range(n):
+            config = unrolled(pick, lengths, capacity - int(lengths[i]))
+            config[i] += 1
+            known.add(tuple(sorted(config.items())))
+        if amounts.sum() <= bound * (1 + GAP) or len(known) == before:
+            return Counter({c: float(x) for c, x in zip(basis, amounts, strict=True) if x > 0}), bound, float(amounts.sum())
+
+
 def rounded(amounts: Counter, lengths: np.ndarray, count: np.ndarray, capacity: int) -> Counter:
     """Whole numbers of configurations along the running sum of the amounts; best fit for the rest, into what room they leave."""
     left, out, run = count.copy(), Counter(), 0.0
