@@ -172,3 +172,35 @@ def test_tables_go_after_an_error(spark):
         raise RuntimeError
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+@pytest.fixture
+def bipartite(spark):
+    """1000 nodes with 20 edges of one weight to 100 others."""
+    draw = random.Random(7)
+    pairs = sorted({(2 * a, 2 * draw.randrange(100) + 1) for a in range(1000) for _ in range(20)})
+    edges = spark.createDataFrame([e for a, b in pairs for e in ((a, b, 1), (b, a, 1))], "src long, dst long, w long")
+    return edges.select(F.col("src").alias("cell")).distinct().withColumn("w0", F.lit(1).cast("long")), edges
+
+
+def test_clusters_grow_where_all_ties_are_equal(spark, bipartite):
+    """Nodes don't all ask the same few clusters, which could let in few of them."""
+    with Tables(spark) as tables:
+        level = multilevel.graph_level(*bipartite, 1, tables)
+        found = multilevel.clustered(level, [6], 1, 2).groupBy("root").count().collect()
+        assert sum(r["count"] for r in found) == 1100 and max(r["count"] for r in found) <= 6 and len(found) < 0.6 * 1100
+
+
+def test_edges_meet_nodes_without_a_sort(spark, bipartite, monkeypatch):
+    monkeypatch.setattr("meshloom.operators.tables.SMALL", 10)  # as at size
+    with Tables(spark) as tables:
+        level = multilevel.graph_level(*bipartite, 1, tables)
+        assigned = tables.kept(level.nodes.select("cell", F.pmod("cell", F.lit(3)).cast("int").alias("part")))
+        plan = multilevel.pulls(level, assigned, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_summed_edges_give_the_same_level(spark, bipartite):
+    with Tables(spark) as tables:
+        levels = [multilevel.graph_level(*bipartite, 1, tables, summed=s).edges for s in (False, True)]
+        assert levels[0].exceptAll(levels[1]).isEmpty() and levels[1].exceptAll(levels[0]).isEmpty()
